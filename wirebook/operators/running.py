@@ -1,0 +1,66 @@
+"""Running values over long, skewed groups."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+BLOCK = 16_384
+
+_AGGREGATE = {"sum": F.sum, "max": F.max}
+
+
+def running(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    through: dict[str, tuple[str, Column]] | None = None,
+    before: dict[str, tuple[str, Column]] | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Add running sums and maxima per ``keys`` in the order of the BIGINT ``order``.
+
+    ``through`` values include the current row, ``before`` values do not. Each
+    is given as ``name: ("sum" | "max", column)``.
+
+    A plain window over ``keys`` would put a whole group into one task, and one
+    group may hold a third of all rows. So every group is cut into blocks of
+    ``block`` consecutive order values; windows run inside blocks, and each
+    block gets the combined value of the blocks before it from a table of one
+    narrow row per block. Only that table is windowed per group.
+    """
+    inclusive, exclusive = through or {}, before or {}
+    wanted = {**inclusive, **exclusive}
+    inputs = {f"_in_{name}": column for name, (_, column) in wanted.items()}
+    blocked = df.withColumns({"_block": F.expr(f"`{order}` div {block}"), **inputs})
+    place = [*keys, "_block"]
+
+    def aggregates(prefix: str, source: str, window=None, keep_names=wanted) -> list[Column]:
+        found = []
+        for name in keep_names:
+            value = _AGGREGATE[wanted[name][0]](F.col(f"{source}{name}"))
+            found.append((value.over(window) if window is not None else value).alias(f"{prefix}{name}"))
+        return found
+
+    totals = blocked.groupBy(*place).agg(*aggregates("_total_", "_in_"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*place, *aggregates("_carry_", "_total_", earlier)).where(
+        " OR ".join(f"`_carry_{name}` IS NOT NULL" for name in wanted)
+    )
+
+    inside = Window.partitionBy(*place).orderBy(order)
+    local = blocked.select(
+        "*",
+        *aggregates("_local_", "_in_", inside.rowsBetween(Window.unboundedPreceding, 0), inclusive),
+        *aggregates("_local_", "_in_", inside.rowsBetween(Window.unboundedPreceding, -1), exclusive),
+    )
+
+    def combined(name: str) -> Column:
+        carry, here = F.col(f"_carry_{name}"), F.col(f"_local_{name}")
+        if wanted[name][0] == "sum":
+            return F.coalesce(carry, F.lit(0)) + F.coalesce(here, F.lit(0))
+        return F.greatest(carry, here)
+
+    return local.join(carried, place, "left").select(
+        *df.columns, *[combined(name).alias(name) for name in wanted]
+    )
