@@ -27,7 +27,10 @@ def json_array(page: DataFrame) -> DataFrame:
     gathered in any order. Only for pages: a page is bounded by its limit.
     """
     rows = page.select(F.struct(*VIEW_COLUMNS).alias("row"), F.monotonically_increasing_id().alias("at"))
-    gathered = F.array_sort(F.collect_list(F.struct("at", "row")))
+    gathered = F.array_sort(
+        F.collect_list(F.struct("at", "row")),
+        lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0),
+    )
     return rows.agg(gathered.alias("rows")).select(
         F.to_json(F.transform("rows", lambda r: r["row"]), {"pretty": "true"}).alias("json")
     )

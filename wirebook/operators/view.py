@@ -8,6 +8,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from wirebook.functions.http import status_class
 from wirebook.functions.text import (
@@ -84,7 +85,7 @@ def header_preview(headers: Column) -> Column:
     return F.transform_values(headers, lambda _, value: ellipsis(value, 60))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _indented_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import json
 
