@@ -29,7 +29,7 @@ from wirebook.plans.presets import (
     agent_get_trace, agent_list_traces, get_trace, list_traces, live_list, search_traces,
 )
 from wirebook.schema import SENSITIVE_HEADERS
-from wirebook.session import shared_dir
+from wirebook.session import durable, shared_dir
 from wirebook.sources import tables
 from wirebook.sources.messages import message_traces, rejected_messages
 from wirebook.sources.store import TraceTable
@@ -531,6 +531,11 @@ def _(spark, sf):
 
 # Reassembly
 
+def _written(traffic: DataFrame) -> DataFrame:
+    """Raw traffic as a table of its own, as a capture would leave it."""
+    return durable(traffic, "traffic")
+
+
 @query("pair_requests", events("""
     SELECT CASE WHEN event_id % 13 = 0 THEN 'GET' ELSE method END AS method,
       CASE WHEN event_id % 2 = 0 THEN 'https://' || host || path
@@ -572,14 +577,14 @@ def _exchange_columns(traces: DataFrame, variant: Column) -> DataFrame:
 
 @query("http1_exchanges", events(f"SELECT * EXCLUDE (variant) FROM ({_HTTP1_SQL})"))
 def http1(spark, sf):
-    traces = http1_exchanges(tables.segments_from_events(spark, sf), block=16_384 * SPARSE)
+    traces = http1_exchanges(_written(tables.segments_from_events(spark, sf)), block=16_384 * SPARSE)
     return _exchange_columns(traces, F.lit(0)).drop("variant")
 
 
 @query("http1_teardown", events(f"SELECT * EXCLUDE (variant) FROM ({_HTTP1_SQL}) WHERE variant IN (4, 5)"))
 def _(spark, sf):
     # The adapter's TLS-free early closes: a chunked answer, or fewer bytes than announced.
-    traces = http1_exchanges(tables.segments_from_events(spark, sf), block=16_384 * SPARSE)
+    traces = http1_exchanges(_written(tables.segments_from_events(spark, sf)), block=16_384 * SPARSE)
     announced = F.col("response_headers")["content-length"].cast("bigint")
     partial = announced.isNull() | (announced > F.coalesce("response_body_bytes", F.lit(0)))
     return _exchange_columns(traces.where(partial), F.lit(0)).drop("variant")
@@ -606,7 +611,7 @@ def _(spark, sf):
         ELSE c.closer_ns + 3000000 - e.ts_ns END AS duration_ns) s
     WHERE e.event_id % 6 <> 2 OR e.closer IS NOT NULL"""))
 def http2(spark, sf):
-    traces = http2_exchanges(tables.h2_frames_from_events(spark, sf), block=16_384 * 16)
+    traces = http2_exchanges(_written(tables.h2_frames_from_events(spark, sf)), block=16_384 * 16)
     return traces.select(
         "capture_id", "method", "url", "status_code",
         F.col("request_headers")["user-agent"].alias("agent"),

@@ -206,90 +206,72 @@ def responses_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pieces(text: Column, count: int, first_step: int, direction: str) -> Column:
-    """Cut a text into equal chunks, each at its own step."""
-    at = [F.floor(F.length(text) * i / count).cast("int") for i in range(count + 1)]
-    return F.array(*[
-        F.struct(
-            F.lit(first_step + i).alias("step"),
-            F.lit(direction).alias("dir"),
-            F.substring(text, at[i] + 1, at[i + 1] - at[i]).cast("binary").alias("data"),
-        )
-        for i in range(count)
-    ])
-
-
-def _close(step: int) -> Column:
-    return F.array(F.struct(
-        F.lit(step).alias("step"), F.lit("close").alias("dir"), F.lit(None).cast("binary").alias("data")
-    ))
-
-
 SEGMENT_STRIDE = 64
 
+# How each kind of exchange is cut into chunks: (kind, step, direction, text, piece, pieces).
+CHUNK_SCRIPT = [
+    (0, 0, "out", "request", 0, 1), (0, 1, "in", "response", 0, 1),
+    (6, 0, "out", "request", 0, 1), (6, 1, "in", "response", 0, 1),
+    (1, 0, "out", "request", 0, 3), (1, 1, "out", "request", 1, 3), (1, 2, "out", "request", 2, 3),
+    *[(1, 3 + piece, "in", "response", piece, 7) for piece in range(7)],
+    (2, 0, "out", "head", 0, 1), (2, 1, "out", "tail", 0, 1),
+    (2, 2, "in", "response", 0, 2), (2, 3, "in", "response", 1, 2),
+    (3, 0, "out", "request", 0, 1),
+    (4, 0, "out", "request", 0, 1), (4, 1, "in", "chunked_head", 0, 1),
+    (4, 2, "in", "chunked_body", 0, 1), (4, 3, "close", None, 0, 1),
+    (5, 0, "out", "request", 0, 1), (5, 1, "in", "short", 0, 1), (5, 2, "close", None, 0, 1),
+    (7, 0, "out", "request", 0, 2), (7, 1, "in", "early", 0, 1),
+    (7, 2, "out", "request", 1, 2), (7, 3, "in", "response", 0, 1),
+]
+
 
 def segments_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw HTTP/1.x chunks. By ``event_id % 8``: 0 plain; 1 everything split;
     2 request body in its own chunk; 3 unanswered; 4 chunked until close;
     5 closed early; 6 TLS; 7 bytes come in before the request is complete."""
-    eol = "\r\n"
-    size = F.octet_length(F.coalesce("request_text", F.lit("")))
-    request_head = F.concat(
+    c, eol = F.col, "\r\n"
+    size = F.octet_length("tail")
+    head = F.concat(
         "method", F.lit(" "), "path", F.lit(f" HTTP/1.1{eol}Host: "), "host",
         F.lit(f"{eol}Authorization: Bearer "), "user_id",
         F.when(size > 0, F.concat(F.lit(f"{eol}Content-Length: "), size)).otherwise(F.lit("")),
         F.lit(eol + eol),
     )
-    body = F.coalesce("response_text", F.lit(""))
-
-    def response(length: Column) -> Column:
-        return F.concat(
-            F.lit("HTTP/1.1 "), "status_code", F.lit(f" Any Reason{eol}Content-Type: application/json{eol}"),
-            F.lit("X-Twice: one" + eol + "x-twice: two" + eol),
-            F.lit("Content-Length: "), length, F.lit(eol + eol), body,
-        )
-
-    e = _event_fields(spark, sf_dir).withColumns({"head": request_head, "tail": F.coalesce("request_text", F.lit(""))})
-    e = e.withColumns({
-        "request": F.concat("head", "tail"),
-        "response": response(F.octet_length(body)),
-        "short": response(F.octet_length(body) + 10),
-        "chunked_head": F.concat(
-            F.lit("HTTP/1.1 "), "status_code", F.lit(f" Any{eol}Transfer-Encoding: Chunked{eol}{eol}")
-        ),
-        "chunked_body": F.concat(F.lit("1f" + eol), body, F.lit(f"{eol}0{eol}{eol}")),
-    })
-    c = F.col
-    variant = c("event_id") % 8
-    one = F.concat(_pieces(c("request"), 1, 0, "out"), _pieces(c("response"), 1, 1, "in"))
-    steps = (
-        F.when(variant.isin(0, 6), one)
-        .when(variant == 1, F.concat(_pieces(c("request"), 3, 0, "out"), _pieces(c("response"), 7, 3, "in")))
-        .when(variant == 2, F.concat(
-            _pieces(c("head"), 1, 0, "out"), _pieces(c("tail"), 1, 1, "out"), _pieces(c("response"), 2, 2, "in")))
-        .when(variant == 3, _pieces(c("request"), 1, 0, "out"))
-        .when(variant == 4, F.concat(
-            _pieces(c("request"), 1, 0, "out"), _pieces(c("chunked_head"), 1, 1, "in"),
-            _pieces(c("chunked_body"), 1, 2, "in"), _close(3)))
-        .when(variant == 5, F.concat(
-            _pieces(c("request"), 1, 0, "out"), _pieces(c("short"), 1, 1, "in"), _close(2)))
-        .when(variant == 7, F.concat(
-            F.slice(_pieces(c("request"), 2, 0, "out"), 1, 1),
-            _pieces(F.lit("HTTP/1.1 100 Continue\r\n\r\n"), 1, 1, "in"),
-            F.transform(
-                F.slice(_pieces(c("request"), 2, 1, "out"), 2, 1),
-                lambda p: p.withField("step", F.lit(2)),
-            ),
-            _pieces(c("response"), 1, 3, "in")))
+    announced = F.octet_length("body") + F.when(c("kind") == 5, F.lit(10)).otherwise(F.lit(0))
+    answer = F.concat(
+        F.lit("HTTP/1.1 "), "status_code", F.lit(f" Any Reason{eol}Content-Type: application/json{eol}"),
+        F.lit(f"X-Twice: one{eol}x-twice: two{eol}Content-Length: "), announced, F.lit(eol + eol), "body",
     )
-    return e.select(
-        _connection("c").alias("conn_id"), "event_id", "ts_ns",
-        (variant == 6).alias("tls"), F.inline(steps),
-    ).select(
-        "conn_id",
+    chunked_head = F.concat(
+        F.lit("HTTP/1.1 "), "status_code", F.lit(f" Any{eol}Transfer-Encoding: Chunked{eol}{eol}"))
+    chunked_body = F.concat(F.lit("1f" + eol), "body", F.lit(f"{eol}0{eol}{eol}"))
+    script = spark.createDataFrame(
+        CHUNK_SCRIPT, "kind BIGINT, step INT, dir STRING, part STRING, piece INT, pieces INT")
+    exchanges = _event_fields(spark, sf_dir).select(
+        "*", (c("event_id") % 8).alias("kind"),
+        F.coalesce("request_text", F.lit("")).alias("tail"),
+        F.coalesce("response_text", F.lit("")).alias("body"),
+    )
+    # The script is the fixed list above, so its size is known.
+    chunks = exchanges.join(F.broadcast(script), "kind").withColumn(
+        "text",
+        F.when(c("part") == "request", F.concat(head, "tail"))
+        .when(c("part").isin("response", "short"), answer)
+        .when(c("part") == "head", head)
+        .when(c("part") == "tail", c("tail"))
+        .when(c("part") == "chunked_head", chunked_head)
+        .when(c("part") == "chunked_body", chunked_body)
+        .when(c("part") == "early", F.lit(f"HTTP/1.1 100 Continue{eol}{eol}")),
+    )
+    start = F.floor(F.length("text") * c("piece") / c("pieces")).cast("int")
+    stop = F.floor(F.length("text") * (c("piece") + 1) / c("pieces")).cast("int")
+    return chunks.select(
+        _connection("c").alias("conn_id"),
         (c("event_id") * SEGMENT_STRIDE + c("step")).alias("seq"),
         (c("ts_ns") + c("step") * MS).alias("ts_ns"),
-        "dir", "tls", "data",
+        "dir",
+        (c("kind") == 6).alias("tls"),
+        F.substring(c("text"), start + 1, stop - start).cast("binary").alias("data"),
     )
 
 
