@@ -218,39 +218,42 @@ def _plain(headers: Column) -> Column:
     return F.map_filter(headers, lambda name, _: ~F.startswith(name, F.lit(":")))
 
 
+def stream_traces(streams: DataFrame) -> DataFrame:
+    """Trace rows of finished streams."""
+    c = F.col
+    trace_id, span_id = trace_ids(c("conn_id"), c("epoch").cast("string"), c("stream_id").cast("string"))
+    scheme = F.coalesce(c("request")[":scheme"], F.when(c("tls"), F.lit("https")).otherwise(F.lit("http")))
+    return with_storage_columns(streams.select(
+        span_id.alias("span_id"), trace_id.alias("trace_id"),
+        F.lit(None).cast("string").alias("parent_span_id"),
+        F.coalesce(c("request")[":method"], F.lit("GET")).alias("method"),
+        F.concat(
+            scheme, F.lit("://"), F.coalesce(c("request")[":authority"], F.lit("")),
+            F.coalesce(c("request")[":path"], F.lit("/")),
+        ).alias("url"),
+        _plain(c("request")).alias("request_headers"),
+        cap_bytes(c("request_body"), MESSAGE_BODY_LIMIT).alias("request_body"),
+        c("response")[":status"].try_cast("int").alias("status_code"),
+        _plain(c("response")).alias("response_headers"),
+        cap_bytes(c("response_body"), MESSAGE_BODY_LIMIT).alias("response_body"),
+        c("born_ns").alias("ts_ns"),
+        F.greatest(c("last_ns") - c("born_ns"), F.lit(0)).alias("duration_ns"),
+        F.lit(None).cast("string").alias("source_addr"), F.lit(None).cast("string").alias("dest_addr"),
+        F.lit("HTTP/2").alias("protocol_version"),
+        c("conn_id").alias("capture_id"),
+    ))
+
+
 def http2_exchanges(frames: DataFrame, block: int = BLOCK) -> DataFrame:
     """Traces of all streams that were answered in full, or had a status when
     the connection closed."""
-    c = F.col
     tagged = durable(tag_frames(frames, block), "frames")
     blocks = header_blocks(tagged)
     spans = durable(stream_spans(tagged, blocks), "streams")
     headers = stream_headers(frames, tagged, blocks, spans)
     bodies = stream_bodies(frames, tagged, spans, block)
-    tls = birth_tls(frames)
-    trace_id, span_id = trace_ids(c("conn_id"), c("epoch").cast("string"), c("stream_id").cast("string"))
-    scheme = F.coalesce(c("request")[":scheme"], F.when(c("tls"), F.lit("https")).otherwise(F.lit("http")))
-    return with_storage_columns(
-        spans.join(headers, STREAM).join(bodies, STREAM, "left")
-        .join(tls, ["conn_id", "born_seq"]).select(
-            span_id.alias("span_id"), trace_id.alias("trace_id"),
-            F.lit(None).cast("string").alias("parent_span_id"),
-            F.coalesce(c("request")[":method"], F.lit("GET")).alias("method"),
-            F.concat(
-                scheme, F.lit("://"), F.coalesce(c("request")[":authority"], F.lit("")),
-                F.coalesce(c("request")[":path"], F.lit("/")),
-            ).alias("url"),
-            _plain(c("request")).alias("request_headers"),
-            cap_bytes(c("request_body"), MESSAGE_BODY_LIMIT).alias("request_body"),
-            c("response")[":status"].try_cast("int").alias("status_code"),
-            _plain(c("response")).alias("response_headers"),
-            cap_bytes(c("response_body"), MESSAGE_BODY_LIMIT).alias("response_body"),
-            c("born_ns").alias("ts_ns"),
-            F.greatest(c("last_ns") - c("born_ns"), F.lit(0)).alias("duration_ns"),
-            F.lit(None).cast("string").alias("source_addr"), F.lit(None).cast("string").alias("dest_addr"),
-            F.lit("HTTP/2").alias("protocol_version"),
-            c("conn_id").alias("capture_id"),
-        )
+    return stream_traces(
+        spans.join(headers, STREAM).join(bodies, STREAM, "left").join(birth_tls(frames), ["conn_id", "born_seq"])
     )
 
 
