@@ -85,15 +85,22 @@ def header_preview(headers: Column) -> Column:
     return F.transform_values(headers, lambda _, value: ellipsis(value, 60))
 
 
-@F.pandas_udf(StringType())
-def _indented_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import json
-
-    def indent(text):
-        return None if text is None else json.dumps(json.loads(text), indent=2, sort_keys=True, ensure_ascii=False)
-
-    for batch in texts:
-        yield batch.map(indent)
+def _indented_json(text: Column) -> Column:
+    # Defined in here, so that it is shipped with the query and the package
+    # need not be installed on the executors.
+    @F.pandas_udf(StringType())
+    def indented(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import json
+
+        def indent(value):
+            if value is None:
+                return None
+            return json.dumps(json.loads(value), indent=2, sort_keys=True, ensure_ascii=False)
+
+        for batch in batches:
+            yield batch.map(indent)
+
+    return indented(text)
 
 
 def body_kind(body: Column) -> Column:

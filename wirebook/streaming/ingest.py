@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from wirebook.operators.render import json_lines
 from wirebook.operators.view import ViewOptions, render_view
@@ -53,6 +53,20 @@ def write_traces(
         lines.write.mode("overwrite").text(f"{view_folder}/batch={batch}")
 
 
+def _start(spark: SparkSession, writer: DataStreamWriter, drain: bool, every: str) -> StreamingQuery:
+    if not drain:
+        return writer.trigger(processingTime=every).start()
+    # State with a time to live asks for empty batches for ever; a draining
+    # query must not run them, or it would never end.
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
+
+
 def start_capture(
     messages: DataFrame,
     table: TraceTable,
@@ -90,8 +104,7 @@ def start_capture(
         F.count_if(~fits_message(F.col("value"))).alias("oversize"),
     )
     writer = observed.writeStream.queryName(capture_id).option("checkpointLocation", checkpoint).foreachBatch(pump)
-    writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=every)
-    return writer.start()
+    return _start(messages.sparkSession, writer, drain, every)
 
 
 def start_trace_sink(
@@ -114,8 +127,7 @@ def start_trace_sink(
             batch.unpersist()
 
     writer = traces.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(pump)
-    writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=every)
-    return writer.start()
+    return _start(traces.sparkSession, writer, drain, every)
 
 
 def run_summary(table: TraceTable, capture_id: str) -> DataFrame:

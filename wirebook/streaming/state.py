@@ -8,10 +8,12 @@ fall silent are dropped after an idle time, so that state stays bounded.
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +21,9 @@ from wirebook.session import ROCKSDB
 
 IDLE_MS = 3_600_000
 
+# Processors travel to the executors as they are; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["wirebook"])
+
 
 class ConnectionProcessor(StatefulProcessor):
     """Keeps one picklable value per connection, with a time to live."""
