@@ -23,7 +23,7 @@ def plain(traces):
     return sorted((r.asDict() for r in rows), key=lambda r: r["span_id"])
 
 
-def through_stream(spark, tmp_path, rows, ddl, live, steps=3):
+def through_stream(spark, tmp_path, rows, ddl, live, steps=2):
     """Write ``rows`` as files in order of seq, one file per micro-batch."""
     folder = str(tmp_path / "in")
     top = rows.agg(F.max("seq")).first()[0] + 1
