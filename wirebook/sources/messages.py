@@ -51,9 +51,10 @@ def _all_texts(name: str) -> Column:
 def read_messages(lines: DataFrame) -> DataFrame:
     """Parse ``value`` and add ``accepted``. Every other column is kept, so
     rejected rows can go to a quarantine table as they came."""
-    parsed = lines.withColumn(
-        "_m", F.from_json("value", _READ_DDL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    ).select("*", "_m.*").drop("_m")
+    # Generated columns, because a filter on plain ones would be pushed down
+    # with one copy of the parser per condition.
+    message = F.from_json("value", _READ_DDL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = lines.select("*", F.inline_outer(F.array(message)))
     good = fits_message(F.col("value")) & F.col("_corrupt_record").isNull()
     for name in _REQUIRED_TEXTS:
         good = good & _is_text(name)
@@ -74,13 +75,11 @@ def _text(name: str) -> Column:
     return F.try_variant_get(F.col(name), "$", "string")
 
 
-def _header_map(name: str) -> Column:
-    return last_wins(F.transform(
+def _header_entries(name: str) -> Column:
+    return F.transform(
         F.map_entries(name),
-        lambda e: F.struct(
-            e["key"].alias("key"), F.try_variant_get(e["value"], "$", "string").alias("value")
-        ),
-    ))
+        lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "string").alias("value")),
+    )
 
 
 def message_traces(lines: DataFrame, source: Column | None = None) -> DataFrame:
@@ -89,23 +88,27 @@ def message_traces(lines: DataFrame, source: Column | None = None) -> DataFrame:
     Ids come from ``source`` (default: the message text), so a message that is
     read again gives the same row again.
     """
-    accepted = read_messages(lines).where("accepted")
-    trace_id, span_id = trace_ids(F.col("value") if source is None else source)
+    accepted = read_messages(lines).where("accepted").withColumns({
+        **{name: _text(name) for name in [*_REQUIRED_TEXTS, *_OPTIONAL_TEXTS]},
+        **{name: _header_entries(name) for name in _HEADERS},
+    })
+    c = F.col
+    trace_id, span_id = trace_ids(c("value") if source is None else source)
     return with_storage_columns(accepted.select(
         span_id.alias("span_id"), trace_id.alias("trace_id"),
         F.lit(None).cast("string").alias("parent_span_id"),
-        known_method(_text("method")).alias("method"),
-        _text("url").alias("url"),
-        _header_map("request_headers").alias("request_headers"),
-        base64_decode(_text("request_body_b64")).alias("request_body"),
-        F.col("status_code").cast("int").alias("status_code"),
-        _header_map("response_headers").alias("response_headers"),
-        base64_decode(_text("response_body_b64")).alias("response_body"),
-        (F.col("timestamp_ms") * 1_000_000).alias("ts_ns"),
-        (F.col("duration_ms") * 1_000_000).alias("duration_ns"),
+        known_method(c("method")).alias("method"),
+        "url",
+        last_wins(c("request_headers")).alias("request_headers"),
+        base64_decode(c("request_body_b64")).alias("request_body"),
+        c("status_code").cast("int").alias("status_code"),
+        last_wins(c("response_headers")).alias("response_headers"),
+        base64_decode(c("response_body_b64")).alias("response_body"),
+        (c("timestamp_ms") * 1_000_000).alias("ts_ns"),
+        (c("duration_ms") * 1_000_000).alias("duration_ns"),
         F.lit(None).cast("string").alias("source_addr"),
-        _text("dest_addr").alias("dest_addr"),
-        F.coalesce(_text("protocol_version"), F.lit("HTTP/1.1")).alias("protocol_version"),
+        "dest_addr",
+        F.coalesce("protocol_version", F.lit("HTTP/1.1")).alias("protocol_version"),
         F.lit("agent").alias("capture_id"),
     ))
 
