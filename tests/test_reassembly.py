@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wirebook.operators.frames import frame_header, split_frames
 from wirebook.operators.http1 import http1_exchanges
 from wirebook.operators.http2 import data_range, header_block_range, http2_exchanges
 from wirebook.operators.pairing import paired_keys
@@ -145,3 +146,33 @@ def test_http2_reused_connection_and_hot_stream(spark):
     assert (first.method, first.url, first.status_code, bytes(first.response_body)) == ("PUT", "https://h/x", 200, b"a")
     assert bytes(second.response_body) == b"0123456789" * 5 + b"!"
     assert (bytes(second.request_body), second.duration_ns, second.status_code) == (b"late", 530, 200)
+
+
+def test_frames_from_any_split(spark):
+    rng = random.Random(3)
+
+    def frame(kind, flags, stream, payload):
+        return len(payload).to_bytes(3, "big") + bytes([kind, flags]) + (stream | 1 << 31).to_bytes(4, "big") + payload
+
+    def wire(count):
+        frames = [(rng.choice([0, 1, 4, 9]), rng.randrange(64), rng.randrange(9), rng.randbytes(rng.randrange(40))) for _ in range(count)]
+        return frames, b"".join(frame(*f) for f in frames)
+
+    chunks, want = [("out", b"GET / HTTP/1.1\r\n\r\n"), ("in", b"ignored")], []
+    for _ in range(2):  # the connection id is used again after a close
+        for direction, lead in (("out", H2_PREFACE), ("in", b"")):
+            frames, data = wire(25)
+            want += [(direction, *f) for f in frames]
+            data = lead + data + b"\x00\x00"  # an unfinished frame at the end
+            at = len(lead)
+            cuts = [0] + sorted(rng.sample(range(at + 1, len(data)), 12)) + [len(data)]
+            chunks += [(direction, data[a:b]) for a, b in zip(cuts, cuts[1:])]
+        chunks.append(("close", None))
+    for block in (4, 1000):
+        found = split_frames(segments_frame(spark, {"c": chunks, "plain": chunks[:2]}), block=block)
+        rows = sorted(found.collect(), key=lambda r: (r.seq, r.part))
+        assert [(r.dir, r.frame_type, r.flags, r.stream_id, bytes(r.payload)) for r in rows] == want
+        assert {r.conn_id for r in rows} == {"c"}
+    head = spark.createDataFrame([(bytearray(frame(9, 5, 77, b"xyz")),), (bytearray(b"short"),)], "d BINARY")
+    parsed = [r.h for r in head.select(frame_header(F.col("d")).alias("h")).collect()]
+    assert tuple(parsed[0]) == (3, 9, 5, 77) and parsed[1] is None

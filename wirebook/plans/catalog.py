@@ -13,6 +13,7 @@ from wirebook.functions.text import (
     base64_decode, base64_encode, cap_bytes, hex_lower, hex_to_bytes,
 )
 from wirebook.operators.faults import injected_faults, rule_coverage, rule_matches
+from wirebook.operators.frames import split_frames
 from wirebook.operators.filters import TraceQuery, failed, url_contains
 from wirebook.operators.http1 import http1_exchanges
 from wirebook.operators.http2 import http2_exchanges
@@ -619,6 +620,17 @@ def http2(spark, sf):
         _text("request_body"), _text("response_body"), "ts_ns", "duration_ns")
 
 
+@query("http2_split_frames", events("""
+    SELECT 's-' || event_id AS conn_id, f.dir, f.frame_type, f.flags, event_id % 1000000 * 2 + 1 AS stream_id, f.payload
+    FROM t, LATERAL (VALUES
+      ('out', 1, 4, path), ('out', 0, 1, coalesce(request_text, '')), ('in', 4, 0, 'settings'),
+      ('in', 1, 4, path), ('in', 0, 1, coalesce(response_text, ''))) f(dir, frame_type, flags, payload)"""))
+def _(spark, sf):
+    frames = split_frames(_written(tables.h2_segments_from_events(spark, sf)))
+    payload = F.when(F.col("frame_type") == 4, F.lit("settings")).otherwise(F.col("payload").cast("string"))
+    return frames.select("conn_id", "dir", "frame_type", "flags", "stream_id", payload.alias("payload"))
+
+
 # Fault rules
 
 FAULTS = ["delay:100ms-500ms:/API/view", "delay:10", "error:503:0.5:/API/error", "error:500:/12", "delay:1s"]

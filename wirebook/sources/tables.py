@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirebook.functions.text import base64_encode
-from wirebook.schema import FAULT_BODY, FAULT_HEADER, TRACE_COLUMNS
+from wirebook.schema import FAULT_BODY, FAULT_HEADER, H2_PREFACE, TRACE_COLUMNS
 
 EVENT_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 PAGE_DDL = "page_id BIGINT, url STRING, html STRING"
@@ -339,3 +339,39 @@ def h2_frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("dir") != "close", c("event_id") * 2 + 1).alias("stream_id"),
         "payload", "headers",
     )
+
+
+def h2_segments_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw HTTP/2 bytes, one connection per event: the preface, a HEADERS frame
+    with the path as its (uncoded) block and a DATA frame each way, every
+    stream cut into three chunks in the middle of frames."""
+    c = F.col
+
+    def frame(kind: int, flags: int, payload: Column) -> Column:
+        head = F.concat(
+            F.lpad(F.hex(F.octet_length(payload)), 6, "0"), F.lit(f"{kind:02X}{flags:02X}"),
+            F.lpad(F.hex(c("event_id") % 1_000_000 * 2 + 1), 8, "0"),
+        )
+        return F.concat(F.unhex(head), payload)
+
+    path, sent = c("path").cast("binary"), F.coalesce("request_text", F.lit("")).cast("binary")
+    answered = F.coalesce("response_text", F.lit("")).cast("binary")
+    streams = _event_fields(spark, sf_dir).select(
+        "event_id", "ts_ns",
+        F.concat(F.lit(H2_PREFACE), frame(1, 4, path), frame(0, 1, sent)).alias("out"),
+        F.concat(frame(4, 0, F.lit(b"\x00\x03\x00\x00\x00\x64")), frame(1, 4, path), frame(0, 1, answered)).alias("in"),
+    )
+    chunks = streams.select(
+        "event_id", "ts_ns", F.explode(F.array(
+            F.struct(F.lit("out").alias("dir"), c("out").alias("bytes"), F.lit(30).alias("first")),
+            F.struct(F.lit("in").alias("dir"), c("in").alias("bytes"), F.lit(4).alias("first")),
+        )).alias("s"),
+    ).select("event_id", "ts_ns", "s.*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("step"))
+    start = F.when(c("step") == 0, 1).when(c("step") == 1, c("first") + 1).otherwise(c("first") + 21)
+    size = F.when(c("step") == 0, c("first")).when(c("step") == 1, 20).otherwise(F.octet_length("bytes"))
+    return chunks.select(
+        F.concat(F.lit("s-"), "event_id").alias("conn_id"),
+        (F.when(c("dir") == "in", 3).otherwise(0) + c("step")).cast("bigint").alias("seq"),
+        "ts_ns", "dir", F.lit(False).alias("tls"),
+        F.substring(c("bytes"), start, size).alias("data"),
+    )
