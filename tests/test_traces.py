@@ -10,7 +10,7 @@ from wirebook.operators.filters import TraceQuery
 from wirebook.operators.page import list_recent, query_page, search_by_url, spans_of_trace
 from wirebook.operators.render import TABLE_HEADER, json_array, json_lines, table_lines
 from wirebook.operators.view import ViewOptions, body_preview, render_view, summary_rows
-from wirebook.plans.presets import agent_get_trace, agent_list_traces, get_trace, list_traces, render
+from wirebook.plans.presets import agent_capture_status, agent_get_trace, agent_list_traces, get_trace, list_traces, render
 from wirebook.schema import SENSITIVE_HEADERS
 from wirebook.sources.tables import with_storage_columns
 
@@ -218,3 +218,6 @@ def test_presets(make):
             list_traces(traces, **bad)
     with pytest.raises(ValueError):
         agent_get_trace(traces, "zz")
+    assert agent_capture_status(traces, "c").first().trace_count == 60
+    with pytest.raises(ValueError, match="unknown capture"):
+        agent_capture_status(traces, "d")

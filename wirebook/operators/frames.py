@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from wirebook.operators.running import BLOCK, running
 from wirebook.schema import BUFFER_LIMIT, H2_PREFACE
+from wirebook.session import durable
 
 FRAME_DDL = """
     conn_id STRING, epoch BIGINT, dir STRING, seq BIGINT, part BIGINT, ts_ns BIGINT, tls BOOLEAN,
@@ -47,9 +48,9 @@ def http2_chunks(segments: DataFrame, block: int = BLOCK) -> DataFrame:
     """Chunks of connections after their HTTP/2 preface, until they close.
     ``epoch`` is the sequence number of the chunk with the preface."""
     preface = (F.col("dir") == "out") & F.startswith(F.col("data"), F.lit(H2_PREFACE))
+    narrow = segments.select("conn_id", "seq", "dir", F.when(preface, F.col("seq")).alias("preface"))
     marked = running(
-        segments.select("conn_id", "seq", "dir", F.when(preface, F.col("seq")).alias("preface")),
-        ["conn_id"], "seq",
+        durable(narrow, "h2-chunks"), ["conn_id"], "seq",
         before={
             "seen_preface": ("max", F.col("preface")),
             "last_close": ("max", F.when(F.col("dir") == "close", F.col("seq"))),

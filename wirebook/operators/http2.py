@@ -74,7 +74,7 @@ def tag_frames(frames: DataFrame, block: int = BLOCK) -> DataFrame:
         status.rlike(r"\A\+?[0-9]{1,5}\z").alias("good_status"), status.isNotNull().alias("any_status"),
         F.when(is_close, c("seq")).alias("close"),
     )
-    epochs = running(narrow, ["conn_id"], "seq", before={"last_close": ("max", c("close"))}, block=block)
+    epochs = running(durable(narrow, "narrow-frames"), ["conn_id"], "seq", before={"last_close": ("max", c("close"))}, block=block)
     epochs = epochs.withColumn("epoch", F.coalesce("last_close", F.lit(-1)))
     # The last bit of the code carries END_STREAM of the opening frame.
     opens = F.when((c("frame_type") == HEADERS) & ~c("end_headers"), c("seq") * 2 + c("end_stream").cast("int"))

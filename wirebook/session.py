@@ -10,8 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Settings the package is tuned for; anything the cluster sets later wins."""
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def configure(builder: SparkSession.Builder, input_bytes: int | None = None) -> SparkSession.Builder:
+    """Settings the package is tuned for; anything the cluster sets later wins.
+
+    ``input_bytes`` is the size of the data a job shuffles: 100 TB need far
+    more than the default 200 partitions, and adaptive execution only joins
+    partitions, it never makes more of them.
+    """
+    if input_bytes is not None:
+        builder = builder.config(
+            "spark.sql.shuffle.partitions", min(max(input_bytes // PARTITION_BYTES, 200), 400_000)
+        )
     return (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

@@ -19,6 +19,13 @@ from wirebook.session import durable
 # A page of this many rows or fewer may fetch its bodies in a second, narrow read.
 LATE_FETCH_ROWS = 1_000
 
+# Ids are spread evenly over all files, so only bloom filters can skip row groups for them.
+WRITE_OPTIONS = {
+    "partitionOverwriteMode": "dynamic",
+    "parquet.bloom.filter.enabled#span_id": "true",
+    "parquet.bloom.filter.enabled#trace_id": "true",
+}
+
 
 def latest_per_span(traces: DataFrame, order: str = "ts_ns") -> DataFrame:
     """One row per span id, the one with the greatest ``order``. Copies of a
@@ -85,7 +92,7 @@ class TraceTable:
             placed.withColumn("batch", F.lit(batch))
             .sortWithinPartitions(*order)
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
+            .options(**WRITE_OPTIONS)
             .partitionBy("dt", "batch")
             .parquet(self.path)
         )
@@ -138,7 +145,7 @@ class TraceTable:
         order = ["dt", "batch", "ts_ns", "span_id"]
         (
             kept.unionByName(blank).repartitionByRange(*order).sortWithinPartitions(*order)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .write.mode("overwrite").options(**WRITE_OPTIONS)
             .partitionBy("dt", "batch").parquet(self.path)
         )
 

@@ -126,12 +126,12 @@ def _body_traces(rows: DataFrame, key: str, url: Column, body: Column) -> DataFr
 
 
 def traces_from_pages(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
-    """One trace per page, the HTML as its body. ``broken`` cuts every body at
-    a byte that depends on the page, often inside a character."""
+    """One trace per page, the HTML as its body. ``broken`` puts a stray byte
+    before it and the beginning of a character after it."""
     rows = read_table(spark, sf_dir, "pages", PAGE_DDL)
     body = F.col("html").cast("binary")
     if broken:
-        body = F.substring(body, F.lit(1), (300 + F.col("page_id") % 400).cast("int"))
+        body = F.concat(F.lit(b"\xff"), body, F.lit(b"\xe3\x81"))
     return _body_traces(rows, "page_id", F.col("url"), body)
 
 
