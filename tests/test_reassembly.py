@@ -9,7 +9,7 @@ from wirebook.operators.frames import frame_header, split_frames
 from wirebook.operators.http1 import http1_exchanges
 from wirebook.operators.http2 import data_range, header_block_range, http2_exchanges
 from wirebook.operators.pairing import paired_keys
-from wirebook.operators.running import running
+from wirebook.operators.running import BLOCK, fitting_block, running
 from wirebook.schema import BUFFER_LIMIT, H2_FRAME_DDL, H2_PREFACE, SEGMENT_DDL
 from wirebook.streaming.http1_live import Http1Processor
 
@@ -176,3 +176,11 @@ def test_frames_from_any_split(spark):
     head = spark.createDataFrame([(bytearray(frame(9, 5, 77, b"xyz")),), (bytearray(b"short"),)], "d BINARY")
     parsed = [r.h for r in head.select(frame_header(F.col("d")).alias("h")).collect()]
     assert tuple(parsed[0]) == (3, 9, 5, 77) and parsed[1] is None
+
+
+def test_fitting_block(spark):
+    dense = spark.range(100).select(F.lit("a").alias("k"), "id")
+    sparse = dense.select("k", (F.col("id") * 1000).alias("id"))
+    assert fitting_block(dense, ["k"], "id") == BLOCK
+    assert fitting_block(sparse, ["k"], "id") == BLOCK * 991
+    assert fitting_block(dense.where("false"), ["k"], "id") == BLOCK

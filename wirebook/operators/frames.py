@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wirebook.operators.running import BLOCK, running
+from wirebook.operators.running import fitting_block, running
 from wirebook.schema import BUFFER_LIMIT, H2_PREFACE
 from wirebook.session import durable
 
@@ -44,13 +44,16 @@ def frame_header(data: Column) -> Column:
     )
 
 
-def http2_chunks(segments: DataFrame, block: int = BLOCK) -> DataFrame:
+def http2_chunks(segments: DataFrame, block: int | None = None) -> DataFrame:
     """Chunks of connections after their HTTP/2 preface, until they close.
     ``epoch`` is the sequence number of the chunk with the preface."""
     preface = (F.col("dir") == "out") & F.startswith(F.col("data"), F.lit(H2_PREFACE))
-    narrow = segments.select("conn_id", "seq", "dir", F.when(preface, F.col("seq")).alias("preface"))
+    narrow = durable(
+        segments.select("conn_id", "seq", "dir", F.when(preface, F.col("seq")).alias("preface")), "h2-chunks"
+    )
+    block = block or fitting_block(narrow, ["conn_id"], "seq")
     marked = running(
-        durable(narrow, "h2-chunks"), ["conn_id"], "seq",
+        narrow, ["conn_id"], "seq",
         before={
             "seen_preface": ("max", F.col("preface")),
             "last_close": ("max", F.when(F.col("dir") == "close", F.col("seq"))),
@@ -100,7 +103,7 @@ def _cutter(preface: bytes, buffer_limit: int):
     return cut
 
 
-def split_frames(segments: DataFrame, block: int = BLOCK) -> DataFrame:
+def split_frames(segments: DataFrame, block: int | None = None) -> DataFrame:
     """All complete frames, each with the chunk that completed it and its
     place among the frames of that chunk."""
     place = ["conn_id", "epoch", "dir"]

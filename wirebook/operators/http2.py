@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wirebook.functions.http import trace_ids
 from wirebook.functions.text import cap_bytes
-from wirebook.operators.running import BLOCK, running
+from wirebook.operators.running import fitting_block, running
 from wirebook.schema import BUFFER_LIMIT, MESSAGE_BODY_LIMIT
 from wirebook.session import durable
 from wirebook.sources.tables import with_storage_columns
@@ -52,20 +52,13 @@ def header_block_range(payload: Column) -> tuple[Column, Column]:
     return F.when(usable, offset).otherwise(F.lit(0)), F.when(usable, end - offset).otherwise(F.lit(0))
 
 
-def tag_frames(frames: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Narrow rows of the frames that matter, with the connection's epoch
-    (number of its last close) and the header block each row belongs to.
-
-    ``block_start`` is the HEADERS frame that opened the header block, null
-    for a CONTINUATION that continues nothing. ``applies`` marks the frame
-    that completes the block; ``ends`` says that the block or DATA frame ends
-    the stream.
-    """
+def narrow_frames(frames: DataFrame) -> DataFrame:
+    """The frames that matter, without payloads and header fields."""
     c = F.col
     is_close = c("dir") == "close"
     _, size = data_range(c("payload"))
     status = F.try_element_at(F.filter("headers", lambda h: h["name"] == ":status"), F.lit(-1))["value"]
-    narrow = frames.where(
+    return frames.where(
         is_close | ((c("stream_id") > 0) & c("frame_type").isin(DATA, HEADERS, CONTINUATION))
     ).select(
         "conn_id", "seq", "ts_ns", "dir", "stream_id", "frame_type",
@@ -74,7 +67,19 @@ def tag_frames(frames: DataFrame, block: int = BLOCK) -> DataFrame:
         status.rlike(r"\A\+?[0-9]{1,5}\z").alias("good_status"), status.isNotNull().alias("any_status"),
         F.when(is_close, c("seq")).alias("close"),
     )
-    epochs = running(durable(narrow, "narrow-frames"), ["conn_id"], "seq", before={"last_close": ("max", c("close"))}, block=block)
+
+
+def tag_frames(narrow: DataFrame, block: int) -> DataFrame:
+    """Add the connection's epoch (number of its last close) and the header
+    block each row belongs to.
+
+    ``block_start`` is the HEADERS frame that opened the header block, null
+    for a CONTINUATION that continues nothing. ``applies`` marks the frame
+    that completes the block; ``ends`` says that the block or DATA frame ends
+    the stream.
+    """
+    c = F.col
+    epochs = running(narrow, ["conn_id"], "seq", before={"last_close": ("max", c("close"))}, block=block)
     epochs = epochs.withColumn("epoch", F.coalesce("last_close", F.lit(-1)))
     # The last bit of the code carries END_STREAM of the opening frame.
     opens = F.when((c("frame_type") == HEADERS) & ~c("end_headers"), c("seq") * 2 + c("end_stream").cast("int"))
@@ -180,7 +185,7 @@ def stream_headers(frames: DataFrame, tagged: DataFrame, blocks: DataFrame, span
     )
 
 
-def stream_bodies(frames: DataFrame, tagged: DataFrame, spans: DataFrame, block: int = BLOCK) -> DataFrame:
+def stream_bodies(frames: DataFrame, tagged: DataFrame, spans: DataFrame, block: int) -> DataFrame:
     """(stream, request_body, response_body): DATA between birth and completion."""
     c = F.col
     nothing = F.lit(None).cast("bigint")
@@ -244,10 +249,12 @@ def stream_traces(streams: DataFrame) -> DataFrame:
     ))
 
 
-def http2_exchanges(frames: DataFrame, block: int = BLOCK) -> DataFrame:
+def http2_exchanges(frames: DataFrame, block: int | None = None) -> DataFrame:
     """Traces of all streams that were answered in full, or had a status when
     the connection closed."""
-    tagged = durable(tag_frames(frames, block), "frames")
+    narrow = durable(narrow_frames(frames), "narrow-frames")
+    block = block or fitting_block(narrow, ["conn_id"], "seq")
+    tagged = durable(tag_frames(narrow, block), "frames")
     blocks = header_blocks(tagged)
     spans = durable(stream_spans(tagged, blocks), "streams")
     headers = stream_headers(frames, tagged, blocks, spans)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from wirebook.functions.http import absolute_url, known_method, trace_ids
 from wirebook.functions.text import cap_bytes
-from wirebook.operators.running import BLOCK, running
+from wirebook.operators.running import fitting_block, running
 from wirebook.schema import PROXY_BODY_LIMIT
 from wirebook.sources.tables import with_storage_columns
 
 
-def paired_keys(requests: DataFrame, responses: DataFrame, block: int = BLOCK) -> DataFrame:
+def paired_keys(requests: DataFrame, responses: DataFrame, block: int | None = None) -> DataFrame:
     """(conn_id, request_seq, response_seq) of every answered request.
 
     A request waits until the next response, and a newer request replaces it;
@@ -23,6 +23,7 @@ def paired_keys(requests: DataFrame, responses: DataFrame, block: int = BLOCK) -
     kinds = requests.select("conn_id", "seq", F.lit(1).alias("is_request")).unionAll(
         responses.select("conn_id", "seq", F.lit(0).alias("is_request"))
     )
+    block = block or fitting_block(kinds, ["conn_id"], "seq")
     code = F.col("seq") * 2 + F.col("is_request")
     previous = running(kinds, ["conn_id"], "seq", before={"previous": ("max", code)}, block=block)
     return previous.where((F.col("is_request") == 0) & (F.col("previous") % 2 == 1)).select(
@@ -51,7 +52,7 @@ def paired_record(pairs: DataFrame) -> DataFrame:
     ))
 
 
-def pair_requests(requests: DataFrame, responses: DataFrame, block: int = BLOCK) -> DataFrame:
+def pair_requests(requests: DataFrame, responses: DataFrame, block: int | None = None) -> DataFrame:
     """Traces of all answered requests. Both payload joins are on unique keys,
     so no connection is hot."""
     keys = paired_keys(requests, responses, block)

@@ -10,6 +10,18 @@ BLOCK = 16_384
 _AGGREGATE = {"sum": F.sum, "max": F.max}
 
 
+def fitting_block(df: DataFrame, keys: list[str], order: str) -> int:
+    """A block size that holds about ``BLOCK`` rows of the largest group, also
+    when its order values have gaps. Takes one map-side combined aggregation."""
+    spans = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), (F.max(order) - F.min(order) + 1).alias("span")
+    )
+    largest = spans.agg(F.max_by("span", "rows").alias("span"), F.max("rows").alias("rows")).first()
+    if not largest.rows:
+        return BLOCK
+    return BLOCK * max(1, -(-largest.span // largest.rows))
+
+
 def running(
     df: DataFrame,
     keys: list[str],

@@ -47,10 +47,6 @@ NEWEST = "ORDER BY ts_ns DESC, span_id DESC"
 DAY_9_NS = 1_704_758_400_000_000_000   # 2024-01-09T00:00:00Z
 DAY_11_NS = 1_704_931_200_000_000_000  # 2024-01-11T00:00:00Z
 
-# Adapters number rows per event with gaps; a block covers about as many rows
-# as the default block does on a dense sequence.
-SPARSE = 64
-
 
 def query(name: str, sql: str | None = None):
     def register(function: Query) -> Query:
@@ -539,7 +535,7 @@ def _written(traffic: DataFrame) -> DataFrame:
     FROM t WHERE event_id % 7 <> 3"""))
 def pairing(spark, sf):
     traces = pair_requests(
-        tables.requests_from_events(spark, sf), tables.responses_from_events(spark, sf), block=16_384 * 4)
+        tables.requests_from_events(spark, sf), tables.responses_from_events(spark, sf))
     return traces.select(
         "method", "url", "status_code", F.col("request_headers")["authorization"].alias("authorization_"),
         _text("request_body"), _text("response_body"), "ts_ns", "duration_ns", "capture_id")
@@ -572,14 +568,14 @@ def _exchange_columns(traces: DataFrame, variant: Column) -> DataFrame:
 
 @query("http1_exchanges", events(f"SELECT * EXCLUDE (variant) FROM ({_HTTP1_SQL})"))
 def http1(spark, sf):
-    traces = http1_exchanges(_written(tables.segments_from_events(spark, sf)), block=16_384 * SPARSE)
+    traces = http1_exchanges(_written(tables.segments_from_events(spark, sf)))
     return _exchange_columns(traces, F.lit(0)).drop("variant")
 
 
 @query("http1_teardown", events(f"SELECT * EXCLUDE (variant) FROM ({_HTTP1_SQL}) WHERE variant IN (4, 5)"))
 def _(spark, sf):
     # Only a close ends a chunked answer, or one with fewer bytes than announced.
-    traces = http1_exchanges(_written(tables.segments_from_events(spark, sf)), block=16_384 * SPARSE)
+    traces = http1_exchanges(_written(tables.segments_from_events(spark, sf)))
     announced = F.col("response_headers")["content-length"].cast("bigint")
     partial = announced.isNull() | (announced > F.coalesce("response_body_bytes", F.lit(0)))
     return _exchange_columns(traces.where(partial), F.lit(0)).drop("variant")
@@ -606,7 +602,7 @@ def _(spark, sf):
         ELSE c.closer_ns + 3000000 - e.ts_ns END AS duration_ns) s
     WHERE e.event_id % 6 <> 2 OR e.closer IS NOT NULL"""))
 def http2(spark, sf):
-    traces = http2_exchanges(_written(tables.h2_frames_from_events(spark, sf)), block=16_384 * 16)
+    traces = http2_exchanges(_written(tables.h2_frames_from_events(spark, sf)))
     return traces.select(
         "capture_id", "method", "url", "status_code",
         F.col("request_headers")["user-agent"].alias("agent"),
