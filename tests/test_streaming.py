@@ -7,7 +7,7 @@ from wirebook.operators.http1 import http1_exchanges
 from wirebook.operators.http2 import http2_exchanges
 from wirebook.operators.pairing import pair_requests
 from wirebook.operators.view import ViewOptions
-from wirebook.schema import H2_FRAME_DDL, SEGMENT_DDL
+from wirebook.schema import H2_FRAME_DDL, REQUEST_DDL, RESPONSE_DDL, SEGMENT_DDL
 from wirebook.sources import tables
 from wirebook.sources.store import TraceTable
 from wirebook.streaming.http1_live import http1_stream
@@ -15,7 +15,9 @@ from wirebook.streaming.http2_live import http2_stream
 from wirebook.streaming.ingest import (
     number_copies, read_message_stream, run_summary, start_capture, start_trace_sink,
 )
-from wirebook.streaming.pairing_live import RECORD_DDL, connection_records, pair_stream
+from wirebook.streaming.pairing_live import (
+    RECORD_DDL, connection_records, pair_keyed_streams, pair_stream,
+)
 
 
 def plain(traces):
@@ -45,6 +47,23 @@ def test_live_pairing(spark, sf_dir, tmp_path):
     assert plain(live) == plain(pair_requests(requests, responses, block=1024))
 
 
+def test_keyed_pairing(spark, sf_dir, tmp_path):
+    key = F.expr("seq div 4").alias("exchange_id")
+    requests = tables.requests_from_events(spark, sf_dir)
+    responses = tables.responses_from_events(spark, sf_dir).where("seq % 4 = 2")  # first answers
+    for name, rows in (("q", requests), ("s", responses)):
+        rows.select("*", key).coalesce(1).write.parquet(str(tmp_path / name))
+    read = spark.readStream
+    live = pair_keyed_streams(
+        read.schema(f"{REQUEST_DDL}, exchange_id BIGINT").parquet(str(tmp_path / "q")),
+        read.schema(f"{RESPONSE_DDL}, exchange_id BIGINT").parquet(str(tmp_path / "s")),
+    )
+    table = TraceTable(spark, str(tmp_path / "table"))
+    table.create()
+    start_trace_sink(live, table, "keyed", str(tmp_path / "checkpoint")).awaitTermination()
+    assert plain(table.read()) == plain(pair_requests(requests, responses))
+
+
 def test_live_http1(spark, sf_dir, tmp_path):
     segments = tables.segments_from_events(spark, sf_dir).cache()
     live = through_stream(spark, tmp_path, segments, SEGMENT_DDL, http1_stream)

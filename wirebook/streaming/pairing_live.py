@@ -51,3 +51,30 @@ def pair_stream(records: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
         "s.ended_ns", "s.status_code",
         F.col("s.headers").alias("response_headers"), F.col("s.body").alias("response_body"),
     ))
+
+
+def pair_keyed_streams(
+    requests: DataFrame, responses: DataFrame, key: str = "exchange_id", wait: str = "10 minutes"
+) -> DataFrame:
+    """Pairing of two streams whose rows already carry the key of their exchange.
+
+    A plain stream-stream join: no order per connection is needed, so a busy
+    connection is spread over all tasks. ``wait`` bounds both the state and
+    how late a response may come.
+    """
+
+    def moment(ns: str):
+        return F.timestamp_micros(F.call_function("div", F.col(ns), F.lit(1000)))
+
+    asked = requests.select(
+        key, "conn_id", F.col("seq").alias("request_seq"), "started_ns", "method", "uri", "host", "path",
+        F.col("headers").alias("request_headers"), F.col("body").alias("request_body"),
+        "source_addr", "protocol_version", moment("started_ns").alias("asked_at"),
+    ).withWatermark("asked_at", wait)
+    answered = responses.select(
+        F.col(key).alias("answered_key"), "ended_ns", "status_code",
+        F.col("headers").alias("response_headers"), F.col("body").alias("response_body"),
+        moment("ended_ns").alias("answered_at"),
+    ).withWatermark("answered_at", wait)
+    in_time = F.expr(f"answered_at >= asked_at AND answered_at <= asked_at + INTERVAL {wait}")
+    return paired_record(asked.join(answered, (F.col(key) == F.col("answered_key")) & in_time))
