@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import durable
+from wirebook.llm.common import WORD, durable
 
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -40,8 +40,10 @@ def _let(value: Column, use) -> Column:
 def _repeat_words(words: Column) -> Column:
     """How many words are in windows of ``WINDOW`` words that the text has twice or more.
 
-    Windows are compared by 64-bit hashes. Most texts repeat none, which a set
-    of the hashes shows; only the others sort them to find the places.
+    Words are compared by 64-bit hashes, runs of four by the hash of theirs and
+    windows by the hash of their two runs. Most texts repeat no run, which a
+    set of the hashes shows, and so no window; only the others go on to windows
+    and sort them to find the places.
     """
 
     def places(hashes: Column) -> Column:
@@ -53,13 +55,14 @@ def _repeat_words(words: Column) -> Column:
     covered = lambda p: F.aggregate(
         F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x
     )
-    repeated = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _let(places(h), covered)).otherwise(0)
-
-    def hashed(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
-        return F.when(F.size(w) > WINDOW, _let(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW))), repeated)).otherwise(0)
-
-    return hashed(words)
+    half = WINDOW // 2
+    unlike = lambda h: F.size(F.array_distinct(h)) == F.size(h)
+    repeated = lambda h: F.when(unlike(h), 0).otherwise(_let(places(h), covered))
+    joined = lambda q: F.transform(F.sequence(F.lit(0), F.size(q) - half - 1), lambda i: F.xxhash64(F.get(q, i), F.get(q, i + half)))
+    by_runs = lambda q: F.when(unlike(q), 0).otherwise(_let(joined(q), repeated))
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - half), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(half)]))
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) > WINDOW, _let(hashed, lambda h: _let(runs(h), by_runs))).otherwise(0)
 
 
 def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -68,19 +71,19 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("text"))
 
     def counted(words: Column) -> Column:
-        return F.struct(F.size(words).cast("bigint").alias("n_words"), _repeat_words(words).cast("bigint").alias("n_repeat_words"))
+        chars = F.length(F.array_join(words, "")).cast("bigint").alias("word_chars")
+        return F.struct(F.size(words).cast("bigint").alias("n_words"), chars, _repeat_words(words).cast("bigint").alias("n_repeat_words"))
 
-    lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
     of_lines = _let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), F.size(F.array_distinct(x)).cast("bigint").alias("n_distinct")))
     found = plain.select(
         "doc_id", "stratum",
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         of_lines.alias("lines"),
         _let(F.array_remove(F.split("text", SPACES), ""), counted).alias("words"),
     )
     flat = found.select(
-        "doc_id", "stratum", "words.n_words", "word_chars", "n_symbols", (F.col("lines.n_lines") - F.col("lines.n_distinct")).alias("n_dup_lines"), "words.n_repeat_words", "lines.n_lines"
+        "doc_id", "stratum", "words.n_words", "words.word_chars", "n_symbols", (F.col("lines.n_lines") - F.col("lines.n_distinct")).alias("n_dup_lines"), "words.n_repeat_words", "lines.n_lines"
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
