@@ -98,14 +98,14 @@ WITH d AS (
          CAST([3, 1, 2][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS BIGINT) AS weight
   FROM d GROUP BY source
 ), o AS (
-  SELECT *, CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) - 2.0::DOUBLE * CAST(coalesce(sum(source_size) OVER before, 0) AS DOUBLE) AS rest,
-         CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS open_weight,
-         row_number() OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, encode(source) NULLS LAST) AS at
-  FROM s WINDOW before AS (ORDER BY CAST(source_size AS DOUBLE) / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT *, CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) - 2.0::DOUBLE * CAST(coalesce(sum(source_size) OVER ahead, 0) AS DOUBLE) AS rest,
+         CAST(sum(weight) OVER () - coalesce(sum(weight) OVER ahead, 0) AS DOUBLE) AS open_weight,
+         row_number() OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, encode(source) NULLS LAST) AS nth
+  FROM s WINDOW ahead AS (ORDER BY CAST(source_size AS DOUBLE) / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), u AS (
   SELECT *, rest / open_weight AS unit FROM o
 ), l AS (
-  SELECT min_by(unit, at) AS level FROM u WHERE NOT (unit * weight > 2.0::DOUBLE * source_size)
+  SELECT min_by(unit, nth) AS level FROM u WHERE NOT (unit * weight > 2.0::DOUBLE * source_size)
 ), t AS (
   SELECT source, source_size, coalesce(least(2.0::DOUBLE * source_size, level * weight), 2.0::DOUBLE * source_size) AS target FROM u LEFT JOIN l ON true
 ), r AS (
