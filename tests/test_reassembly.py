@@ -10,7 +10,7 @@ from wirebook.operators.http1 import http1_exchanges
 from wirebook.operators.http2 import data_range, header_block_range, http2_exchanges
 from wirebook.operators.pairing import paired_keys
 from wirebook.operators.running import BLOCK, fitting_block, running
-from wirebook.schema import BUFFER_LIMIT, H2_FRAME_DDL, H2_PREFACE, SEGMENT_DDL
+from wirebook.schema import H2_FRAME_DDL, H2_PREFACE, SEGMENT_DDL
 from wirebook.streaming.http1_live import Http1Processor
 
 
@@ -103,19 +103,25 @@ def test_random_connections(spark):
         assert mine == sorted(ended for _, ended in reference_machine(chunks)), name
 
 
-def test_buffer_limit(spark):
+def test_whole_bodies(spark):
+    fields = b"".join(b"X-%d: v\r\n" % i for i in range(70))
     big = b"HTTP/1.1 200 OK\r\nContent-Length: 900000\r\n\r\n"
     chunk = b"y" * 200_000
     found = by_connection(http1_exchanges(segments_frame(spark, {
-        "capped": [("out", REQUEST), ("in", big)] + [("in", chunk)] * 5 + [("close", None)],
-        "open": [("out", REQUEST), ("in", big)] + [("in", chunk)] * 5,
+        "closed": [("out", REQUEST), ("in", big)] + [("in", chunk)] * 4 + [("close", None)],
+        "whole": [("out", REQUEST), ("in", big)] + [("in", chunk)] * 5,
+        "endless": [("out", REQUEST), ("in", big.replace(b"900000", b"18446744073709551615")), ("in", chunk), ("close", None)],
+        "headers": [("out", REQUEST), ("in", b"HTTP/1.1 200 OK\r\n" + fields + b"Content-Length: 0\r\n\r\n")],
         "fits": [("out", REQUEST), ("in", big.replace(b"900000", b"400000"))] + [("in", chunk)] * 5,
     }), block=2))
-    assert set(found) == {"capped", "fits"}
-    assert found["capped"][0].duration_ns == 7_000_000
+    assert set(found) == {"closed", "whole", "endless", "headers", "fits"}
+    assert found["closed"][0].response_body_bytes == 800_000
+    assert found["whole"][0].duration_ns == 6_000_000
+    assert bytes(found["whole"][0].response_body) == b"y" * 900_000
+    assert found["endless"][0].response_body_bytes == 200_000
+    assert len(found["headers"][0].response_headers) == 71
     assert found["fits"][0].duration_ns == 3_000_000
-    assert found["fits"][0].response_body_bytes == 16_384
-    assert BUFFER_LIMIT == 524_288
+    assert found["fits"][0].response_body_bytes == 400_000
 
 
 def test_frame_ranges(spark):

@@ -5,14 +5,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wirebook.functions.text import cut_utf8, duration_label, first_lines, last_wins, lossy_utf8, rfc3339_ms
+from wirebook.functions.text import clock_utc, cut_utf8, duration_label, first_lines, last_wins, lossy_utf8, rfc3339_ms
 from wirebook.operators.filters import TraceQuery
 from wirebook.operators.page import list_recent, query_page, search_by_url, spans_of_trace
 from wirebook.operators.render import TABLE_HEADER, json_array, json_lines, table_lines
 from wirebook.operators.view import ViewOptions, body_preview, render_view, summary_rows
 from wirebook.plans.presets import agent_capture_status, agent_get_trace, agent_list_traces, get_trace, list_traces, render
 from wirebook.schema import SENSITIVE_HEADERS
-from wirebook.sources.tables import with_storage_columns
+from wirebook.sources.store import TraceTable
+from wirebook.sources.tables import traces_from_events, with_storage_columns
 
 DDL = """span_id STRING, trace_id STRING, parent_span_id STRING, method STRING, url STRING,
     request_headers MAP<STRING,STRING>, request_body BINARY, status_code INT,
@@ -211,7 +212,7 @@ def test_presets(make):
     assert len(get_trace(traces, f"{3:016x}").first().response_body) == 5000
     assert get_trace(traces, f"{77:016x}").isEmpty()
     assert len(agent_get_trace(traces, f"{3:016x}").first().response_body) == 4096
-    with pytest.raises(ValueError, match="no trace found"):
+    with pytest.raises(ValueError, match="not stored"):
         agent_get_trace(traces, f"{77:016x}")
     for bad in ({"status": "9xx"}, {"methods": ["NOPE"]}, {"trace_id": "12"}, {"since": "soon"}):
         with pytest.raises(ValueError):
@@ -221,3 +222,36 @@ def test_presets(make):
     assert agent_capture_status(traces, "c").first().trace_count == 60
     with pytest.raises(ValueError, match="unknown capture"):
         agent_capture_status(traces, "d")
+
+
+def test_pages_of_every_size_agree(spark, tmp_path, sf_dir):
+    """Rows stored under two batch names count as rows, whatever the page size."""
+    table = TraceTable(spark, str(tmp_path / "twice"))
+    stored = traces_from_events(spark, sf_dir).limit(600).persist()
+    table.append(stored, "one")
+    table.append(stored, "two")
+    many = [r.span_id for r in table.page(TraceQuery(limit=1001)).collect()]
+    assert len(many) == 1001
+    assert [r.span_id for r in table.page(TraceQuery(limit=5)).collect()] == many[:5]
+    assert [r.span_id for r in table.page(TraceQuery(limit=5, offset=3)).collect()] == many[3:8]
+
+
+def test_far_bounds(spark, tmp_path, sf_dir):
+    table = TraceTable(spark, str(tmp_path / "far"))
+    table.append(traces_from_events(spark, sf_dir).limit(20), "one")
+    assert table.page(TraceQuery(until_ns=10**21, since_ns=0)).count() == 20
+    assert table.page(TraceQuery(since_ns=10**21)).count() == 0
+
+
+def test_previews_of_hard_bodies(spark):
+    bodies = ['{"a":"\\ud800"}', "1e400", '[1e16,0.00001,1.5,"1e+16"]', "[" * 128 + "]" * 128, '{"b":1,"a":-0}']
+    df = spark.createDataFrame([(i, bytearray(b.encode())) for i, b in enumerate(bodies)], "i INT, body BINARY")
+    found = [r.p for r in df.select("i", body_preview(F.col("body")).alias("p")).orderBy("i").collect()]
+    assert found[0] == bodies[0] and found[1] == "1e400" and found[3] == bodies[3]
+    assert found[2] == '[\n  1e16,\n  0.00001,\n  1.5,\n  "1e+16"\n]'
+    assert found[4] == '{\n  "a": -0.0,\n  "b": 1\n}'
+
+
+def test_clock_of_nanoseconds(spark):
+    row = spark.sql("SELECT 1704758400999999999L AS t, 999999999999999999L AS d").select(clock_utc(F.col("t")).alias("c"), duration_label(F.col("d")).alias("l")).first()
+    assert row.c == "00:00:00" and row.l == "1000000000s"

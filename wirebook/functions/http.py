@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirebook.functions.text import byte_text, byte_text_lossy, last_wins
-from wirebook.schema import MAX_HEADERS, METHODS
+from wirebook.schema import METHODS
 
 
 def known_method(method: Column, ignore_case: bool = True) -> Column:
@@ -49,6 +49,9 @@ def trace_ids(*parts: Column) -> tuple[Column, Column]:
     return F.substring(digest, 1, 32), F.substring(digest, 33, 16)
 
 
+#: So large that adding a head to it still fits a BIGINT.
+ENDLESS = 1 << 62
+
 # Head grammar, on text that has one character per byte.
 _TOKEN = r"[!#$%&'*+\-.^_`|~0-9A-Za-z]+"
 REQUEST_LINE = rf"\A({_TOKEN}) ([\x21-\x7e\x80-\xff]+) HTTP/1\.[01]\z"
@@ -75,7 +78,6 @@ def with_head(df: DataFrame, buffer: str, start_line: str) -> DataFrame:
         F.when(
             (F.length("_found") > 0)
             & F.col("start_line").rlike(start_line)
-            & (F.size("_fields") <= MAX_HEADERS)
             & F.forall("_fields", lambda line: line.rlike(HEADER_LINE)),
             F.length("_found"),
         ),
@@ -108,9 +110,13 @@ def head_status(start_line: Column) -> Column:
 
 
 def content_length(headers: Column) -> Column:
-    """Declared length; null when absent or not a number."""
-    text = headers["content-length"]
-    return F.when(text.rlike(r"\A\+?[0-9]{1,18}\z"), text.cast("bigint"))
+    """Declared length; null when absent or not an unsigned 64-bit number.
+
+    Lengths beyond ENDLESS, which no body reaches, read as that.
+    """
+    digits = F.regexp_extract(headers["content-length"], r"\A\+?0*([0-9]{1,20})\z", 1)
+    number = digits.try_cast("decimal(20,0)")
+    return F.when(number <= F.lit(str((1 << 64) - 1)).cast("decimal(20,0)"), F.least(number, F.lit(ENDLESS).cast("decimal(20,0)")).cast("bigint"))
 
 
 def is_chunked(headers: Column) -> Column:

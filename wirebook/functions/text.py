@@ -113,15 +113,19 @@ def base64_decode(text: Column) -> Column:
     return F.when(base64_encode(data) == text, data)
 
 
+def present(data: Column) -> Column:
+    """A whole body; an empty one counts as none."""
+    return F.when(F.octet_length(data) > 0, data)
+
+
 def cap_bytes(data: Column, limit: int) -> Column:
     """First ``limit`` bytes; an empty body counts as none."""
-    return F.when(F.octet_length(data) > 0, F.substring(data, 1, limit))
+    return F.substring(present(data), 1, limit)
 
 
 def clock_utc(ts_ns: Column) -> Column:
     """``HH:MM:SS`` of the UTC day, independent of the session time zone."""
-    seconds = F.greatest(ts_ns, F.lit(0)) / F.lit(1_000_000_000)
-    whole = F.floor(seconds)
+    whole = F.call_function("div", F.greatest(ts_ns, F.lit(0)), F.lit(1_000_000_000))
     return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600) % 24, F.floor(whole / 60) % 60, whole % 60)
 
 
@@ -140,7 +144,7 @@ def duration_label(ns: Column) -> Column:
     """Rounded to a whole unit (halves to even): ``2s``, ``42ms``, ``850µs``, ``7ns``."""
 
     def whole(unit: int) -> Column:
-        low = F.floor(ns / unit)
+        low = F.call_function("div", ns, F.lit(unit))
         rest = (ns % unit) * 2
         up = (rest > unit) | ((rest == unit) & (low % 2 == 1))
         return (low + up.cast("bigint")).cast("string")

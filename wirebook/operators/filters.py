@@ -34,7 +34,14 @@ def failed(code: Column) -> Column:
 
 
 def day_of(ns: int) -> dt.date:
-    return dt.date(1970, 1, 1) + dt.timedelta(days=ns // _DAY_NS)
+    """The UTC day; days outside of the calendar read as its first or last."""
+    first = dt.date(1970, 1, 1)
+    days = min(max(ns // _DAY_NS, (dt.date.min - first).days), (dt.date.max - first).days)
+    return first + dt.timedelta(days=days)
+
+
+def _bigint(ns: int) -> int:
+    return min(max(ns, -(1 << 63)), (1 << 63) - 1)
 
 
 @dataclass(frozen=True)
@@ -93,11 +100,11 @@ class TraceQuery:
         if self.url_contains is not None:
             parts.append(url_contains(self.url_contains, F.col("url")))
         if self.since_ns is not None:
-            parts.append(F.col("ts_ns") >= self.since_ns)
+            parts.append(F.col("ts_ns") >= F.lit(_bigint(self.since_ns)))
             if has_dt:
                 parts.append(F.col("dt") >= F.lit(day_of(self.since_ns)))
         if self.until_ns is not None:
-            parts.append(F.col("ts_ns") <= self.until_ns)
+            parts.append(F.col("ts_ns") <= F.lit(_bigint(self.until_ns)))
             if has_dt:
                 parts.append(F.col("dt") <= F.lit(day_of(self.until_ns)))
         if self.trace_id is not None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wirebook.operators.running import fitting_block, running
-from wirebook.schema import BUFFER_LIMIT, H2_PREFACE
+from wirebook.schema import H2_PREFACE
 from wirebook.session import durable
 
 FRAME_DDL = """
@@ -70,7 +70,7 @@ def http2_chunks(segments: DataFrame, block: int | None = None) -> DataFrame:
     return epochs.select("conn_id", "seq", "epoch").join(segments, ["conn_id", "seq"])
 
 
-def _cutter(preface: bytes, buffer_limit: int):
+def _cutter(preface: bytes):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, rest = None, b""
         for batch in batches:
@@ -82,8 +82,7 @@ def _cutter(preface: bytes, buffer_limit: int):
                 data = bytes(row.data or b"")
                 if row.dir == "out" and row.seq == row.epoch:
                     data = data[len(preface):]
-                if len(rest) < buffer_limit:
-                    rest += data
+                rest += data  # at most one unfinished frame, of 16 MiB, and this chunk
                 at, part = 0, 0
                 while len(rest) - at >= 9:
                     size = int.from_bytes(rest[at : at + 3], "big")
@@ -108,4 +107,4 @@ def split_frames(segments: DataFrame, block: int | None = None) -> DataFrame:
     place among the frames of that chunk."""
     place = ["conn_id", "epoch", "dir"]
     in_order = http2_chunks(segments, block).repartition(*place).sortWithinPartitions(*place, "seq")
-    return in_order.mapInPandas(_cutter(H2_PREFACE, BUFFER_LIMIT), StructType.fromDDL(FRAME_DDL))
+    return in_order.mapInPandas(_cutter(H2_PREFACE), StructType.fromDDL(FRAME_DDL))

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirebook.functions.http import trace_ids
-from wirebook.functions.text import cap_bytes
+from wirebook.functions.text import present
 from wirebook.operators.running import fitting_block, running
-from wirebook.schema import BUFFER_LIMIT, MESSAGE_BODY_LIMIT
+from wirebook.schema import BUFFER_LIMIT
 from wirebook.session import durable
 from wirebook.sources.tables import with_storage_columns
 
@@ -52,6 +52,10 @@ def header_block_range(payload: Column) -> tuple[Column, Column]:
     return F.when(usable, offset).otherwise(F.lit(0)), F.when(usable, end - offset).otherwise(F.lit(0))
 
 
+#: An unsigned 16-bit number, with the range checked apart.
+STATUS = r"\A\+?0*[0-9]{1,5}\z"
+
+
 def narrow_frames(frames: DataFrame) -> DataFrame:
     """The frames that matter, without payloads and header fields."""
     c = F.col
@@ -64,7 +68,7 @@ def narrow_frames(frames: DataFrame) -> DataFrame:
         "conn_id", "seq", "ts_ns", "dir", "stream_id", "frame_type",
         _flag(END_STREAM).alias("end_stream"), _flag(END_HEADERS).alias("end_headers"),
         F.when(c("frame_type") == DATA, size).alias("size"),
-        status.rlike(r"\A\+?[0-9]{1,5}\z").alias("good_status"), status.isNotNull().alias("any_status"),
+        (status.rlike(STATUS) & (status.try_cast("int") <= 65535)).alias("good_status"), status.isNotNull().alias("any_status"),
         F.when(is_close, c("seq")).alias("close"),
     )
 
@@ -237,10 +241,10 @@ def stream_traces(streams: DataFrame) -> DataFrame:
             F.coalesce(c("request")[":path"], F.lit("/")),
         ).alias("url"),
         _plain(c("request")).alias("request_headers"),
-        cap_bytes(c("request_body"), MESSAGE_BODY_LIMIT).alias("request_body"),
+        present(c("request_body")).alias("request_body"),
         c("response")[":status"].try_cast("int").alias("status_code"),
         _plain(c("response")).alias("response_headers"),
-        cap_bytes(c("response_body"), MESSAGE_BODY_LIMIT).alias("response_body"),
+        present(c("response_body")).alias("response_body"),
         c("born_ns").alias("ts_ns"),
         F.greatest(c("last_ns") - c("born_ns"), F.lit(0)).alias("duration_ns"),
         F.lit(None).cast("string").alias("source_addr"), F.lit(None).cast("string").alias("dest_addr"),

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirebook.functions.http import absolute_url, known_method, trace_ids
-from wirebook.functions.text import cap_bytes
+from wirebook.functions.text import present
 from wirebook.operators.running import fitting_block, running
-from wirebook.schema import PROXY_BODY_LIMIT
 from wirebook.sources.tables import with_storage_columns
 
 
@@ -42,9 +41,9 @@ def paired_record(pairs: DataFrame) -> DataFrame:
         known_method(F.col("method"), ignore_case=False).alias("method"),
         absolute_url(F.col("uri"), F.col("host"), F.col("path")).alias("url"),
         F.col("request_headers"),
-        cap_bytes(F.col("request_body"), PROXY_BODY_LIMIT).alias("request_body"),
+        present(F.col("request_body")).alias("request_body"),
         "status_code", "response_headers",
-        cap_bytes(F.col("response_body"), PROXY_BODY_LIMIT).alias("response_body"),
+        present(F.col("response_body")).alias("response_body"),
         F.col("started_ns").alias("ts_ns"),
         F.greatest(F.col("ended_ns") - F.col("started_ns"), F.lit(0)).alias("duration_ns"),
         "source_addr", F.lit(None).cast("string").alias("dest_addr"), "protocol_version",

@@ -16,6 +16,8 @@ from wirebook.functions.text import (
 )
 
 PREVIEW_LINES = 30
+#: JSON of more levels is shown as plain text.
+JSON_DEPTH = 127
 
 
 @dataclass(frozen=True)
@@ -91,11 +93,48 @@ def _indented_json(text: Column) -> Column:
     @F.pandas_udf(StringType())
     def indented(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import json
+        import math
+        import re
+        from decimal import Decimal
+
+        token = re.compile(r'"(?:[^"\\]|\\.)*"|-?[0-9]+(?:\.[0-9]+)?e[+-][0-9]+|[\[{\]}]', re.S)
+
+        def number(text):
+            value = float(text)
+            if math.isinf(value):
+                raise ValueError(text)
+            return value
+
+        def whole(text):
+            value = int(text)
+            return value if -(1 << 63) <= value < 1 << 64 and text != "-0" else number(text)
+
+        def exponent(found):
+            """Python's 1e+16 and 1e-05 in the form 1e16 and 0.00001."""
+            text = found[0]
+            if "e" not in text or text[0] == '"':
+                return text
+            digits, power = text.split("e")
+            return format(Decimal(text), "f") if int(power) == -5 else f"{digits}e{int(power)}"
+
+        def depth(text):
+            level = most = 0
+            for found in token.finditer(text):
+                level += (found[0] in "[{") - (found[0] in "]}")
+                most = max(most, level)
+            return most
 
         def indent(value):
-            if value is None:
+            """Null for what is only nearly JSON: a lone surrogate, a number out of range, too many levels."""
+            if value is None or depth(value) > JSON_DEPTH:
                 return None
-            return json.dumps(json.loads(value), indent=2, sort_keys=True, ensure_ascii=False)
+            try:
+                parsed = json.loads(value, parse_float=number, parse_int=whole)
+                text = json.dumps(parsed, indent=2, sort_keys=True, ensure_ascii=False)
+                text.encode()
+            except (ValueError, RecursionError):
+                return None
+            return token.sub(exponent, text)
 
         for batch in batches:
             yield batch.map(indent)

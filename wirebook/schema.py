@@ -55,10 +55,7 @@ REDACTED = "[redacted]"
 FAULT_HEADER = "x-fault-injected"
 FAULT_BODY = '{"fault":"injected"}'
 MESSAGE_LIMIT = 60_000        # bytes of one agent message
-MESSAGE_BODY_LIMIT = 16_384   # body bytes carried by one agent message
-PROXY_BODY_LIMIT = 1_048_576  # body bytes kept by the proxy path
-BUFFER_LIMIT = 524_288        # reassembly buffer, bytes
-MAX_HEADERS = 64              # header lines in one HTTP/1.x head
+BUFFER_LIMIT = 1 << 30        # bytes of a message that are put together: half of what one value can hold
 H2_PREFACE = b"PRI * HTTP/2.0\r\n\r\nSM\r\n\r\n"
 
 # Page sizes and body limits of the presets.

@@ -25,7 +25,7 @@ _HEADERS = ["request_headers", "response_headers"]
 
 
 def fits_message(value: Column) -> Column:
-    """Longer messages are never sent."""
+    """Whether a message is short enough to be sent."""
     return F.octet_length(value) <= MESSAGE_LIMIT
 
 
@@ -117,8 +117,9 @@ def rejected_messages(lines: DataFrame) -> DataFrame:
     return read_messages(lines).where("NOT accepted").select(*lines.columns)
 
 
-def to_messages(exchanges: DataFrame) -> DataFrame:
-    """Reassembled exchanges as collector messages; oversize ones are left out."""
+def to_messages(exchanges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reassembled exchanges as collector messages, ``span_id, value``, and with
+    the same columns those that are too long to be sent."""
     message = F.to_json(F.struct(
         "method", "url", "status_code", "request_headers", "response_headers",
         base64_encode(F.col("request_body")).alias("request_body_b64"),
@@ -127,4 +128,6 @@ def to_messages(exchanges: DataFrame) -> DataFrame:
         F.call_function("div", F.col("ts_ns"), F.lit(1_000_000)).alias("timestamp_ms"),
         "dest_addr", "protocol_version",
     ))
-    return exchanges.select("span_id", message.alias("value")).where(fits_message(F.col("value")))
+    rendered = exchanges.select("span_id", message.alias("value"))
+    fits = fits_message(F.col("value"))
+    return rendered.where(fits), rendered.where(~fits)

@@ -5,20 +5,18 @@ from __future__ import annotations
 import datetime as dt
 import re
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirebook.operators.filters import TraceQuery, day_of
-from wirebook.operators.page import newest_first, query_page
+from wirebook.operators.page import query_page
 from wirebook.operators.totals import stats
 from wirebook.params import parse_span_id, parse_trace_id
 from wirebook.schema import BODY_COLUMNS, HISTORY_PAGE, STORE_PAGE, TRACE_COLUMNS, TRACE_DDL
 from wirebook.session import durable
 
-# A page of this many rows or fewer may fetch its bodies in a second, narrow read.
-LATE_FETCH_ROWS = 1_000
-
 # Ids are spread evenly over all files, so only bloom filters can skip row groups for them.
 WRITE_OPTIONS = {
     "partitionOverwriteMode": "dynamic",
@@ -152,7 +150,7 @@ class TraceTable:
     def clear(self, confirm: bool = False) -> None:
         """Delete every trace. Refuses unless confirmed."""
         if not confirm:
-            raise ValueError("pass confirm=True to delete all traces")
+            raise ValueError("clearing deletes every trace; it needs confirm=True")
         (
             self._empty().write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
@@ -185,28 +183,17 @@ class TraceTable:
 
         The newest days are tried first, in growing steps, until they hold
         enough matching rows. The page's keys are found without touching the
-        bodies; then the full rows of just these keys are read, with bounds on
-        day and time that reach the scan.
+        bodies; the full rows are joined to these keys, whose days prune the
+        second scan while it runs. One path for every page size.
         """
         wanted = query.offset + (query.limit or STORE_PAGE)
-        table = self.read()
+        table = self._read_all()
         if query.trace_id is None:
             table = self._newest_days(table, query, wanted)
-        if wanted - query.offset > LATE_FETCH_ROWS:
-            return query_page(table, query, newest)
-        slim = query_page(table.drop(*BODY_COLUMNS), query, newest).select("dt", "ts_ns", "span_id")
-        keys = slim.collect()  # at most LATE_FETCH_ROWS narrow rows
-        if not keys:
-            return self.read().limit(0)
-        times = [k.ts_ns for k in keys]
-        rows = self.read().where(
-            F.col("dt").isin(sorted({k.dt for k in keys}))
-            & F.col("ts_ns").between(min(times), max(times))
-            & F.col("span_id").isin([k.span_id for k in keys])
-        ).where(query.predicate())
-        if query.trace_id is not None and not newest:
-            return rows.orderBy("span_id")
-        return newest_first(rows)
+        key = ["dt", "batch", "ts_ns", "span_id"]
+        keys = query_page(table.drop(*BODY_COLUMNS), query, newest).select(*key).distinct()
+        matching = table.where(query.predicate()).join(keys, key, "left_semi").select(*TRACE_COLUMNS)
+        return query_page(matching, replace(query, limit=query.limit or STORE_PAGE, offset=0), newest)
 
     def _newest_days(self, table: DataFrame, query: TraceQuery, wanted: int) -> DataFrame:
         days = [

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wirebook.functions.http import HEADER_LINE, REQUEST_LINE, STATUS_LINE
 from wirebook.operators.http1 import EXCHANGE, exchange_traces, parsed_requests, parsed_responses
-from wirebook.schema import BUFFER_LIMIT, H2_PREFACE, MAX_HEADERS, METHODS
+from wirebook.schema import BUFFER_LIMIT, H2_PREFACE, METHODS
 from wirebook.streaming.state import IDLE_MS, ConnectionProcessor, per_connection
 
 EXCHANGE_DDL = """
@@ -39,7 +39,7 @@ def head_fields(buffer: bytes, kind: str) -> tuple[int, dict[str, str]] | None:
     if end is None:
         return None
     first, *fields = re.split("\r?\n", buffer[: end.start()].decode("latin-1").removesuffix("\r"))
-    if len(fields) > MAX_HEADERS or not _LINES[kind].match(first):
+    if not _LINES[kind].match(first):
         return None
     parsed = [_FIELD.match(field) for field in fields]
     if not all(parsed):
@@ -51,7 +51,8 @@ def declared_length(headers: dict[str, str]) -> int | None:
     if "chunked" in headers.get("transfer-encoding", "").lower():
         return None
     text = headers.get("content-length", "")
-    return int(text) if re.fullmatch(r"\+?[0-9]{1,18}", text, re.ASCII) else None
+    length = int(text) if re.fullmatch(r"\+?0*[0-9]{1,20}", text, re.ASCII) else None
+    return length if length is not None and length < 1 << 64 else None
 
 
 class Http1Processor(ConnectionProcessor):

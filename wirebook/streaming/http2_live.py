@@ -82,7 +82,8 @@ class Http2Processor(ConnectionProcessor):
         stream["answered"] |= row.dir == "in" and ends
 
     def status(self, stream):
-        return re.fullmatch(r"\+?[0-9]{1,5}", stream["in"].get(":status", ""), re.ASCII)
+        text = stream["in"].get(":status", "")
+        return bool(re.fullmatch(r"\+?0*[0-9]{1,5}", text, re.ASCII)) and int(text) <= 65535
 
     def finished(self, state, stream_id, stream, last_ns):
         return {
