@@ -199,7 +199,8 @@ def write_token_files(
         if ids:
             yield row()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows that share an id, as null ids do, may fill several ranges: the text's hash tells them apart.
+    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     ordered.mapInArrow(pack, SEGMENT_SCHEMA).write.parquet(f"{path}/segments")
     # One row for each part: as many as shuffle partitions, whatever the corpus.
     own = F.max(F.struct("segment", (F.col("start_in_part") + F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("n")))
