@@ -9,12 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirebook.llm import byte_bpe, language, mixing, near_dup, neighbours, pii, quality, shards, token_files, toxicity
+from wirebook.llm import (
+    byte_bpe, divergence, hard_negatives, language, mixing, near_dup, neighbours, packing, pii, quality, shards, token_files, toxicity,
+)
 from wirebook.llm.common import read
 from wirebook.session import shared_dir
 
 KEY = "corpus-pseudonyms-1"
 SHARDS = 24
+SEQUENCE = 1024
 WEIGHTS, BUDGET, MOST = [3, 1, 2], 1.5, 2.0
 
 
@@ -80,11 +83,26 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("doc_id") != F.col("class_id")).alias("is_copy"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", noisy)
+
+
+def op13_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, SEQUENCE)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii_pseudonyms, op2_token_files, op3_sampled_shards, op4_source_mix, op5_quality_cutoffs, op6_byte_bpe,
-        op7_toxicity, op8_neighbour_forest, op9_language, op10_near_duplicates,
+        op7_toxicity, op8_neighbour_forest, op9_language, op10_near_duplicates, op11_source_divergence, op12_hard_negatives,
+        op13_packed_sequences,
     )
 }
 
@@ -115,5 +133,55 @@ WITH d AS (
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r
+""",
+    # Dense: every group of a language gets every kept term, and every pair of groups all of them.
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), o AS (
+  SELECT id, lang, source, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), k AS (
+  SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), v AS (
+  SELECT lang, count(*) AS v FROM k GROUP BY lang
+), a AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, v.v,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS n_group, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS n_lang,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) AS n_term
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (n_group + 5 * v) AS p, 1 + (1000000000::HUGEINT * (n_term + 5)) // (n_lang + 5 * v) AS q FROM a
+), f AS (
+  SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), r AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50
+""",
+    "op12_hard_negatives": r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM e a JOIN e r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
 """,
 }
