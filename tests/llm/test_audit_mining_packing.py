@@ -69,7 +69,7 @@ def test_divergence_over_spilled_runs_and_tiles(spark):
     rows = [(i, " ".join(random.choices(words, k=random.randint(0, 40))), "en" if i % 5 else "de", "hot" if i % 3 == 0 else f"s{i % 11}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string").repartition(9)
     expected = audited(docs.collect(), 3, 50)
-    limits = divergence.Limits(text_bytes=60, block_bytes=2000, slice=3, splits=2, tile=4, tile_bytes=100)
+    limits = divergence.Limits(text_bytes=60, block_bytes=2000, slice=3, merged=10, splits=2, tile=4, tile_bytes=100)
     assert rows_of(divergence.audit(docs, least_docs=3, limits=limits)) == expected
     text = pa.array([r[1] for r in rows])
     offsets, data = np.frombuffer(text.buffers()[1], np.int32).astype(np.int64), np.frombuffer(text.buffers()[2], np.uint8)

@@ -10,8 +10,10 @@ terms that either has; those are summed up while the merged postings stream by.
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -27,12 +29,14 @@ from wirebook.llm.common import durable, ship, strings
 
 @dataclasses.dataclass(frozen=True)
 class Limits:
-    """Bytes of text that are split at once, of postings that a task holds, and postings of a slice; input splits
-    whose postings meet in one shard, on average; sources of a tile of the table of pairs, and bytes of tiles that a task holds."""
+    """Bytes of text that are split at once, of postings that a task holds, and postings of a slice; postings that a
+    merge holds before it takes what is complete; input splits whose postings meet in one shard, on average; sources of
+    a tile of the table of pairs, and bytes of tiles that a task holds."""
 
     text_bytes: int = 4 << 20
     block_bytes: int = 32 << 20
     slice: int = 4096
+    merged: int = 400_000
     splits: int = 8
     tile: int = 256
     tile_bytes: int = 32 << 20
@@ -114,21 +118,28 @@ def _compacted(tables: list[pa.Table]) -> pa.Table:
     return whole.rename_columns([*POSTING, "tf", "df"])
 
 
+def _ranked(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The place of each value among the sorted distinct ones, and those."""
+    coded = column.combine_chunks().dictionary_encode()
+    by = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(by), np.int64)
+    rank[np.asarray(by)] = np.arange(len(by))
+    return rank[np.asarray(coded.indices)], coded.dictionary.take(by)
+
+
 def _spilled(block: pa.Table, shards: int, slice_: int) -> Iterator[pa.RecordBatch]:
-    """A block's postings as a sorted run, in slices of each shard."""
-    block = block.sort_by([(name, "ascending") for name in POSTING])
-    place = pc.binary_join_element_wise(block["lang"], block["term"], "\n")
-    shard = np.fromiter((zlib.crc32(p.encode()) % shards for p in place.to_pylist()), np.int64, len(place))
-    by = np.argsort(shard, kind="stable")
-    block, shard = block.take(pa.array(by)).combine_chunks(), shard[by]
-    bounds = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-    cuts = np.unique(np.concatenate([np.arange(a, b, slice_) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] + [[len(shard)]])).astype(np.int32)
-    columns = {name: block[name].combine_chunks() if isinstance(block[name], pa.ChunkedArray) else block[name] for name in block.column_names}
-    columns = {name: c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for name, c in columns.items()}
-    at = pa.array(cuts[:-1])
-    first = pa.StructArray.from_arrays([columns[name].take(at) for name in POSTING], POSTING)
-    lists = {name: pa.ListArray.from_arrays(pa.array(cuts), columns[name]) for name in (*POSTING, "tf", "df")}
-    rows = pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), first, *lists.values()], ["shard", "first", *lists])
+    """A block's postings as a sorted run, in slices of each shard; a term's shard follows from its hash."""
+    (lang, langs), (term, words), (source, sources) = (_ranked(block[name]) for name in POSTING)
+    shard = np.fromiter((zlib.crc32(w.encode()) % shards for w in words.to_pylist()), np.int64, len(words))[term]
+    by = np.lexsort(((lang * len(words) + term) * len(sources) + source, shard))
+    shard = shard[by]
+    bounds = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+    cuts = np.unique(np.concatenate([np.arange(a, b, slice_) for a, b in itertools.pairwise(bounds)] + [[len(shard)]])).astype(np.int32)
+    columns = [langs.take(pa.array(lang[by])), words.take(pa.array(term[by])), sources.take(pa.array(source[by]))]
+    columns += [pa.array(np.asarray(block[name])[by]) for name in ("tf", "df")]
+    first = pa.StructArray.from_arrays([c.take(pa.array(cuts[:-1])) for c in columns[:3]], POSTING)
+    lists = [pa.ListArray.from_arrays(pa.array(cuts), c) for c in columns]
+    rows = pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), first, *lists], ["shard", "first", *POSTING, "tf", "df"])
     for k in range(0, rows.num_rows, 256):
         yield rows.slice(k, 256)
 
@@ -163,71 +174,80 @@ def runs(docs: DataFrame, shards: int, limits: Limits = LIMITS) -> DataFrame:
     return docs.mapInArrow(index, RUN_DDL)
 
 
-def merged(spilled: DataFrame, shards: int, least_docs: int) -> DataFrame:
+class Merge:
+    """A heap of sorted slices, by their first postings that were not taken yet."""
+
+    def __init__(self, least_docs: int):
+        self.least_docs, self.heap, self.number, self.held = least_docs, [], 0, 0
+
+    def add(self, postings: pa.Table) -> None:
+        heapq.heappush(self.heap, (self._posting(postings, 0), self.number, postings))
+        self.number += 1
+        self.held += postings.num_rows
+
+    @staticmethod
+    def _posting(postings: pa.Table, k: int) -> tuple[str, str, str]:
+        return tuple(postings[name][k].as_py() for name in POSTING)
+
+    def _below(self, postings: pa.Table, bound: tuple) -> int:
+        return bisect.bisect_left(range(postings.num_rows), bound, key=lambda k: self._posting(postings, k))
+
+    def take(self, bound: tuple | None) -> Iterator[tuple]:
+        """``lang, term, sources, counts`` of the kept terms below ``bound``: no slice that comes later has more of them."""
+        parts = []
+        while self.heap and (bound is None or self.heap[0][0] < bound):
+            _, number, postings = heapq.heappop(self.heap)
+            n = postings.num_rows if bound is None else self._below(postings, bound)
+            parts.append(postings.slice(0, n))
+            if n < postings.num_rows:
+                rest = postings.slice(n)
+                heapq.heappush(self.heap, (self._posting(rest, 0), number, rest))
+        if not parts:
+            return
+        whole = pa.concat_tables(parts).combine_chunks()
+        self.held -= whole.num_rows
+        # Terms have no line break, so the last one ends the language.
+        place = pc.binary_join_element_wise(whole["lang"], whole["term"], "\n").combine_chunks().dictionary_encode()
+        code = np.asarray(place.indices)
+        docs = np.bincount(code, np.asarray(whole["df"]), len(place.dictionary))
+        kept = (docs >= self.least_docs) | np.asarray(pc.ends_with(place.dictionary, "\n"))
+        found: dict[tuple[str, str], dict[str, int]] = {}
+        for lang, term, source, tf in zip(*(whole.filter(pa.array(kept[code]))[name].to_pylist() for name in (*POSTING, "tf")), strict=True):
+            counts = found.setdefault((lang, term), {})
+            counts[source] = counts.get(source, 0) + tf
+        for (lang, term), counts in found.items():
+            yield lang, term, list(counts), list(counts.values())
+
+
+def merged(spilled: DataFrame, shards: int, least_docs: int, limits: Limits = LIMITS) -> DataFrame:
     """``key, lang, term, sources, counts`` of every term that enough documents of its language have.
 
     The row of the empty term has every source of the language.
     """
-    ddl = TERM_DDL
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = TaskContext.get().partitionId() << 40
-        out: list[tuple] = []
-        heap: list[tuple] = []  # the next posting of each slice, and the rest of the slice
-        term: tuple[str, str] | None = None
-        counts: dict[str, int] = {}
-        docs = number = 0
-
-        def close() -> None:
-            nonlocal key
-            if term is not None and (docs >= least_docs or term[1] == ""):
-                out.append((key, *term, list(counts), list(counts.values())))
-                key += 1
-
-        def drain(bound: tuple | None) -> None:
-            nonlocal term, counts, docs
-            while heap and (bound is None or heap[0][0] < bound):
-                (lang, word, source, tf, df), n, rest = heap[0]
-                if (lang, word) != term:
-                    close()
-                    term, counts, docs = (lang, word), {}, 0
-                counts[source] = counts.get(source, 0) + tf
-                docs += df
-                following = next(rest, None)
-                if following is None:
-                    heapq.heappop(heap)
-                else:
-                    heapq.heapreplace(heap, (following, n, rest))
-
-        shard = None
+        keys = itertools.count(TaskContext.get().partitionId() << 40)
+        heap, shard = Merge(least_docs), None
         for batch in batches:
             for k in range(batch.num_rows):
                 if batch.column(0)[k].as_py() != shard:
-                    drain(None)
-                    close()
-                    term, shard = None, batch.column(0)[k].as_py()
-                posting = zip(*(batch.column(c)[k].values.to_pylist() for c in range(2, 7)), strict=True)
-                begin = next(posting)
-                # Slices come in the order of their first postings: what is before this one's is complete.
-                drain(begin[:3])
-                heapq.heappush(heap, (begin, number, posting))
-                number += 1
-            if out:
-                yield _terms(out)
-                out.clear()
-        drain(None)
-        close()
-        if out:
-            yield _terms(out)
+                    yield from _terms(heap.take(None), keys)
+                    shard = batch.column(0)[k].as_py()
+                heap.add(pa.table([batch.column(c)[k].values for c in range(2, 7)], [*POSTING, "tf", "df"]))
+                if heap.held > limits.merged:
+                    # Slices come in the order of their first postings: terms before this one's are complete.
+                    first = batch.column(1)[k].as_py()
+                    yield from _terms(heap.take((first["lang"], first["term"], "")), keys)
+        yield from _terms(heap.take(None), keys)
 
     ordered = spilled.repartition(shards, "shard").sortWithinPartitions("shard", "first")
-    return ordered.mapInArrow(merge, ddl)
+    return ordered.mapInArrow(merge, TERM_DDL)
 
 
-def _terms(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True)
+def _terms(found: Iterator[tuple], keys: Iterator[int]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "lang", "term", "sources", "counts"])
+    while rows := [(next(keys), *row) for row in itertools.islice(found, 10_000)]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "lang", "term", "sources", "counts"])
 
 
 def smoothed(count: Column, all_counts: Column, vocabulary: Column) -> Column:
@@ -354,7 +374,7 @@ def audit(
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     splits = plain.select(F.spark_partition_id().alias("split")).distinct().count()
     shards = max(1, splits // limits.splits)
-    found = durable(merged(durable(runs(plain, shards, limits), "runs"), shards, least_docs), "terms")
+    found = durable(merged(durable(runs(plain, shards, limits), "runs"), shards, least_docs, limits), "terms")
     groups, langs = _sizes(found)
     total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, b: a + b)
     each = found.where("term != ''").select("key", "lang", "term", total.alias("total"), F.explode(F.arrays_zip("sources", "counts")).alias("e"))
