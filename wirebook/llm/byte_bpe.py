@@ -14,7 +14,6 @@ the tree's shape can't change the ids.
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from array import array
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import ship, strings
+from wirebook.llm.common import kept, ship, slices, strings
 
 #: Characters of a leaf, and the window that is tried first.
 LEAF = 8192
@@ -38,10 +37,18 @@ RUN = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
 
 class Bpe:
     def __init__(self, path: str, pattern: str):
+        with open(path, "rb") as lines:
+            self._load({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+
+    @classmethod
+    def of_ranks(cls, ranks: dict[bytes, int], pattern: str) -> Bpe:
+        bpe = cls.__new__(cls)
+        bpe._load(ranks, pattern)
+        return bpe
+
+    def _load(self, ranks: dict[bytes, int], pattern: str) -> None:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def leaf(self, text: str) -> array:
@@ -90,9 +97,8 @@ class Bpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-@functools.lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> Bpe:
-    return Bpe(path, pattern)
+    return kept("byte_bpe", (path, pattern), lambda: Bpe(path, pattern))
 
 
 def encode(text: Column | str, path: str, pattern: str) -> Column:
@@ -102,7 +108,9 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
         for batch in batches:
-            yield pa.array([bpe.encode(x).tobytes() for x in strings(batch).to_pylist()], pa.binary())
+            texts = strings(batch)
+            runs = [pa.array([bpe.encode(x).tobytes() for x in texts.slice(a, b - a).to_pylist()], pa.binary()) for a, b in slices(texts)]
+            yield pa.concat_arrays(runs) if runs else pa.array([], pa.binary())
 
     return ids(text)
 
@@ -114,7 +122,9 @@ def decode(ids: Column | str, path: str, pattern: str) -> Column:
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
         for batch in batches:
-            yield pa.array([bpe.decode(array("I", x or b"")) for x in batch.to_pylist()], pa.binary())
+            ids = batch.fill_null(b"")
+            runs = [pa.array([bpe.decode(array("I", x)) for x in ids.slice(a, b - a).to_pylist()], pa.binary()) for a, b in slices(ids)]
+            yield pa.concat_arrays(runs) if runs else pa.array([], pa.binary())
 
     return texts(ids)
 

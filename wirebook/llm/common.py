@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirebook.session import durable
 
-__all__ = ["WORD", "durable", "free_name", "read", "ship", "strings", "unit_hash", "without"]
+__all__ = ["WORD", "durable", "free_name", "kept", "read", "ship", "slices", "strings", "unit_hash", "without"]
 
 #: A word: a run of characters that are not ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,3 +80,41 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.fill_null("") if column.null_count else column
+
+
+#: Text that an operator works on at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about so many bytes together, a longer text alone: what a run needs besides follows its bytes."""
+    sizes = np.asarray(pc.binary_length(texts)) if len(texts) else np.zeros(0, np.int64)
+    begin, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > begin and held + size > most:
+            yield begin, k
+            begin, held = k, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str, key: tuple, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a worker from task to task.
+
+    Spark reuses workers for all operators of an application, so a worker lets
+    go of the others' things first, and gives their memory back.
+    """
+    if owner not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[owner] = {}
+    own = _KEPT[owner]
+    if key not in own:
+        own.clear()
+        own[key] = make()
+    return own[key]

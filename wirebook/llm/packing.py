@@ -11,9 +11,9 @@ meet again in fewer chunks, until there is one.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import itertools
+import json
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,23 +25,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import durable, ship, strings
+from wirebook.llm import byte_bpe
+from wirebook.llm.common import durable, kept, ship, slices, strings
 
 #: Pieces of a chunk on average, and bins that a chunk hands on to the next level.
 CHUNK, HANDED_ON = 50_000, 64
 #: Emptier bins that are looked through for two pieces in exchange for one.
 LOOKED_THROUGH = 64
-#: Text that is encoded at once, segments that a worker remembers, and bytes of a segment that is remembered.
-SLICE_BYTES, REMEMBERED, SEGMENT_BYTES = 4 << 20, 150_000, 48
+#: How byte-level tokenizers split a text, a fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class SegmentEncoder:
-    """Ids of whole texts of a byte-level BPE, each distinct short segment encoded once.
+class TextEncoder:
+    """Ids of whole texts as the tokenizers library has them for a tokenizer file.
 
-    A segment begins at a space before a visible character. There the
-    pre-tokenizer always begins a piece, and what stands before it is split the
-    same way as at the end of a text. Characters beyond Latin letters can be
-    white space and ``<`` can begin a special token, so no segment begins there.
+    Where the file is a byte-level BPE whose ids follow the order of its merges,
+    they are ranks, and the faster matcher of ``byte_bpe`` finds the same ids;
+    tests compare both. Texts that hold one of the added tokens, and tokenizers
+    of another kind, go through the library itself.
     """
 
     def __init__(self, path: str):
@@ -49,58 +50,41 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.opens = np.zeros(256, bool)
-        self.opens[0x21:0x7F] = self.opens[0xC3:0xE1] = self.opens[0xE4:0xF5] = True
-        self.opens[ord("<")] = False
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-
-    def _ids(self, segments: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and where each text's begin and end."""
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        begins = np.flatnonzero((data[:-1] == 0x20) & self.opens[data[1:]])
-        cuts = np.union1d(begins, offsets)
-        segments = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
-        coded = segments.dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        known = self.known
-        new = [s for s in distinct if s not in known]
-        found = dict(zip(new, self._ids(new), strict=True))
-        known.update((s, ids) for s, ids in found.items() if len(s) <= SEGMENT_BYTES)
-        ids = [found[s] if s in found else known[s] for s in distinct]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool, at = (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.cumsum(count) - count
-        of_segment = count[codes]
-        ends = np.cumsum(of_segment)
-        flat = pool[np.repeat(at[codes] - (ends - of_segment), of_segment) + np.arange(ends[-1] if len(ends) else 0)]
-        return flat, np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
-
-
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> SegmentEncoder:
-    return SegmentEncoder(path)
-
-
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about so many bytes together, a longer text alone."""
-    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64))
-    begin, held = 0, 0
-    for k, size in enumerate(sizes.tolist()):
-        if k > begin and held + size > most:
-            yield begin, k
-            begin, held = k, 0
-        held += size
-    if begin < len(sizes):
-        yield begin, len(sizes)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.ranked = _by_ranks(spec)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.ranked is None or any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.frombuffer(self.ranked.leaf(text), np.uint32)
+
+
+def _byte_of_character() -> dict[str, int]:
+    """Byte-level vocabularies write a visible Latin-1 byte as its character, and number the others from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
+def _by_ranks(spec: dict) -> byte_bpe.Bpe | None:
+    model, splits = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if spec["normalizer"] or not plain or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"].get("".join(m)) for m in merges]
+    added = {t["content"] for t in spec["added_tokens"]}
+    byte = _byte_of_character()
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    if None in ids or ids != sorted(ids) or len(set(ids)) < len(ids) or len(ranks) != 256 + len(ids) or min(ids, default=256) < 256:
+        return None
+    return byte_bpe.Bpe.of_ranks(ranks, BYTE_LEVEL)
+
+
+def encoder(path: str) -> TextEncoder:
+    return kept("packing", (path,), lambda: TextEncoder(path))
 
 
 # Packing of lengths
@@ -259,10 +243,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, *, id_col: s
         for batch in batches:
             texts = strings(batch.column(1)).cast(pa.string())
             for begin, end in slices(texts):
-                ids, ends = encoder(tokenizer).encode(texts.slice(begin, end - begin))
                 row, piece, start, length, raw = [], [], [], [], []
-                for k in range(end - begin):
-                    own = np.append(ids[ends[k] : ends[k + 1]], np.uint32(end_id)).astype("<u4")
+                for k, text in enumerate(texts.slice(begin, end - begin).to_pylist()):
+                    own = np.append(encoder(tokenizer).encode(text), np.uint32(end_id)).astype("<u4")
                     first = len(own) % size or size
                     starts = [0, *range(first, len(own), size)]
                     row += [begin + k] * len(starts)
