@@ -19,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import ship, strings, unit_hash
+from wirebook.llm.common import kept, ship, slices, strings, unit_hash
 
 DIMENSIONS = 1024
 #: Documents of each language that prototypes are built from at most, on average, and languages at most.
 FIT_ROWS, MOST_LANGUAGES = 3000, 1000
 UNKNOWN = "und"
-#: Trigrams whose vectors a worker remembers; beyond this many it starts anew.
-REMEMBERED = 40_000
+#: Trigrams whose vectors a worker remembers, a byte a dimension; beyond this many it starts anew. Trigrams that are multiplied at once.
+REMEMBERED, AT_ONCE = 24_576, 2048
 BLOCK = 64
 
 
@@ -51,27 +51,28 @@ class Vectors:
     """Vectors of letters and trigrams, made from their code points alone: every worker makes the same."""
 
     def __init__(self) -> None:
-        self.letter = functools.lru_cache(maxsize=100_000)(self._letter)
+        self.letter = functools.lru_cache(maxsize=8192)(self._letter)
+        self.table = np.zeros((REMEMBERED, DIMENSIONS), np.int8)
         self.forget()
 
     def forget(self) -> None:
-        self.codes, self.order, self.table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
+        self.codes, self.order = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @staticmethod
     def _letter(point: int) -> np.ndarray:
-        return np.random.default_rng([7, point]).choice(np.array([-1, 1], np.float32), DIMENSIONS)
+        return np.random.default_rng([7, point]).choice(np.array([-1, 1], np.float32), DIMENSIONS).astype(np.int8)
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
-        """The rows of ``table`` for distinct codes; new ones are added."""
-        if len(self.codes) > REMEMBERED:
+        """The rows of ``table`` for distinct codes, AT_ONCE at most; new ones are added."""
+        if len(self.codes) + len(codes) > REMEMBERED:
             self.forget()
         new = codes if not len(self.codes) else codes[self.codes[np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)] != codes]
         if len(new):
             parts = [np.unique((new >> s) & 0x1FFFFF, return_inverse=True) for s in (42, 21, 0)]
             bound = [np.stack([np.roll(self.letter(int(p)), shift) for p in points])[back] for shift, (points, back) in zip((2, 1, 0), parts, strict=True)]
-            self.table = np.concatenate([self.table, bound[0] * bound[1] * bound[2]])
-            codes_all = np.concatenate([self.codes, new])
-            order = np.concatenate([self.order, np.arange(len(self.table) - len(new), len(self.table))])
+            place = np.arange(len(self.codes), len(self.codes) + len(new))
+            self.table[place] = bound[0] * bound[1] * bound[2]
+            codes_all, order = np.concatenate([self.codes, new]), np.concatenate([self.order, place])
             by = np.argsort(codes_all, kind="stable")
             self.codes, self.order = codes_all[by], order[by]
         return self.order[np.searchsorted(self.codes, codes)]
@@ -82,20 +83,18 @@ class Vectors:
         for at in range(0, len(texts), BLOCK):
             counted = [np.unique(_trigrams(t), return_counts=True) for t in texts[at : at + BLOCK]]
             codes = np.unique(np.concatenate([c for c, _ in counted]))
-            for begin in range(0, len(codes), REMEMBERED // 2):  # texts in many alphabets
-                some = codes[begin : begin + REMEMBERED // 2]
+            for begin in range(0, len(codes), AT_ONCE):
+                some = codes[begin : begin + AT_ONCE]
                 counts = np.zeros((len(counted), len(some)), np.float32)
                 for k, (c, n) in enumerate(counted):
                     own = (c >= some[0]) & (c <= some[-1])
                     counts[k, np.searchsorted(some, c[own])] = n[own]
-                rows = self.rows(some)
-                out[at : at + len(counted)] += counts @ self.table[rows]
+                out[at : at + len(counted)] += counts @ self.table[self.rows(some)].astype(np.float32)
         return out
 
 
-@functools.cache
 def vectors() -> Vectors:
-    return Vectors()
+    return kept("language", (), Vectors)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -131,9 +130,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         """One vector for each language and task."""
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = _lowered(batch.column(1)).to_pylist(), batch.column(0).to_pylist()
-            for at in range(0, len(texts), 1024):
-                for lang, vector in zip(langs[at : at + 1024], vectors().bundle(texts[at : at + 1024]), strict=True):
+            texts, langs = strings(batch.column(1)), batch.column(0).to_pylist()
+            for begin, end in slices(texts):
+                for lang, vector in zip(langs[begin:end], vectors().bundle(_lowered(texts.slice(begin, end - begin)).to_pylist()), strict=True):
                     sums[lang] = sums.get(lang, 0) + vector.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "vector"])
 
@@ -151,6 +150,7 @@ def predict(text: Column | str, model: Model) -> Column:
     The score is the cosine, 0 where it is negative. A null text and one
     without a letter are ``und`` with score 0, and so is every text if no
     language was learned; of equal cosines the first language in order counts.
+    A text is taken whole, however long, and repeated texts get equal results.
     """
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
@@ -158,10 +158,10 @@ def predict(text: Column | str, model: Model) -> Column:
         matrix = model.matrix() if model.languages else np.zeros((1, DIMENSIONS), np.float32)
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            texts = _lowered(batch).to_pylist()
+            texts = strings(batch)
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for at in range(0, len(texts), 1024):
-                own = vectors().bundle(texts[at : at + 1024])
+            for at, end in slices(texts):
+                own = vectors().bundle(_lowered(texts.slice(at, end - at)).to_pylist())
                 cosine = (own @ matrix.T) / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
                 known = own.any(axis=1) & bool(model.languages)
                 best[at : at + len(own)] = np.where(known, cosine.argmax(1), len(names) - 1)
