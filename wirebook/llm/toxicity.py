@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import ship, strings, unit_hash
+from wirebook.llm.common import kept, ship, slices, strings, unit_hash
 
 #: Labelled rows of each class that are learned from at most, on average: those of the smallest hashes of their ids.
 FIT_ROWS = {1: 3000, 0: 6000}
@@ -32,8 +32,8 @@ SHARE, TIMES = 0.03, 8.0
 WINDOWS = 2000
 BEGINNINGS = (4, 5, 6)
 AROUND = bytes([*range(1, 9), *range(14, 22)])
-#: Margins of windows that a worker remembers; beyond this many it starts anew.
-REMEMBERED = 1_000_000
+#: Margins of words, and of beginnings, that a worker remembers; beyond this many words it starts anew.
+REMEMBERED, BEGINNINGS_REMEMBERED = 150_000, 50_000
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 #: Bytes that the toxic dictionary must save in a window at least: in two or three letters it finds nothing to tell apart.
 LEAST_SAVED = 3
@@ -119,7 +119,7 @@ class Scorer:
         self.nothing = self.by_ordinary("")
         self.known: dict[str, int] = {}
         # Beginnings are few, so they are remembered apart.
-        self.beginning = functools.lru_cache(maxsize=200_000)(self._margin)
+        self.beginning = functools.lru_cache(maxsize=BEGINNINGS_REMEMBERED)(self._margin)
 
     def _margin(self, window: str) -> int:
         ordinary = self.by_ordinary(window)
@@ -131,7 +131,7 @@ class Scorer:
 
     def margins(self, distinct: pa.Array) -> np.ndarray:
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known.clear()
         bare, known = _bare(distinct).to_pylist(), self.known
         for word in bare:
             if word not in known:
@@ -140,6 +140,9 @@ class Scorer:
 
     def hits(self, texts: pa.Array, least: range) -> np.ndarray:
         """For each text and each of ``least``: how many windows have that margin or more."""
+        return np.concatenate([np.zeros((0, len(least)), np.int64), *(self._hits(texts.slice(a, b - a), least) for a, b in slices(texts))])
+
+    def _hits(self, texts: pa.Array, least: range) -> np.ndarray:
         words = _windows(texts)
         coded = words.flatten().dictionary_encode()
         margin = self.margins(coded.dictionary)[np.asarray(coded.indices)]
@@ -151,9 +154,8 @@ class Scorer:
         return out
 
 
-@functools.lru_cache(maxsize=4)
 def scorer(toxic: bytes, ordinary: bytes) -> Scorer:
-    return Scorer(toxic, ordinary)
+    return kept("toxicity", (toxic, ordinary), lambda: Scorer(toxic, ordinary))
 
 
 def _hits(text: Column | str, toxic: bytes, ordinary: bytes, least: range) -> Column:
