@@ -34,10 +34,10 @@ class Limits:
     a tile of the table of pairs, and bytes of tiles that a task holds."""
 
     text_bytes: int = 4 << 20
-    block_bytes: int = 32 << 20
-    slice: int = 4096
-    merged: int = 400_000
-    splits: int = 8
+    block_bytes: int = 24 << 20
+    slice: int = 256
+    merged: int = 300_000
+    splits: int = 1
     tile: int = 256
     tile_bytes: int = 32 << 20
 
