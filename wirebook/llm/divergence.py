@@ -16,6 +16,7 @@ import heapq
 import itertools
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ class Limits:
 
     text_bytes: int = 4 << 20
     block_bytes: int = 24 << 20
-    slice: int = 256
-    merged: int = 300_000
+    slice: int = 512
+    merged: int = 200_000
     splits: int = 1
     tile: int = 256
     tile_bytes: int = 32 << 20
@@ -46,8 +47,7 @@ LIMITS = Limits()
 #: Smoothing: a frequency is 1 + floor(SCALE * (count + PRIOR) / (all counts + PRIOR * terms)).
 SCALE, PRIOR = 1_000_000_000, 5
 
-POSTING = ["lang", "term", "source"]
-RUN_DDL = "shard int, first struct<lang: string, term: string, source: string>, lang array<string>, term array<string>, source array<string>, tf array<bigint>, df array<bigint>"
+RUN_DDL = "shard int, lang string, source string, first string, term array<string>, tf array<bigint>, df array<bigint>"
 TERM_DDL = "key bigint, lang string, term string, sources array<string>, counts array<bigint>"
 
 _BYTES = np.arange(256)
@@ -114,34 +114,32 @@ def _summed(tables: list[pa.Table]) -> pa.Table:
 
 
 def _compacted(tables: list[pa.Table]) -> pa.Table:
-    whole = pa.concat_tables(tables).group_by(POSTING, use_threads=False).aggregate([("tf", "sum"), ("df", "sum")])
-    return whole.rename_columns([*POSTING, "tf", "df"])
-
-
-def _ranked(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-    """The place of each value among the sorted distinct ones, and those."""
-    coded = column.combine_chunks().dictionary_encode()
-    by = pc.sort_indices(coded.dictionary)
-    rank = np.empty(len(by), np.int64)
-    rank[np.asarray(by)] = np.arange(len(by))
-    return rank[np.asarray(coded.indices)], coded.dictionary.take(by)
-
-
-def _spilled(block: pa.Table, shards: int, slice_: int) -> Iterator[pa.RecordBatch]:
-    """A block's postings as a sorted run, in slices of each shard; a term's shard follows from its hash."""
-    (lang, langs), (term, words), (source, sources) = (_ranked(block[name]) for name in POSTING)
-    shard = np.fromiter((zlib.crc32(w.encode()) % shards for w in words.to_pylist()), np.int64, len(words))[term]
-    by = np.lexsort(((lang * len(words) + term) * len(sources) + source, shard))
-    shard = shard[by]
-    bounds = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-    cuts = np.unique(np.concatenate([np.arange(a, b, slice_) for a, b in itertools.pairwise(bounds)] + [[len(shard)]])).astype(np.int32)
-    columns = [langs.take(pa.array(lang[by])), words.take(pa.array(term[by])), sources.take(pa.array(source[by]))]
-    columns += [pa.array(np.asarray(block[name])[by]) for name in ("tf", "df")]
-    first = pa.StructArray.from_arrays([c.take(pa.array(cuts[:-1])) for c in columns[:3]], POSTING)
-    lists = [pa.ListArray.from_arrays(pa.array(cuts), c) for c in columns]
-    rows = pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), first, *lists], ["shard", "first", *POSTING, "tf", "df"])
-    for k in range(0, rows.num_rows, 256):
-        yield rows.slice(k, 256)
+    whole = pa.concat_tables(tables).group_by(["group", "term"], use_threads=False).aggregate([("tf", "sum"), ("df", "sum")])
+    return whole.rename_columns(["group", "term", "tf", "df"])
+
+
+def _spilled(block: pa.Table, groups: list[tuple[str, str]], shards: int, slice_: int) -> Iterator[pa.RecordBatch]:
+    """A block's postings as a term-sorted run, in slices of one group and shard; a term's shard follows from its hash."""
+    coded = block["term"].combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    words = coded.dictionary.take(order)
+    rank = np.empty(len(order), np.int64)
+    rank[np.asarray(order)] = np.arange(len(order))
+    term = rank[np.asarray(coded.indices)]
+    of_word = np.fromiter((zlib.crc32(w.encode()) % shards for w in words.to_pylist()), np.int64, len(words))
+    place = of_word[term] * len(groups) + np.asarray(block["group"])
+    by = np.lexsort((term, place))
+    place, term = place[by], term[by]
+    bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+    cuts = np.unique(np.concatenate([np.arange(a, b, slice_) for a, b in itertools.pairwise(bounds)] + [[len(place)]])).astype(np.int32)
+    shard, group = np.divmod(place[cuts[:-1]], len(groups))
+    lists = [pa.ListArray.from_arrays(pa.array(cuts), c) for c in (words.take(pa.array(term)), *(pa.array(np.asarray(block[name])[by]) for name in ("tf", "df")))]
+    rows = pa.RecordBatch.from_arrays([
+        pa.array(shard.astype(np.int32)), pa.array([groups[g][0] for g in group], pa.string()), pa.array([groups[g][1] for g in group], pa.string()),
+        words.take(pa.array(term[cuts[:-1]])), *lists,
+    ], ["shard", "lang", "source", "first", "term", "tf", "df"])
+    for k in range(0, rows.num_rows, 1024):
+        yield rows.slice(k, 1024)
 
 
 def runs(docs: DataFrame, shards: int, limits: Limits = LIMITS) -> DataFrame:
@@ -149,74 +147,87 @@ def runs(docs: DataFrame, shards: int, limits: Limits = LIMITS) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        number: dict[tuple[str, str], int] = {}
         size = 0
         for batch in batches:
             lang, source, text = (strings(batch.column(k)).cast(pa.string()) for k in range(3))
-            groups = pa.table({"lang": lang, "source": source}).group_by(["lang", "source"], use_threads=False).aggregate([])
-            none = pa.array(np.zeros(groups.num_rows, np.int64))
-            new = [pa.table([groups["lang"], pa.array([""] * groups.num_rows, pa.string()), groups["source"], none, none], [*POSTING, "tf", "df"])]
+            group = np.array([number.setdefault(g, len(number)) for g in zip(lang.to_pylist(), source.to_pylist(), strict=True)], np.int32)
+            none = pa.array(np.zeros(len(np.unique(group)), np.int64))
+            held.append(pa.table([pa.array(np.unique(group)), pa.array([""] * len(none), pa.string()), none, none], ["group", "term", "tf", "df"]))
             offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
             data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
             for counted in _per_document(offsets, data, limits.text_bytes):
                 df = pa.array(np.ones(counted.num_rows, np.int64))
-                new.append(_compacted([pa.table([lang.take(counted["doc"]), counted["term"], source.take(counted["doc"]), counted["tf"], df], [*POSTING, "tf", "df"])]))
-                size += new[-1].nbytes
+                held.append(_compacted([pa.table([pa.array(group[np.asarray(counted["doc"])]), counted["term"], counted["tf"], df], ["group", "term", "tf", "df"])]))
+                size += held[-1].nbytes
                 if size > limits.block_bytes:
-                    held, new = [_compacted(held + new)], []
+                    held = [_compacted(held)]
                     size = held[0].nbytes
                     if size > limits.block_bytes // 2:
-                        yield from _spilled(held[0], shards, limits.slice)
+                        yield from _spilled(held[0], list(number), shards, limits.slice)
                         held, size = [], 0
-            held += new
         if held:
-            yield from _spilled(_compacted(held), shards, limits.slice)
+            yield from _spilled(_compacted(held), list(number), shards, limits.slice)
 
     return docs.mapInArrow(index, RUN_DDL)
 
 
+class Slice(NamedTuple):
+    lang: str
+    source: str
+    term: pa.Array
+    tf: pa.Array
+    df: pa.Array
+
+    def begin(self) -> tuple[str, str]:
+        return self.lang, self.term[0].as_py()
+
+    def cut(self, bound: tuple[str, str] | None) -> tuple[Slice, Slice]:
+        """What is below the bound, and the rest."""
+        n = len(self.term)
+        if bound is not None and self.lang >= bound[0]:
+            n = bisect.bisect_left(range(n), bound[1], key=lambda k: self.term[k].as_py()) if self.lang == bound[0] else 0
+        return self._replace(term=self.term[:n], tf=self.tf[:n], df=self.df[:n]), self._replace(term=self.term[n:], tf=self.tf[n:], df=self.df[n:])
+
+
 class Merge:
-    """A heap of sorted slices, by their first postings that were not taken yet."""
+    """A heap of sorted slices, by their first terms that were not taken yet."""
 
     def __init__(self, least_docs: int):
         self.least_docs, self.heap, self.number, self.held = least_docs, [], 0, 0
 
-    def add(self, postings: pa.Table) -> None:
-        heapq.heappush(self.heap, (self._posting(postings, 0), self.number, postings))
-        self.number += 1
-        self.held += postings.num_rows
-
-    @staticmethod
-    def _posting(postings: pa.Table, k: int) -> tuple[str, str, str]:
-        return tuple(postings[name][k].as_py() for name in POSTING)
+    def add(self, postings: Slice) -> None:
+        self._push(postings)
+        self.held += len(postings.term)
 
-    def _below(self, postings: pa.Table, bound: tuple) -> int:
-        return bisect.bisect_left(range(postings.num_rows), bound, key=lambda k: self._posting(postings, k))
+    def _push(self, postings: Slice) -> None:
+        heapq.heappush(self.heap, (postings.begin(), self.number, postings))
+        self.number += 1
 
-    def take(self, bound: tuple | None) -> Iterator[tuple]:
+    def take(self, bound: tuple[str, str] | None) -> Iterator[tuple]:
         """``lang, term, sources, counts`` of the kept terms below ``bound``: no slice that comes later has more of them."""
-        parts = []
+        parts: dict[str, list[Slice]] = {}
         while self.heap and (bound is None or self.heap[0][0] < bound):
-            _, number, postings = heapq.heappop(self.heap)
-            n = postings.num_rows if bound is None else self._below(postings, bound)
-            parts.append(postings.slice(0, n))
-            if n < postings.num_rows:
-                rest = postings.slice(n)
-                heapq.heappush(self.heap, (self._posting(rest, 0), number, rest))
-        if not parts:
-            return
-        whole = pa.concat_tables(parts).combine_chunks()
-        self.held -= whole.num_rows
-        # Terms have no line break, so the last one ends the language.
-        place = pc.binary_join_element_wise(whole["lang"], whole["term"], "\n").combine_chunks().dictionary_encode()
-        code = np.asarray(place.indices)
-        docs = np.bincount(code, np.asarray(whole["df"]), len(place.dictionary))
-        kept = (docs >= self.least_docs) | np.asarray(pc.ends_with(place.dictionary, "\n"))
-        found: dict[tuple[str, str], dict[str, int]] = {}
-        for lang, term, source, tf in zip(*(whole.filter(pa.array(kept[code]))[name].to_pylist() for name in (*POSTING, "tf")), strict=True):
-            counts = found.setdefault((lang, term), {})
-            counts[source] = counts.get(source, 0) + tf
-        for (lang, term), counts in found.items():
-            yield lang, term, list(counts), list(counts.values())
+            below, rest = heapq.heappop(self.heap)[2].cut(bound)
+            parts.setdefault(below.lang, []).append(below)
+            self.held -= len(below.term)
+            if len(rest.term):
+                self._push(rest)
+        for lang, slices in parts.items():
+            coded = pa.concat_arrays([s.term for s in slices]).dictionary_encode()
+            code = np.asarray(coded.indices)
+            docs = np.bincount(code, np.concatenate([np.asarray(s.df) for s in slices]), len(coded.dictionary))
+            enough = (docs >= self.least_docs) | np.asarray(pc.equal(coded.dictionary, ""))
+            at = np.flatnonzero(enough[code])
+            sources = [s.source for s in slices]
+            source = np.repeat(np.arange(len(slices)), [len(s.term) for s in slices])[at]
+            tf = np.concatenate([np.asarray(s.tf) for s in slices])[at]
+            found: dict[str, dict[str, int]] = {}
+            for term, k, n in zip(coded.dictionary.take(pa.array(code[at])).to_pylist(), source.tolist(), tf.tolist(), strict=True):
+                counts = found.setdefault(term, {})
+                counts[sources[k]] = counts.get(sources[k], 0) + n
+            for term, counts in found.items():
+                yield lang, term, list(counts), list(counts.values())
 
 
 def merged(spilled: DataFrame, shards: int, least_docs: int, limits: Limits = LIMITS) -> DataFrame:
@@ -229,18 +240,17 @@ def merged(spilled: DataFrame, shards: int, least_docs: int, limits: Limits = LI
         keys = itertools.count(TaskContext.get().partitionId() << 40)
         heap, shard = Merge(least_docs), None
         for batch in batches:
-            for k in range(batch.num_rows):
-                if batch.column(0)[k].as_py() != shard:
+            for k, (number, lang, source, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if number != shard:
                     yield from _terms(heap.take(None), keys)
-                    shard = batch.column(0)[k].as_py()
-                heap.add(pa.table([batch.column(c)[k].values for c in range(2, 7)], [*POSTING, "tf", "df"]))
+                    shard = number
                 if heap.held > limits.merged:
-                    # Slices come in the order of their first postings: terms before this one's are complete.
-                    first = batch.column(1)[k].as_py()
-                    yield from _terms(heap.take((first["lang"], first["term"], "")), keys)
+                    # Slices come in the order of their first terms: what is before this one's is complete.
+                    yield from _terms(heap.take((lang, first)), keys)
+                heap.add(Slice(lang, source, *(batch.column(c)[k].values for c in range(4, 7))))
         yield from _terms(heap.take(None), keys)
 
-    ordered = spilled.repartition(shards, "shard").sortWithinPartitions("shard", "first")
+    ordered = spilled.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "first")
     return ordered.mapInArrow(merge, TERM_DDL)
 
 
