@@ -59,24 +59,40 @@ STATUS_LINE = r"\AHTTP/1\.[01] ([0-9]{3})(?: [\t\x20-\x7e\x80-\xff]*)?\z"
 HEADER_LINE = rf"\A({_TOKEN}):[ \t]*([\t\x20-\x7e\x80-\xff]*?)[ \t]*\z"
 
 
+#: Bytes in which the end of a head is looked for first.
+HEAD_WINDOW = 1 << 16
+
+
+def _head_text(buffer: Column, window: int) -> Column:
+    """The head of a buffer as :func:`byte_text`, empty if it has no end within the window."""
+    return F.regexp_extract(byte_text(F.substring(buffer, 1, window)), r"\A(?s:.*?\n)\r?\n", 0)
+
+
 def with_head(df: DataFrame, buffer: str, start_line: str) -> DataFrame:
     """Parse the message head at the start of a byte buffer.
 
-    Adds ``head_size`` (null without a complete, valid head), ``start_line``
-    and ``head_headers`` (lower-case names, last duplicate wins). Built in
-    steps, so that every expression is evaluated once per row.
+    Adds ``head_ended`` (whether an empty line ends it), ``head_size`` (null
+    without a complete, valid head), ``start_line`` and ``head_headers``
+    (lower-case names, last duplicate wins). Built in steps, so that every
+    expression is evaluated once per row. Only the first window of a buffer is
+    decoded where the head ends there, so a body behind it is not.
     """
-    lines = df.withColumn(
-        "_found", F.regexp_extract(byte_text(F.col(buffer)), r"\A(?s:.*?\n)\r?\n", 0)
-    ).withColumn("_lines", F.split(F.regexp_replace("_found", r"\r?\n\r?\n\z", ""), r"\r?\n"))
+    found = df.withColumn("_found", _head_text(F.col(buffer), HEAD_WINDOW))
+    for window in (HEAD_WINDOW << 5, HEAD_WINDOW << 10, 1 << 30):
+        undecided = (F.length("_found") == 0) & (F.octet_length(buffer) > window >> 5)
+        found = found.withColumn("_found", F.when(undecided, _head_text(F.col(buffer), window)).otherwise(F.col("_found")))
+    lines = found.withColumn(
+        "_lines", F.split(F.regexp_replace("_found", r"\r?\n\r?\n\z", ""), r"\r?\n")
+    )
     fields = lines.withColumns({
+        "head_ended": F.length("_found") > 0,
         "start_line": F.get("_lines", F.lit(0)),
         "_fields": F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0))),
     })
     checked = fields.withColumn(
         "head_size",
         F.when(
-            (F.length("_found") > 0)
+            F.col("head_ended")
             & F.col("start_line").rlike(start_line)
             & F.forall("_fields", lambda line: line.rlike(HEADER_LINE)),
             F.length("_found"),
@@ -106,7 +122,7 @@ def head_target(start_line: Column) -> Column:
 
 
 def head_status(start_line: Column) -> Column:
-    return F.regexp_extract(start_line, STATUS_LINE, 1).cast("int")
+    return F.regexp_extract(start_line, STATUS_LINE, 1).try_cast("int")
 
 
 def content_length(headers: Column) -> Column:

@@ -46,7 +46,8 @@ def _bigint(ns: int) -> int:
 
 @dataclass(frozen=True)
 class TraceQuery:
-    """A stored query. ``limit`` 0 means the store's default page."""
+    """A stored query. ``limit`` 0 means the store's default page. ``after`` is
+    the (ts_ns, span_id) of the last row of the page before."""
 
     methods: tuple[str, ...] = ()
     status: StatusRange | None = None
@@ -56,6 +57,7 @@ class TraceQuery:
     trace_id: str | None = None
     limit: int = 0
     offset: int = 0
+    after: tuple[int, str] | None = None
 
     def __post_init__(self):
         if self.limit < 0 or self.offset < 0:
@@ -89,9 +91,10 @@ class TraceQuery:
     def with_page(self, limit: int, offset: int = 0) -> "TraceQuery":
         return replace(self, limit=limit, offset=offset)
 
-    def predicate(self, has_dt: bool = True) -> Column:
+    def predicate(self, has_dt: bool = True, newest: bool = False) -> Column:
         """The filter as a column. Time bounds also become bounds on the
-        partition column, which the optimizer cannot derive from ``ts_ns``."""
+        partition column, which the optimizer cannot derive from ``ts_ns``.
+        ``newest`` is the order that ``after`` refers to."""
         parts = []
         if self.methods:
             parts.append(method_in(list(self.methods), F.col("method")))
@@ -109,4 +112,12 @@ class TraceQuery:
                 parts.append(F.col("dt") <= F.lit(day_of(self.until_ns)))
         if self.trace_id is not None:
             parts.append(F.col("trace_id") == self.trace_id)
+        if self.after is not None:
+            ts_ns, span_id = self.after
+            if self.trace_id is not None and not newest:
+                parts.append(F.col("span_id") > span_id)
+            else:
+                parts.append((F.col("ts_ns") < ts_ns) | ((F.col("ts_ns") == ts_ns) & (F.col("span_id") < span_id)))
+                if has_dt:
+                    parts.append(F.col("dt") <= F.lit(day_of(ts_ns)))
         return reduce(lambda a, b: a & b, parts, F.lit(True))

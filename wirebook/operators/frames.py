@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wirebook.operators.running import fitting_block, running
+from wirebook.operators.scan import FirstSince, scan
 from wirebook.schema import H2_PREFACE
 from wirebook.session import durable
 
@@ -44,30 +44,17 @@ def frame_header(data: Column) -> Column:
     )
 
 
-def http2_chunks(segments: DataFrame, block: int | None = None) -> DataFrame:
+def http2_chunks(segments: DataFrame, partitions: int | None = None) -> DataFrame:
     """Chunks of connections after their HTTP/2 preface, until they close.
     ``epoch`` is the sequence number of the chunk with the preface."""
     preface = (F.col("dir") == "out") & F.startswith(F.col("data"), F.lit(H2_PREFACE))
     narrow = durable(
         segments.select("conn_id", "seq", "dir", F.when(preface, F.col("seq")).alias("preface")), "h2-chunks"
     )
-    block = block or fitting_block(narrow, ["conn_id"], "seq")
-    marked = running(
-        narrow, ["conn_id"], "seq",
-        before={
-            "seen_preface": ("max", F.col("preface")),
-            "last_close": ("max", F.when(F.col("dir") == "close", F.col("seq"))),
-        },
-        block=block,
-    )
     # A preface inside an HTTP/2 connection is plain data, so the first one after a close counts.
-    speaking = F.coalesce(F.col("seen_preface"), F.lit(-1)) > F.coalesce(F.col("last_close"), F.lit(-1))
-    opening = marked.withColumn("opens", F.when(F.col("preface").isNotNull() & ~speaking, F.col("seq")))
-    epochs = running(
-        opening.select("conn_id", "seq", "dir", "opens", "last_close"),
-        ["conn_id"], "seq", through={"epoch": ("max", F.col("opens"))}, block=block,
-    ).where((F.col("dir") != "close") & (F.col("epoch") > F.coalesce("last_close", F.lit(-1))))
-    return epochs.select("conn_id", "seq", "epoch").join(segments, ["conn_id", "seq"])
+    closes = (F.col("dir") == "close").cast("int")
+    epochs = scan(narrow, ["conn_id"], "seq", {"epoch": FirstSince(F.col("preface"), closes)}, partitions)
+    return epochs.where("dir <> 'close' AND epoch IS NOT NULL").select("conn_id", "seq", "epoch").join(segments, ["conn_id", "seq"])
 
 
 def _cutter(preface: bytes):
@@ -102,9 +89,9 @@ def _cutter(preface: bytes):
     return cut
 
 
-def split_frames(segments: DataFrame, block: int | None = None) -> DataFrame:
+def split_frames(segments: DataFrame, partitions: int | None = None) -> DataFrame:
     """All complete frames, each with the chunk that completed it and its
     place among the frames of that chunk."""
     place = ["conn_id", "epoch", "dir"]
-    in_order = http2_chunks(segments, block).repartition(*place).sortWithinPartitions(*place, "seq")
+    in_order = http2_chunks(segments, partitions).repartition(*place).sortWithinPartitions(*place, "seq")
     return in_order.mapInPandas(_cutter(H2_PREFACE), StructType.fromDDL(FRAME_DDL))

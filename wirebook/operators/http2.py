@@ -1,8 +1,10 @@
 """HTTP/2 exchanges from decoded frames.
 
-Input is the ``h2_frames`` table. As for HTTP/1.x, order-dependent steps use
-blocked running values on narrow rows; DATA payloads are joined back on their
-unique key and only for bytes within the buffer limit.
+Input is the ``h2_frames`` table. As for HTTP/1.x, order-dependent steps are
+scans over narrow rows. What a connection keeps in mind is put as associative
+state: the last unfinished header block of each direction, and for each stream
+id a machine of four states whose rounds are the streams that the id stood for,
+one after the other. Payloads are joined back on their unique key.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wirebook.functions.http import trace_ids
 from wirebook.functions.text import present
-from wirebook.operators.running import fitting_block, running
+from wirebook.operators.scan import Last, Machine, Max, Sum, scan
 from wirebook.schema import BUFFER_LIMIT
 from wirebook.session import durable
 from wirebook.sources.tables import with_storage_columns
@@ -21,7 +23,9 @@ from wirebook.sources.tables import with_storage_columns
 DATA, HEADERS, CONTINUATION = 0, 1, 9
 END_STREAM, END_HEADERS, PADDED, PRIORITY = 0x1, 0x4, 0x8, 0x20
 
+#: A stream id of a connection between two closes, and one stream that it stood for.
 STREAM = ["conn_id", "epoch", "stream_id"]
+ROUND = [*STREAM, "round"]
 
 
 def _flag(bit: int) -> Column:
@@ -57,112 +61,160 @@ STATUS = r"\A\+?0*[0-9]{1,5}\z"
 
 
 def narrow_frames(frames: DataFrame) -> DataFrame:
-    """The frames that matter, without payloads and header fields."""
+    """The frames that matter, without payloads and header fields.
+
+    ``status`` is 1 for a good status among a frame's header fields, 0 for a
+    bad one, and null where there is none; the last one counts.
+    """
     c = F.col
     is_close = c("dir") == "close"
     _, size = data_range(c("payload"))
     status = F.try_element_at(F.filter("headers", lambda h: h["name"] == ":status"), F.lit(-1))["value"]
+    good = status.rlike(STATUS) & (status.try_cast("int") <= 65535)
     return frames.where(
         is_close | ((c("stream_id") > 0) & c("frame_type").isin(DATA, HEADERS, CONTINUATION))
     ).select(
-        "conn_id", "seq", "ts_ns", "dir", "stream_id", "frame_type",
+        "conn_id", "seq", "ts_ns", "dir", "tls", "stream_id", "frame_type",
         _flag(END_STREAM).alias("end_stream"), _flag(END_HEADERS).alias("end_headers"),
-        F.when(c("frame_type") == DATA, size).alias("size"),
-        (status.rlike(STATUS) & (status.try_cast("int") <= 65535)).alias("good_status"), status.isNotNull().alias("any_status"),
-        F.when(is_close, c("seq")).alias("close"),
+        F.when(c("frame_type") == DATA, size.cast("bigint")).alias("size"),
+        F.when(status.isNotNull(), F.coalesce(good, F.lit(False)).cast("int")).alias("status"),
     )
 
 
-def tag_frames(narrow: DataFrame, block: int) -> DataFrame:
+def tag_frames(narrow: DataFrame, partitions: int | None = None) -> DataFrame:
     """Add the connection's epoch (number of its last close) and the header
-    block each row belongs to.
+    block each frame belongs to.
 
-    ``block_start`` is the HEADERS frame that opened the header block, null
-    for a CONTINUATION that continues nothing. ``applies`` marks the frame
-    that completes the block; ``ends`` says that the block or DATA frame ends
-    the stream.
+    A connection has one unfinished header block per direction: a HEADERS frame
+    without an end replaces it, and a CONTINUATION frame goes on with it if it
+    has its stream id. ``block_start`` is the HEADERS frame that opened the
+    block, null for a CONTINUATION that continues nothing; ``ends`` says that
+    the block or DATA frame ends the stream.
     """
     c = F.col
-    epochs = running(narrow, ["conn_id"], "seq", before={"last_close": ("max", c("close"))}, block=block)
-    epochs = epochs.withColumn("epoch", F.coalesce("last_close", F.lit(-1)))
-    # The last bit of the code carries END_STREAM of the opening frame.
-    opens = F.when((c("frame_type") == HEADERS) & ~c("end_headers"), c("seq") * 2 + c("end_stream").cast("int"))
-    finishes = F.when((c("frame_type") == CONTINUATION) & c("end_headers"), c("seq"))
-    lined = running(
-        epochs, [*STREAM, "dir"], "seq",
-        before={"opened": ("max", opens), "finished": ("max", finishes)}, block=block,
-    )
-    pending = c("opened") > F.coalesce(c("finished"), F.lit(-1)) * 2 + 1
-    continues = (c("frame_type") == CONTINUATION) & F.coalesce(pending, F.lit(False))
-    started = F.when(c("frame_type") == HEADERS, c("seq")).when(
-        continues, F.call_function("div", c("opened"), F.lit(2))
-    )
-    ends = (
-        F.when(c("frame_type") == CONTINUATION, c("opened") % 2 == 1).otherwise(c("end_stream"))
-    )
+    unfinished = (c("frame_type") == HEADERS) & ~c("end_headers")
+    values = {"last_close": Max(F.when(c("dir") == "close", c("seq")), before=True)}
+    for way in ("out", "in"):
+        opens = unfinished & (c("dir") == way)
+        # The last bit of the code carries END_STREAM of the opening frame.
+        values[f"{way}_opened"] = Max(F.when(opens, c("seq") * 2 + c("end_stream").cast("int")))
+        values[f"{way}_stream"] = Last(F.when(opens, c("stream_id")))
+    lined = scan(narrow, ["conn_id"], "seq", values, partitions).withColumns({
+        "epoch": F.coalesce("last_close", F.lit(-1)),
+        "opened": F.when(c("dir") == "out", c("out_opened")).otherwise(c("in_opened")),
+        "opened_stream": F.when(c("dir") == "out", c("out_stream")).otherwise(c("in_stream")),
+    })
+    begun = F.call_function("div", c("opened"), F.lit(2))
+    continues = (c("frame_type") == CONTINUATION) & (c("opened_stream") == c("stream_id")) & (begun > c("epoch"))
     return lined.select(
-        *STREAM, "seq", "ts_ns", "dir", "frame_type", "size", "good_status", "any_status",
-        started.alias("block_start"),
-        (started.isNotNull() & c("end_headers")).alias("applies"),
-        ends.alias("ends"),
+        *STREAM, "seq", "ts_ns", "dir", "tls", "frame_type", "size", "status", "end_headers",
+        F.when(c("frame_type") == HEADERS, c("seq")).when(continues, begun).alias("block_start"),
+        F.when(c("frame_type") == CONTINUATION, c("opened") % 2 == 1).otherwise(c("end_stream")).alias("ends"),
     )
 
 
-def header_blocks(tagged: DataFrame) -> DataFrame:
-    """Completed header blocks: (stream, dir, block_start, applied_seq, applied_ns, ends, status)."""
+def header_blocks(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Completed header blocks as events (seq is that of the frame that
+    completed it), and the frames of those that have more than one."""
     c = F.col
-    return (
-        tagged.where("block_start IS NOT NULL")
-        .groupBy(*STREAM, "dir", "block_start")
-        .agg(
-            F.min(F.when(c("applies"), c("seq"))).alias("applied_seq"),
-            F.min(F.when(c("applies"), c("ts_ns"))).alias("applied_ns"),
-            F.max(F.when(c("applies"), c("ends"))).alias("ends"),
-            F.max(F.when(c("any_status"), c("good_status"))).alias("status"),
-        )
-        .where("applied_seq IS NOT NULL")
+    whole = tagged.where((c("frame_type") == HEADERS) & c("end_headers"))
+    split = tagged.where("block_start IS NOT NULL").where((c("frame_type") == CONTINUATION) | ~c("end_headers"))
+    block = [*STREAM, "dir", "block_start"]
+    # What comes for a block after the frame that completed it belongs to nothing.
+    applied = split.where("end_headers").groupBy(*block).agg(F.min("seq").alias("applied_seq"))
+    members = durable(split.join(applied, block).where("seq <= applied_seq"), "blocks")
+    at_end = c("seq") == c("applied_seq")
+    ended = members.groupBy(*block).agg(
+        F.max("applied_seq").alias("seq"), F.max(F.when(at_end, c("ts_ns"))).alias("ts_ns"),
+        F.max(F.when(at_end, c("tls"))).alias("tls"), F.max(F.when(at_end, c("ends"))).alias("ends"),
+        F.max_by("status", F.when(c("status").isNotNull(), c("seq"))).alias("status"),
     )
+    columns = [*STREAM, "seq", "ts_ns", "dir", "tls", "block_start", "ends", "status"]
+    return whole.select(*columns).unionAll(ended.select(*columns)), members
 
 
-def stream_spans(tagged: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row per stream that yields a trace: when it began, and the frame that completed it.
+# States of a stream id: no stream; and one with no status yet and no end of
+# the response, a status but no end, an end but no status.
+ABSENT, OPEN, STATUS_ONLY, END_ONLY = range(4)
+_OF = {ABSENT: (False, False), OPEN: (False, False), STATUS_ONLY: (True, False), END_ONLY: (False, True)}
+_AS = {has: state for state, has in _OF.items() if state != ABSENT}
 
-    A stream begins with its first completed header block. It is complete when
-    a status is known and the response side has ended; a close completes every
-    stream that has a status.
-    """
+
+def transition(creates: bool, status: int | None, ends: bool) -> int:
+    """The code of an event. A stream with a good status and an ended response
+    is complete, which ends the round; a bad status takes a good one back."""
+    code = 0
+    for state, (has_status, has_end) in _OF.items():
+        follows, complete = state, False
+        if creates or state != ABSENT:
+            has = (has_status if status is None else bool(status), has_end or ends)
+            complete = has == (True, True)
+            follows = ABSENT if complete else _AS[has]
+        code |= follows << (2 * state) | complete << (8 + state)
+    return code
+
+
+def _transition(is_block: Column) -> Column:
     c = F.col
-    incoming = c("dir") == "in"
-    born = blocks.groupBy(*STREAM).agg(
-        F.min(F.struct("applied_seq", "applied_ns")).alias("born"),
-        F.min(F.when(incoming & c("status"), F.struct("applied_seq", "applied_ns"))).alias("status_at"),
-        F.min(F.when(incoming & c("ends"), F.struct("applied_seq", "applied_ns"))).alias("block_end"),
-    ).where("status_at IS NOT NULL")
-    last_data = tagged.where((c("frame_type") == DATA) & incoming & c("ends")).select(*STREAM, "seq", "ts_ns")
-    data_end = (
-        last_data.join(born.select(*STREAM, c("born.applied_seq").alias("born_seq")), STREAM)
-        .where("seq > born_seq")
-        .groupBy(*STREAM)
-        .agg(F.min(F.struct(c("seq").alias("applied_seq"), c("ts_ns").alias("applied_ns"))).alias("data_end"))
-    )
-    closes = tagged.where("dir = 'close'").select(
-        "conn_id", "epoch", F.struct(c("seq").alias("applied_seq"), c("ts_ns").alias("applied_ns")).alias("closed")
-    )
-    done = F.greatest("status_at", F.least("block_end", "data_end"))
-    return (
-        born.join(data_end, STREAM, "left")
-        .join(closes, ["conn_id", "epoch"], "left")
-        .withColumn("last", F.when(F.coalesce("block_end", "data_end").isNotNull(), done).otherwise(c("closed")))
-        .where("last IS NOT NULL")
-        .select(
-            *STREAM,
-            c("born.applied_seq").alias("born_seq"), c("born.applied_ns").alias("born_ns"),
-            c("last.applied_seq").alias("last_seq"), c("last.applied_ns").alias("last_ns"),
-        )
+    incoming, ends = c("dir") == "in", F.coalesce(c("ends"), F.lit(False))
+    code = F.when(is_block & ~incoming, transition(True, None, False))
+    for status in (None, 0, 1):
+        here = c("status").isNull() if status is None else c("status") == status
+        for end in (False, True):
+            code = code.when(is_block & incoming & here & (ends == end), transition(True, status, end))
+    return code.when(~is_block & incoming & ends, transition(False, None, True)).otherwise(Machine.STAY)
+
+
+def stream_events(tagged: DataFrame, blocks: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Completed header blocks and DATA frames of live streams, with the
+    ``round`` of their stream id; ``state`` is the one after the event,
+    ``completes`` tells that it completed the stream, ``sent`` and ``received``
+    count the stream id's bytes up to it."""
+    c = F.col
+    nothing = F.lit(None)
+    events = durable(
+        blocks.withColumn("size", nothing.cast("bigint")).unionByName(
+            tagged.where(c("frame_type") == DATA).select(*STREAM, "seq", "ts_ns", "dir", "tls", "ends", "size").withColumns({
+                "block_start": nothing.cast("bigint"), "status": nothing.cast("int"),
+            })
+        ), "events")
+    code = _transition(c("block_start").isNotNull())
+    stepped = scan(events, STREAM, "seq", {
+        "state": Machine(code), "earlier": Machine(code, before=True),
+        "sent": Sum(F.when(c("dir") == "out", c("size"))), "received": Sum(F.when(c("dir") == "in", c("size"))),
+    }, partitions)
+    # Data for a stream id that stands for no stream is not kept.
+    return stepped.where((c("earlier") != ABSENT) | c("block_start").isNotNull()).select(
+        *STREAM, c("earlier_round").alias("round"), "seq", "ts_ns", "dir", "tls", "block_start", "size", "state", "sent", "received",
+        (c("state_round") > c("earlier_round")).alias("completes"),
     )
 
 
-def stream_headers(frames: DataFrame, tagged: DataFrame, blocks: DataFrame, spans: DataFrame) -> DataFrame:
+def stream_spans(events: DataFrame, closes: DataFrame, partitions: int | None = None) -> DataFrame:
+    """One row per stream that yields a trace: when it began, and when it was
+    complete or its connection closed; a close completes every stream that has a status."""
+    c = F.col
+    spans = durable(events.groupBy(*ROUND).agg(
+        F.min(F.struct("seq", "ts_ns", "tls")).alias("born"),
+        F.max(F.when(c("completes"), c("ts_ns"))).alias("last_ns"),
+        F.max_by("state", "seq").alias("state"),
+        F.sum(F.when(c("dir") == "out", c("size"))).alias("request_bytes"),
+        F.sum(F.when(c("dir") == "in", c("size"))).alias("response_bytes"),
+        F.min(F.when(c("dir") == "out", c("sent") - c("size"))).alias("sent_before"),
+        F.min(F.when(c("dir") == "in", c("received") - c("size"))).alias("received_before"),
+    ), "streams")
+    open_ = spans.where((c("state") == STATUS_ONLY) & c("last_ns").isNull()).drop("last_ns")
+    nothing = F.lit(None).cast("bigint")
+    # From behind: what follows a stream's birth next is the close that ends it.
+    births = open_.select("conn_id", (c("born.seq") * -1).alias("back"), *ROUND[1:], nothing.alias("close_ns"))
+    ends = closes.select("conn_id", (c("seq") * -1).alias("back"), *[F.lit(None).cast(births.schema[n].dataType).alias(n) for n in ROUND[1:]], c("ts_ns").alias("close_ns"))
+    behind = scan(births.unionAll(ends), ["conn_id"], "back", {"last_ns": Last(c("close_ns"))}, partitions)
+    closed = open_.join(behind.where("round IS NOT NULL AND last_ns IS NOT NULL").select(*ROUND, "last_ns"), ROUND)
+    done = spans.where("last_ns IS NOT NULL").unionByName(closed)
+    return done.withColumns({"born_seq": c("born.seq"), "born_ns": c("born.ts_ns"), "tls": c("born.tls")}).drop("born", "state")
+
+
+def stream_headers(frames: DataFrame, events: DataFrame, members: DataFrame) -> DataFrame:
     """(stream, request, response) header maps, pseudo-headers included.
 
     Every name keeps its last value. The last value is found by an aggregate
@@ -170,56 +222,41 @@ def stream_headers(frames: DataFrame, tagged: DataFrame, blocks: DataFrame, span
     single task's problem.
     """
     c = F.col
-    whole = blocks.join(spans, STREAM).where("applied_seq <= last_seq").select(
-        *STREAM, "dir", "block_start", "applied_seq"
-    )
-    members = tagged.where("block_start IS NOT NULL").select(*STREAM, "dir", "block_start", "seq")
-    used = members.join(whole, [*STREAM, "dir", "block_start"]).where("seq <= applied_seq")
+    owners = events.where("block_start IS NOT NULL").select(*ROUND, "dir", c("seq").alias("applied_seq"), "block_start")
+    whole = owners.where("applied_seq = block_start").withColumn("seq", c("block_start"))
+    parts = members.select("conn_id", "dir", "block_start", "applied_seq", "seq")
+    split = owners.where("applied_seq <> block_start").join(parts, ["conn_id", "dir", "block_start", "applied_seq"])
+    used = whole.unionByName(split.select(*whole.columns))
     fields = used.join(
-        frames.where(c("frame_type").isin(HEADERS, CONTINUATION)).select("conn_id", "seq", "headers"),
-        ["conn_id", "seq"],
-    ).select(*STREAM, "dir", "seq", F.posexplode("headers").alias("position", "header"))
-    latest = fields.groupBy(*STREAM, "dir", c("header.name").alias("name")).agg(
-        F.max_by("header.value", F.struct("seq", "position")).alias("value")
+        frames.where(c("frame_type").isin(HEADERS, CONTINUATION)).select("conn_id", "seq", "headers"), ["conn_id", "seq"]
+    ).select(*ROUND, "dir", "applied_seq", "seq", F.posexplode("headers").alias("position", "header"))
+    latest = fields.groupBy(*ROUND, "dir", c("header.name").alias("name")).agg(
+        F.max_by("header.value", F.struct("applied_seq", "seq", "position")).alias("value")
     )
     pair = F.struct("name", "value")
-    return latest.groupBy(*STREAM).agg(
+    return latest.groupBy(*ROUND).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.when(c("dir") == "out", pair)))).alias("request"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(c("dir") == "in", pair)))).alias("response"),
     )
 
 
-def stream_bodies(frames: DataFrame, tagged: DataFrame, spans: DataFrame, block: int) -> DataFrame:
-    """(stream, request_body, response_body): DATA between birth and completion."""
+def data_bytes(frames: DataFrame, data: DataFrame) -> DataFrame:
+    """DATA events with their ``bytes``, joined on their unique key."""
+    offset, size = data_range(F.col("payload"))
+    piece = F.substring(F.col("payload"), offset + 1, size).alias("bytes")
+    payloads = frames.where(F.col("frame_type") == DATA).select("conn_id", "seq", piece)
+    return data.join(payloads, ["conn_id", "seq"])
+
+
+def stream_bodies(frames: DataFrame, events: DataFrame, spans: DataFrame, longest: int) -> DataFrame:
+    """(stream, request_body, response_body): DATA between birth and completion, up to ``longest`` bytes a body."""
     c = F.col
-    nothing = F.lit(None).cast("bigint")
-    marks = spans.select(
-        *STREAM, F.explode(F.array(
-            F.struct(c("born_seq").alias("seq"), c("born_seq").alias("born"), nothing.alias("ended")),
-            F.struct(c("last_seq").alias("seq"), nothing.alias("born"), c("last_seq").alias("ended")),
-        )).alias("m"),
-    ).select(*STREAM, "m.seq", nothing.cast("string").alias("dir"), nothing.cast("int").alias("size"), "m.born", "m.ended")
-    data = tagged.where(c("frame_type") == DATA).select(
-        *STREAM, "seq", "dir", "size", nothing.alias("born"), nothing.alias("ended")
-    )
-    alive = running(
-        data.unionAll(marks), STREAM, "seq",
-        through={"was_born": ("max", c("born"))}, before={"had_ended": ("max", c("ended"))}, block=block,
-    ).where("dir IS NOT NULL AND was_born IS NOT NULL AND (had_ended IS NULL OR had_ended = seq)")
-    kept = running(
-        alive.select(*STREAM, "seq", "dir", "size"), [*STREAM, "dir"], "seq",
-        before={"filled": ("sum", c("size"))}, block=block,
-    ).where(c("filled") < BUFFER_LIMIT)
-    offset, size = data_range(c("payload"))
-    chunks = kept.select(*STREAM, "seq", "dir").join(
-        frames.where(c("frame_type") == DATA).select(
-            "conn_id", "seq", F.substring(c("payload"), offset + 1, size).alias("data")
-        ),
-        ["conn_id", "seq"],
-    )
-    return chunks.groupBy(*STREAM).agg(
-        F.expr("listagg(data) WITHIN GROUP (ORDER BY seq) FILTER (WHERE dir = 'out')").alias("request_body"),
-        F.expr("listagg(data) WITHIN GROUP (ORDER BY seq) FILTER (WHERE dir = 'in')").alias("response_body"),
+    fits = lambda way, name: (c("dir") == way) & (c(name) <= longest)
+    sizes = spans.select(*ROUND, "request_bytes", "response_bytes")
+    kept = events.where("size > 0").select(*ROUND, "seq", "dir").join(sizes, ROUND).where(fits("out", "request_bytes") | fits("in", "response_bytes"))
+    return data_bytes(frames, kept.select(*ROUND, "seq", "dir")).groupBy(*ROUND).agg(
+        F.expr("listagg(bytes) WITHIN GROUP (ORDER BY seq) FILTER (WHERE dir = 'out')").alias("request_body"),
+        F.expr("listagg(bytes) WITHIN GROUP (ORDER BY seq) FILTER (WHERE dir = 'in')").alias("response_body"),
     )
 
 
@@ -227,11 +264,20 @@ def _plain(headers: Column) -> Column:
     return F.map_filter(headers, lambda name, _: ~F.startswith(name, F.lit(":")))
 
 
+def _ids() -> tuple[Column, Column]:
+    return trace_ids(*[F.col(name).cast("string") for name in (*STREAM, "born_seq")])
+
+
 def stream_traces(streams: DataFrame) -> DataFrame:
     """Trace rows of finished streams."""
     c = F.col
-    trace_id, span_id = trace_ids(c("conn_id"), c("epoch").cast("string"), c("stream_id").cast("string"))
+    trace_id, span_id = _ids()
     scheme = F.coalesce(c("request")[":scheme"], F.when(c("tls"), F.lit("https")).otherwise(F.lit("http")))
+    sizes = [
+        (F.when(c(f"{side}_bytes") > 0, c(f"{side}_bytes")) if f"{side}_bytes" in streams.columns
+         else F.octet_length(present(c(f"{side}_body"))).cast("bigint")).alias(f"{side}_body_bytes")
+        for side in ("request", "response")
+    ]
     return with_storage_columns(streams.select(
         span_id.alias("span_id"), trace_id.alias("trace_id"),
         F.lit(None).cast("string").alias("parent_span_id"),
@@ -245,6 +291,7 @@ def stream_traces(streams: DataFrame) -> DataFrame:
         c("response")[":status"].try_cast("int").alias("status_code"),
         _plain(c("response")).alias("response_headers"),
         present(c("response_body")).alias("response_body"),
+        *sizes,
         c("born_ns").alias("ts_ns"),
         F.greatest(c("last_ns") - c("born_ns"), F.lit(0)).alias("duration_ns"),
         F.lit(None).cast("string").alias("source_addr"), F.lit(None).cast("string").alias("dest_addr"),
@@ -253,23 +300,37 @@ def stream_traces(streams: DataFrame) -> DataFrame:
     ))
 
 
-def http2_exchanges(frames: DataFrame, block: int | None = None) -> DataFrame:
-    """Traces of all streams that were answered in full, or had a status when
-    the connection closed."""
+def _streams(frames: DataFrame, partitions: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans, events and the frames of split header blocks."""
     narrow = durable(narrow_frames(frames), "narrow-frames")
-    block = block or fitting_block(narrow, ["conn_id"], "seq")
-    tagged = durable(tag_frames(narrow, block), "frames")
-    blocks = header_blocks(tagged)
-    spans = durable(stream_spans(tagged, blocks), "streams")
-    headers = stream_headers(frames, tagged, blocks, spans)
-    bodies = stream_bodies(frames, tagged, spans, block)
-    return stream_traces(
-        spans.join(headers, STREAM).join(bodies, STREAM, "left").join(birth_tls(frames), ["conn_id", "born_seq"])
-    )
+    tagged = tag_frames(narrow, partitions)
+    blocks, members = header_blocks(tagged)
+    events = stream_events(tagged, blocks, partitions)
+    return stream_spans(events, narrow.where("dir = 'close'"), partitions), events, members
 
 
-def birth_tls(frames: DataFrame) -> DataFrame:
-    """TLS flag of the frame that a stream began with."""
-    return frames.where(F.col("frame_type").isin(HEADERS, CONTINUATION)).select(
-        "conn_id", F.col("seq").alias("born_seq"), "tls"
-    )
+def http2_exchanges(frames: DataFrame, partitions: int | None = None, longest: int = BUFFER_LIMIT) -> DataFrame:
+    """Traces of all streams that were answered in full, or had a status when
+    the connection closed.
+
+    A body is put together up to ``longest`` bytes. A longer one is null, with
+    its size in the row and its bytes in ``http2_body_parts``.
+    """
+    spans, events, members = _streams(frames, partitions)
+    headers = stream_headers(frames, events, members)
+    bodies = stream_bodies(frames, events, spans, longest)
+    return stream_traces(spans.join(headers, ROUND).join(bodies, ROUND, "left"))
+
+
+def http2_body_parts(frames: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``span_id, side, part, at, bytes``: the bodies of all streams of any
+    size, in the order of ``part``; ``at`` counts the bytes of a body before."""
+    c = F.col
+    spans, events, _ = _streams(frames, partitions)
+    _, span_id = _ids()
+    before = spans.select(*ROUND, span_id.alias("span_id"), "sent_before", "received_before")
+    data = events.where("size > 0").join(before, ROUND)
+    at = F.when(c("dir") == "out", c("sent") - c("size") - c("sent_before")).otherwise(c("received") - c("size") - c("received_before"))
+    side = F.when(c("dir") == "out", F.lit("request")).otherwise(F.lit("response"))
+    placed = data.select("span_id", side.alias("side"), "conn_id", "seq", at.alias("at"))
+    return data_bytes(frames, placed).select("span_id", "side", c("seq").alias("part"), "at", "bytes")

@@ -45,7 +45,7 @@ def query_page(traces: DataFrame, query: TraceQuery, newest: bool = False) -> Da
     A page of one trace id comes in span id order, every other page newest
     first. ``newest=True`` asks for newest first in both cases.
     """
-    matching = traces.where(query.predicate(has_dt="dt" in traces.columns))
+    matching = traces.where(query.predicate(has_dt="dt" in traces.columns, newest=newest))
     if query.trace_id is not None and not newest:
         ordered = matching.orderBy("span_id")
     else:

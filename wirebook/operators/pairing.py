@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from wirebook.functions.http import absolute_url, known_method, trace_ids
 from wirebook.functions.text import present
-from wirebook.operators.running import fitting_block, running
+from wirebook.operators.scan import Max, scan
+from wirebook.session import durable
 from wirebook.sources.tables import with_storage_columns
 
 
-def paired_keys(requests: DataFrame, responses: DataFrame, block: int | None = None) -> DataFrame:
+def paired_keys(requests: DataFrame, responses: DataFrame, partitions: int | None = None) -> DataFrame:
     """(conn_id, request_seq, response_seq) of every answered request.
 
     A request waits until the next response, and a newer request replaces it;
@@ -19,16 +20,12 @@ def paired_keys(requests: DataFrame, responses: DataFrame, block: int | None = N
     connection, if that is a request. Works on keys alone, no payload moves.
     """
     # The last bit of the code tells the kind, the rest is the sequence number.
-    kinds = requests.select("conn_id", "seq", F.lit(1).alias("is_request")).unionAll(
-        responses.select("conn_id", "seq", F.lit(0).alias("is_request"))
-    )
-    block = block or fitting_block(kinds, ["conn_id"], "seq")
-    code = F.col("seq") * 2 + F.col("is_request")
-    previous = running(kinds, ["conn_id"], "seq", before={"previous": ("max", code)}, block=block)
-    return previous.where((F.col("is_request") == 0) & (F.col("previous") % 2 == 1)).select(
-        "conn_id",
-        F.call_function("div", F.col("previous"), F.lit(2)).alias("request_seq"),
-        F.col("seq").alias("response_seq"),
+    code = F.col("seq") * 2
+    codes = durable(requests.select("conn_id", (code + 1).alias("code")).unionAll(responses.select("conn_id", code.alias("code"))), "codes")
+    previous = scan(codes, ["conn_id"], "code", {"previous": Max(F.col("code"), before=True)}, partitions)
+    halved = lambda c: F.call_function("div", F.col(c), F.lit(2))
+    return previous.where("code % 2 = 0 AND previous % 2 = 1").select(
+        "conn_id", halved("previous").alias("request_seq"), halved("code").alias("response_seq")
     )
 
 
@@ -51,10 +48,10 @@ def paired_record(pairs: DataFrame) -> DataFrame:
     ))
 
 
-def pair_requests(requests: DataFrame, responses: DataFrame, block: int | None = None) -> DataFrame:
+def pair_requests(requests: DataFrame, responses: DataFrame, partitions: int | None = None) -> DataFrame:
     """Traces of all answered requests. Both payload joins are on unique keys,
     so no connection is hot."""
-    keys = paired_keys(requests, responses, block)
+    keys = paired_keys(requests, responses, partitions)
     answered = responses.select(
         "conn_id", F.col("seq").alias("response_seq"), "ended_ns", "status_code",
         F.col("headers").alias("response_headers"), F.col("body").alias("response_body"),

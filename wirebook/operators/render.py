@@ -26,14 +26,26 @@ def json_array(page: DataFrame) -> DataFrame:
     The array is ordered again by the page's own order, so the page may be
     gathered in any order. Only for pages: a page is bounded by its limit.
     """
+    return _gathered(page).select(F.to_json(F.transform("rows", lambda r: r["row"]), {"pretty": "true"}).alias("json"))
+
+
+def _gathered(page: DataFrame) -> DataFrame:
     rows = page.select(F.struct(*VIEW_COLUMNS).alias("row"), F.monotonically_increasing_id().alias("at"))
     gathered = F.array_sort(
         F.collect_list(F.struct("at", "row")),
         lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0),
     )
-    return rows.agg(gathered.alias("rows")).select(
-        F.to_json(F.transform("rows", lambda r: r["row"]), {"pretty": "true"}).alias("json")
-    )
+    return rows.agg(gathered.alias("rows"))
+
+
+def json_object(view: DataFrame) -> DataFrame:
+    """Each row as one indented JSON object; for a view of one trace."""
+    return view.select(F.to_json(F.struct(*VIEW_COLUMNS), {"pretty": "true"}).alias("json"))
+
+
+def traces_object(page: DataFrame) -> DataFrame:
+    """One JSON object, ``{"traces": [...]}``, for a page that is already cut and ordered, like ``json_array``."""
+    return _gathered(page).select(F.to_json(F.struct(F.transform("rows", lambda r: r["row"]).alias("traces"))).alias("json"))
 
 
 def table_lines(view: DataFrame) -> DataFrame:

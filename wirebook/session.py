@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +61,27 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@functools.cache
+def _shipped(application: str) -> str:
+    """The package as a zip file, made once for each application."""
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="wirebook-"), "wirebook_code.zip")
+    with zipfile.ZipFile(path, "w") as packed:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                file = os.path.join(folder, name)
+                packed.write(file, os.path.relpath(file, os.path.dirname(top)))
+    return path
+
+
+_SENT: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's code to the workers; Spark hands it to every executor."""
+    path = _shipped(spark.sparkContext.applicationId)
+    if path not in _SENT:
+        spark.sparkContext.addPyFile(path)
+        _SENT.add(path)

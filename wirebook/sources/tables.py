@@ -35,11 +35,15 @@ def micros(ts: Column) -> Column:
 
 
 def with_storage_columns(traces: DataFrame) -> DataFrame:
-    """Add the columns that follow from others: sizes, timestamp, day."""
+    """Add the columns that follow from others: sizes (unless there, for bodies
+    that are kept elsewhere), timestamp, day."""
     moment = F.greatest("ts_ns", F.lit(0))
+    sizes = {
+        f"{body}_bytes": F.octet_length(body).cast("bigint")
+        for body in ("request_body", "response_body") if f"{body}_bytes" not in traces.columns
+    }
     return traces.withColumns({
-        "request_body_bytes": F.octet_length("request_body").cast("bigint"),
-        "response_body_bytes": F.octet_length("response_body").cast("bigint"),
+        **sizes,
         "ts": F.timestamp_micros(F.call_function("div", moment, F.lit(1000))),
         "dt": F.date_from_unix_date(F.call_function("div", moment, F.lit(86_400_000_000_000)).cast("int")),
     }).select(*TRACE_COLUMNS)
@@ -375,3 +379,113 @@ def h2_segments_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts_ns", "dir", F.lit(False).alias("tls"),
         F.substring(c("bytes"), start, size).alias("data"),
     )
+
+
+#: Body sizes that the texts are repeated to, and bytes of a chunk.
+LARGE_BODIES = (1 << 14, 1 << 20, 1 << 26)
+LARGE_CHUNK = 1 << 16
+
+
+def large_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with how often its text is repeated in a chunk, and the
+    chunks that take it past a size: 64 MiB for every 500th, 1 MiB for every 50th, 16 KiB for the others."""
+    c = F.col
+    small, middle, large = LARGE_BODIES
+    docs = read_table(spark, sf_dir, "documents", DOCUMENT_DDL).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sized = docs.withColumn("size", F.octet_length("text").cast("bigint"))
+    target = F.when(c("doc_id") % 500 == 0, large).when(c("doc_id") % 50 == 1, middle).otherwise(small) + F.lit(1)
+    copies = F.greatest(F.lit(1), F.call_function("div", F.lit(LARGE_CHUNK), F.greatest(c("size"), F.lit(1))))
+    chunk = F.greatest(copies * c("size"), F.lit(1))
+    chunks = F.when(c("size") > 0, F.call_function("div", target + chunk - 1, chunk)).otherwise(F.lit(0))
+    return sized.withColumns({"copies": copies.cast("int"), "chunks": chunks.cast("int")})
+
+
+def segments_of_large_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One exchange a document, the repeated text as its response, one chunk after another."""
+    c, eol = F.col, "\r\n"
+    docs = large_texts(spark, sf_dir).withColumn("total", c("size") * c("copies") * c("chunks"))
+    ask = F.concat(F.lit("GET /docs/"), "doc_id", F.lit(f" HTTP/1.1{eol}Host: docs.example.com{eol}{eol}"))
+    answer = F.concat(F.lit(f"HTTP/1.1 200 OK{eol}Content-Length: "), "total", F.lit(eol + eol))
+    steps = docs.select("*", F.explode(F.sequence(F.lit(0), c("chunks") + 1)).alias("step"))
+    text = F.when(c("step") == 0, ask).when(c("step") == 1, answer).otherwise(F.repeat("text", c("copies")))
+    return steps.select(
+        F.concat(F.lit("d-"), "doc_id").alias("conn_id"), c("step").cast("bigint").alias("seq"),
+        (c("doc_id") * 1_000_000_007 + c("step") * MS).alias("ts_ns"),
+        F.when(c("step") == 0, F.lit("out")).otherwise(F.lit("in")).alias("dir"), F.lit(False).alias("tls"), text.cast("binary").alias("data"),
+    )
+
+
+_FIELD_TYPE = "array<struct<name:string,value:string>>"
+
+
+def _fields(*pairs) -> Column:
+    return F.array(*[
+        F.struct(F.lit(n).alias("name"), (F.lit(v) if isinstance(v, str) else v).alias("value")) for n, v in pairs
+    ]).cast(_FIELD_TYPE)
+
+
+def h2_frames_of_large_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream a document on seven connections, the repeated text as its DATA frames."""
+    c = F.col
+    docs = large_texts(spark, sf_dir)
+    steps = docs.select("*", F.explode(F.sequence(F.lit(0), c("chunks") + 1)).alias("step"))
+    head = c("step") <= 1
+    last = c("step") == c("chunks") + 1
+    ask = _fields((":method", "GET"), (":path", F.concat(F.lit("/docs/"), "doc_id")), (":authority", "docs.example.com"))
+    fields = F.when(c("step") == 0, ask).when(c("step") == 1, _fields((":status", "200"))).otherwise(F.array().cast(_FIELD_TYPE))
+    return steps.select(
+        F.concat(F.lit("d-"), c("doc_id") % 7).alias("conn_id"), (c("doc_id") * 100_000 + c("step")).alias("seq"),
+        (c("doc_id") * 1_000_000_007 + c("step") * MS).alias("ts_ns"),
+        F.when(c("step") == 0, F.lit("out")).otherwise(F.lit("in")).alias("dir"), F.lit(False).alias("tls"),
+        F.when(head, 1).otherwise(0).cast("int").alias("frame_type"),
+        (F.when(head, 4).otherwise(0) + F.when(last | (c("step") == 0), 1).otherwise(0)).cast("int").alias("flags"),
+        (c("doc_id") * 2 + 1).alias("stream_id"),
+        F.when(head, F.lit(b"")).otherwise(F.repeat("text", c("copies")).cast("binary")).alias("payload"),
+        fields.alias("headers"),
+    )
+
+
+def h2_frames_of_reused_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP/2 frames of five connections whose stream ids 1, 3 and 5 are used
+    again and again. By ``event_id % 5``: 0 plain; 1 a bad status first, a good
+    one after the end; 2 a good status that a bad one takes back; 3 a header
+    block that another one replaces; 4 unfinished blocks in both directions at once."""
+    c = F.col
+
+    def frame(step, direction, kind, flags, stream, payload=None, headers=None) -> Column:
+        return F.struct(
+            F.lit(step).alias("step"), F.lit(direction).alias("dir"), F.lit(kind).cast("int").alias("frame_type"),
+            F.lit(flags).cast("int").alias("flags"), stream.alias("stream_id"),
+            (F.lit(b"") if payload is None else payload).alias("payload"),
+            (F.array().cast(_FIELD_TYPE) if headers is None else headers).alias("headers"),
+        )
+
+    data = F.coalesce("response_text", F.lit("")).cast("binary")
+    status = c("status_code").cast("string")
+    shared, own = (c("event_id") % 3 * 2 + 1).cast("bigint"), (c("event_id") * 2 + 101).cast("bigint")
+    ask = _fields((":method", c("method")), (":path", c("path")), (":authority", c("host")))
+    good, variant = _fields((":status", status)), c("event_id") % 5
+    steps = (
+        F.when(variant == 0, F.array(
+            frame(0, "out", 1, 5, shared, headers=ask), frame(1, "in", 1, 4, shared, headers=good), frame(2, "in", 0, 1, shared, data)))
+        .when(variant == 1, F.array(
+            frame(0, "out", 1, 5, shared, headers=ask), frame(1, "in", 1, 4, shared, headers=_fields((":status", "bad"))),
+            frame(2, "in", 0, 1, shared, data), frame(3, "in", 1, 4, shared, headers=good)))
+        .when(variant == 2, F.array(
+            frame(0, "out", 1, 5, own, headers=ask), frame(1, "in", 1, 4, own, headers=good),
+            frame(2, "in", 1, 4, own, headers=_fields((":status", "70000"))), frame(3, "in", 0, 1, own, data)))
+        .when(variant == 3, F.array(
+            frame(0, "out", 1, 0, own, headers=_fields((":path", "/lost"))),
+            frame(1, "out", 1, 1, shared, headers=_fields((":method", c("method")), (":path", c("path")))),
+            frame(2, "out", 9, 4, own, headers=_fields((":authority", "lost"))),
+            frame(3, "out", 9, 4, shared, headers=_fields((":authority", c("host")))),
+            frame(4, "in", 1, 4, shared, headers=good), frame(5, "in", 0, 1, shared, data)))
+        .otherwise(F.array(
+            frame(0, "out", 1, 0, shared, headers=_fields((":method", c("method")), (":path", c("path")))),
+            frame(1, "in", 1, 0, shared, headers=good), frame(2, "in", 9, 4, shared, headers=_fields(("content-type", "text/plain"))),
+            frame(3, "out", 9, 4, shared, headers=_fields((":authority", c("host")))), frame(4, "in", 0, 1, shared, data)))
+    )
+    return _event_fields(spark, sf_dir).select("event_id", "user_id", "ts_ns", F.inline(steps)).select(
+        F.concat(F.lit("r-"), c("user_id") % 5).alias("conn_id"), (c("event_id") * FRAME_STRIDE + c("step")).alias("seq"),
+        (c("ts_ns") + c("step") * MS).alias("ts_ns"), "dir", F.lit(False).alias("tls"), "frame_type", "flags", "stream_id", "payload", "headers",
+    )

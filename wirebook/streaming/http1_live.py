@@ -130,7 +130,7 @@ def http1_stream(segments: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
             F.col("request").alias("buffer"), marks("request"),
         ),
         keep=["carried"],
-    )
+    ).where("head_size IS NOT NULL")
     asked = F.struct(
         F.col("carried.ended_ns").alias("ended_ns"),
         "tls", "asked_ns", "method", "url", "request_headers", "request_body",
@@ -141,4 +141,4 @@ def http1_stream(segments: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
         ),
         keep=["asked"],
     )
-    return exchange_traces(responses.select("*", "asked.*"))
+    return exchange_traces(responses.where("head_size IS NOT NULL").select("*", "asked.*"))

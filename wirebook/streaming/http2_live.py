@@ -15,7 +15,7 @@ from wirebook.schema import BUFFER_LIMIT
 from wirebook.streaming.state import IDLE_MS, ConnectionProcessor, per_connection
 
 STREAM_DDL = """
-    conn_id STRING, epoch BIGINT, stream_id BIGINT, tls BOOLEAN, born_ns BIGINT, last_ns BIGINT,
+    conn_id STRING, epoch BIGINT, stream_id BIGINT, born_seq BIGINT, tls BOOLEAN, born_ns BIGINT, last_ns BIGINT,
     request STRING, response STRING, request_body BINARY, response_body BINARY
 """
 
@@ -27,7 +27,7 @@ def _data(payload: bytes, flags: int) -> bytes:
 
 
 class Http2Processor(ConnectionProcessor):
-    """State: open streams by id, and the unfinished header block per stream and direction."""
+    """State: open streams by id, and the unfinished header block of each direction."""
 
     def fresh(self):
         return {"epoch": -1, "streams": {}, "blocks": {}}
@@ -62,20 +62,21 @@ class Http2Processor(ConnectionProcessor):
         stream["answered"] |= row.dir == "in" and bool(int(row.flags) & END_STREAM)
 
     def header(self, state, row):
-        place = (row.stream_id, row.dir)
         flags = int(row.flags)
         fields = [(h["name"], h["value"]) for h in row.headers]
         ends = bool(flags & END_STREAM)
         if row.frame_type == CONTINUATION:
-            if place not in state["blocks"]:
+            # Goes on with the direction's unfinished block, if that has its stream id.
+            stream_id, begun, ends = state["blocks"].get(row.dir, (None, [], False))
+            if stream_id != row.stream_id:
                 return
-            begun, ends = state["blocks"].pop(place)
             fields = begun + fields
+            del state["blocks"][row.dir]
         if not flags & END_HEADERS:
-            state["blocks"][place] = (fields, ends)
+            state["blocks"][row.dir] = (row.stream_id, fields, ends)
             return
         stream = state["streams"].setdefault(row.stream_id, {
-            "tls": bool(row.tls), "born_ns": row.ts_ns, "out": {}, "in": {},
+            "tls": bool(row.tls), "born_seq": int(row.seq), "born_ns": row.ts_ns, "out": {}, "in": {},
             "out_body": b"", "in_body": b"", "answered": False,
         })
         stream[row.dir].update(fields)
@@ -87,7 +88,7 @@ class Http2Processor(ConnectionProcessor):
 
     def finished(self, state, stream_id, stream, last_ns):
         return {
-            "epoch": state["epoch"], "stream_id": int(stream_id), "tls": stream["tls"],
+            "epoch": state["epoch"], "stream_id": int(stream_id), "born_seq": stream["born_seq"], "tls": stream["tls"],
             "born_ns": stream["born_ns"], "last_ns": last_ns,
             "request": json.dumps(stream["out"]), "response": json.dumps(stream["in"]),
             "request_body": stream["out_body"], "response_body": stream["in_body"],
