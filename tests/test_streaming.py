@@ -44,7 +44,7 @@ def test_live_pairing(spark, sf_dir, tmp_path):
     responses = tables.responses_from_events(spark, sf_dir)
     records = connection_records(requests, responses)
     live = through_stream(spark, tmp_path, records, RECORD_DDL, pair_stream)
-    assert plain(live) == plain(pair_requests(requests, responses, block=1024))
+    assert plain(live) == plain(pair_requests(requests, responses))
 
 
 def test_keyed_pairing(spark, sf_dir, tmp_path):
@@ -67,13 +67,13 @@ def test_keyed_pairing(spark, sf_dir, tmp_path):
 def test_live_http1(spark, sf_dir, tmp_path):
     segments = tables.segments_from_events(spark, sf_dir).cache()
     live = through_stream(spark, tmp_path, segments, SEGMENT_DDL, http1_stream)
-    assert plain(live) == plain(http1_exchanges(segments, block=4096))
+    assert plain(live) == plain(http1_exchanges(segments))
 
 
 def test_live_http2(spark, sf_dir, tmp_path):
     frames = tables.h2_frames_from_events(spark, sf_dir).cache()
     live = through_stream(spark, tmp_path, frames, H2_FRAME_DDL, http2_stream)
-    assert plain(live) == plain(http2_exchanges(frames, block=4096))
+    assert plain(live) == plain(http2_exchanges(frames))
 
 
 def test_capture_tee(spark, sf_dir, tmp_path):

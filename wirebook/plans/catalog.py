@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,24 +16,25 @@ from wirebook.functions.text import (
 from wirebook.operators.faults import injected_faults, rule_coverage, rule_matches
 from wirebook.operators.frames import split_frames
 from wirebook.operators.filters import TraceQuery, failed, url_contains
-from wirebook.operators.http1 import http1_exchanges
-from wirebook.operators.http2 import http2_exchanges
+from wirebook.operators.http1 import http1_body_parts, http1_exchanges
+from wirebook.operators.http2 import http2_body_parts, http2_exchanges
 from wirebook.operators.page import (
     get_by_span_id, list_recent, query_page, search_by_url, spans_of_trace,
 )
 from wirebook.operators.pairing import pair_requests
 from wirebook.operators.render import json_array, json_lines, table_lines
 from wirebook.operators.totals import capture_status, count_listed, count_traces, stats
-from wirebook.operators.view import ViewOptions, render_view, summary_rows, trace_detail
+from wirebook.operators.view import ViewOptions, header_preview, render_view, summary_rows, trace_detail
 from wirebook.params import parse_fault_rules
 from wirebook.plans.oracle import CORE, EVENTS, core, events, lossy_cut, rfc3339
 from wirebook.plans.presets import (
-    agent_get_trace, agent_list_traces, get_trace, list_traces, live_list, search_traces,
+    agent_get_trace, agent_list_json, agent_list_traces, agent_stats_json, get_trace, get_trace_json, list_traces, live_list,
+    search_traces,
 )
-from wirebook.schema import SENSITIVE_HEADERS
+from wirebook.schema import METHODS, SENSITIVE_HEADERS
 from wirebook.session import durable, shared_dir
 from wirebook.sources import tables
-from wirebook.sources.messages import message_traces, rejected_messages
+from wirebook.sources.messages import message_traces, rejected_messages, to_messages
 from wirebook.sources.store import TraceTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +177,14 @@ def _(spark, sf):
     return pages.where(url_contains("EXAMPLE.org", F.col("url"))).select("span_id", "url")
 
 
+@query("filter_url_unicode", """
+    SELECT printf('%016x', doc_id) AS span_id FROM documents WHERE contains(lower('http://x/' || text), 'réau') OR contains(lower('http://x/' || text), 'schü')""")
+def _(spark, sf):
+    d = tables.read_table(spark, sf, "documents", tables.DOCUMENT_DDL)
+    url = F.concat(F.lit("http://x/"), "text")
+    return d.where(url_contains("RÉAU", url) | url_contains("SchÜ", url)).select(F.lower(F.lpad(F.hex("doc_id"), 16, "0")).alias("span_id"))
+
+
 @query("filter_failed", core("WHERE status_code >= 400"))
 def _(spark, sf):
     return _core(tables.traces_from_events(spark, sf).where(failed(F.col("status_code"))))
@@ -198,6 +208,11 @@ def _(spark, sf):
     return stats(tables.traces_from_events(spark, sf), "events").select("total_traces", "data_dir")
 
 
+@query("stats_sessions", "SELECT count(*) AS total_traces, 'events' AS data_dir, 0 AS active_sessions FROM events")
+def _(spark, sf):
+    return stats(tables.traces_from_events(spark, sf), "events")
+
+
 @query("session_status", events(
     "SELECT capture_id, count(*) AS trace_count, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns "
     "FROM t GROUP BY capture_id"))
@@ -352,6 +367,14 @@ def _(spark, sf):
         F.col("response_headers")["Set-Cookie"].alias("cookie"))
 
 
+@query("header_preview_cut", f"""
+    SELECT doc_id, CASE WHEN strlen(text) > 60 THEN {lossy_cut('text', 59)} || '…' ELSE text END AS long, lang AS short FROM documents""")
+def _(spark, sf):
+    d = tables.read_table(spark, sf, "documents", tables.DOCUMENT_DDL)
+    shown = header_preview(F.create_map(F.lit("x-text"), F.col("text"), F.lit("x-lang"), F.col("lang")))
+    return d.select("doc_id", shown["x-text"].alias("long"), shown["x-lang"].alias("short"))
+
+
 @query("table_render", events(f"""
     SELECT {rfc3339('ts_ns // 1000000')} || '  ' || rpad(method, 7, ' ') || '  ' || lpad(status_code::VARCHAR, 6, ' ')
       || '  ' || lpad((duration_ns // 1000000)::VARCHAR, CAST(greatest(6, length((duration_ns // 1000000)::VARCHAR)) AS INTEGER), ' ') || 'ms  ' || rpad(span_id, 17, ' ') || '  ' || url AS line FROM t"""))
@@ -359,7 +382,20 @@ def _(spark, sf):
     return table_lines(render_view(tables.traces_from_events(spark, sf), ViewOptions(headers_only=True)))
 
 
-@query("jsonl_render")
+def _sql_text(value: str) -> str:
+    return f"CAST(to_json({value}) AS VARCHAR)"
+
+
+_VIEW_JSON = f"""'{{"timestamp_ms":' || (ts_ns // 1000000) || ',"duration_ms":' || (duration_ns // 1000000) || ',"method":"' || method
+      || '","url":"' || url || '","status_code":' || status_code || ',"request_headers":{{"authorization":"' || authorization_
+      || '","accept":"*/*"}},"response_headers":{{"content-type":"application/json","Set-Cookie":"' || cookie || '"'
+      || CASE WHEN fault THEN ',"x-fault-injected":"yes"' ELSE '' END || '}}'
+      || coalesce(',"request_body":' || {_sql_text('request_text')}, '') || coalesce(',"response_body":' || {_sql_text('response_text')}, '')
+      || coalesce(',"request_body_bytes":' || strlen(request_text), '') || coalesce(',"response_body_bytes":' || strlen(response_text), '')
+      || ',"source_addr":"10.0.0.' || (user_id % 250) || ':4000","protocol_version":"HTTP/1.1","trace_id":"' || trace_id || '","span_id":"' || span_id || '"}}'"""
+
+
+@query("jsonl_render", events(f"SELECT {_VIEW_JSON} AS line FROM t"))
 def _(spark, sf):
     return json_lines(render_view(tables.traces_from_events(spark, sf)))
 
@@ -387,8 +423,50 @@ def _(spark, sf):
     return json_array(page).select(F.array_join(F.transform(rows, lambda r: r["span_id"]), ",").alias("spans"))
 
 
+_PAGE_FIELDS = "timestamp_ms BIGINT, method STRING, url STRING, status_code INT, response_body STRING, span_id STRING"
+
+
+@query("json_array_fields", events(f"""
+    SELECT ts_ns // 1000000 AS timestamp_ms, method, url, status_code, response_text AS response_body, span_id,
+      CAST(row_number() OVER ({NEWEST}) - 1 AS INTEGER) AS place FROM t {NEWEST} LIMIT 50"""))
+def _(spark, sf):
+    page = list_traces(tables.traces_from_events(spark, sf), max_body=0)
+    rows = F.from_json("json", f"array<struct<{_PAGE_FIELDS.replace(' BIGINT', ':BIGINT').replace(' STRING', ':STRING').replace(' INT', ':INT')}>>")
+    return json_array(page).select(F.posexplode(rows).alias("place", "r")).select("r.*", "place")
+
+
 # Presets
 
+@query("cli_get_object", events(f"SELECT {_VIEW_JSON} AS json FROM t WHERE span_id = '{SPAN}'"))
+def _(spark, sf):
+    text = get_trace_json(tables.traces_from_events(spark, sf), SPAN)
+    # The text is indented, as the first line shows; without the space it is the line of the JSON lines form.
+    pretty = F.startswith("json", F.lit('{\n  "timestamp_ms" : '))
+    return text.where(pretty).select(F.regexp_replace(F.regexp_replace("json", r'\n *', ""), '" : ', '":').alias("json"))
+
+
+@query("agent_list_object", events(f"""
+    SELECT '{{"traces":[' || string_agg({_VIEW_JSON.replace("|| authorization_", "|| '[redacted]'").replace("|| cookie", "|| '[redacted]'")}, ',' {NEWEST}) || ']}}' AS json
+    FROM (SELECT * FROM t WHERE status_code BETWEEN 400 AND 499 {NEWEST} LIMIT 20)"""))
+def _(spark, sf):
+    return agent_list_json(tables.traces_from_events(spark, sf), status="4xx")
+
+
+@query("agent_stats_object", """SELECT '{"total_traces":' || count(*) || ',"data_dir":"events","active_sessions":0}' AS json FROM events""")
+def _(spark, sf):
+    return agent_stats_json(tables.traces_from_events(spark, sf), "events")
+
+
+@query("agent_get_redacted", events(f"""
+    SELECT span_id, '[redacted]' AS authorization_, '[redacted]' AS cookie, '*/*' AS accept, response_text AS response_body
+    FROM t WHERE span_id = '{SPAN}'"""))
+def _(spark, sf):
+    found = agent_get_trace(tables.traces_from_events(spark, sf), SPAN)
+    return found.select(
+        "span_id", F.col("request_headers")["authorization"].alias("authorization_"), F.col("response_headers")["Set-Cookie"].alias("cookie"),
+        F.col("request_headers")["accept"].alias("accept"), "response_body")
+
+
 @query("cli_list", events(f"""
     SELECT span_id, authorization_, response_text AS response_body FROM t
     WHERE method IN ('POST') {NEWEST} LIMIT 5 OFFSET 2"""))
@@ -444,6 +522,40 @@ def _(spark, sf):
     return rejected_messages(tables.agent_messages_from_events(spark, sf)).select("event_id")
 
 
+@query("ingest_ids", events("""
+    SELECT event_id, substr(sha256(event_id::VARCHAR), 1, 32) AS trace_id, substr(sha256(event_id::VARCHAR), 33, 16) AS span_id
+    FROM t WHERE event_id % 10 NOT IN (3, 7, 8, 9)"""))
+def _(spark, sf):
+    lines = tables.agent_messages_from_events(spark, sf)
+    found = message_traces(lines, F.col("event_id").cast("string")).select("trace_id", "span_id", "ts_ns")
+    digest = F.sha2(F.col("event_id").cast("string"), 256)
+    return lines.select("event_id", F.substring(digest, 33, 16).alias("span_id")).join(found.drop("ts_ns"), "span_id").select("event_id", "trace_id", "span_id")
+
+
+@query("message_sizes", """
+    WITH m AS (SELECT printf('%016x', doc_id) AS span_id, '{"method":"GET","url":"http://docs.example.com/' || source || '/' || lang || '/' || doc_id
+        || '","status_code":200,"request_headers":{"accept":"*/*"},"response_headers":{"content-type":"text/plain"},"response_body_b64":"' || to_base64(encode(text))
+        || '","duration_ms":' || (doc_id % 1000) || ',"timestamp_ms":' || (doc_id * 1000000007 // 1000000) || ',"protocol_version":"HTTP/1.1"}' AS value FROM documents)
+    SELECT span_id, md5(value) AS digest, strlen(value) AS bytes, strlen(value) <= 60000 AS sent FROM m""")
+def _(spark, sf):
+    sent, too_long = to_messages(tables.traces_from_documents(spark, sf))
+    sides = [side.select("span_id", F.md5("value").alias("digest"), F.octet_length("value").alias("bytes"), F.lit(fits).alias("sent")) for side, fits in ((sent, True), (too_long, False))]
+    return sides[0].unionAll(sides[1])
+
+
+_NAMES = ["get", "POST", "Put", "delete", "PATCH", "head", "OPTIONS", "trace", "CONNECT", "brew", ""]
+
+
+@query("method_values", f"""
+    WITH m AS (SELECT event_id, [{', '.join(repr(n) for n in _NAMES)}][event_id % 11 + 1] AS name FROM events), k AS (SELECT [{', '.join(repr(m) for m in METHODS)}] AS known)
+    SELECT event_id, CASE WHEN list_contains(known, upper(name)) THEN upper(name) ELSE 'GET' END AS any_case,
+      CASE WHEN list_contains(known, name) THEN name ELSE 'GET' END AS exact_case FROM m, k""")
+def _(spark, sf):
+    e = tables.read_table(spark, sf, "events", tables.EVENT_DDL)
+    name = F.get(F.array(*[F.lit(n) for n in _NAMES]), (F.col("event_id") % 11).cast("int"))
+    return e.select("event_id", known_method(name).alias("any_case"), known_method(name, ignore_case=False).alias("exact_case"))
+
+
 @query("method_normalise", """
     SELECT event_id, 'GET' AS any_case,
       'GET' AS exact_case, CASE WHEN event_id % 2 = 0 THEN 'DELETE' ELSE 'GET' END AS deleted FROM events""")
@@ -572,6 +684,54 @@ def http1(spark, sf):
     return _exchange_columns(traces, F.lit(0)).drop("variant")
 
 
+@query("http1_sparse_connections", events(f"SELECT * EXCLUDE (variant) FROM ({_HTTP1_SQL})"))
+def _(spark, sf):
+    """One dense connection with a third of all rows beside connections whose sequence numbers have large gaps."""
+    segments = tables.segments_from_events(spark, sf)
+    sparse = F.when(F.col("conn_id") == "c-hot", F.col("seq")).otherwise(F.col("seq") * 1_000_000_007)
+    return _exchange_columns(http1_exchanges(_written(segments.withColumn("seq", sparse))), F.lit(0)).drop("variant")
+
+
+_LARGE_SQL = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS size FROM documents), p AS (
+      SELECT *, CASE WHEN doc_id % 500 = 0 THEN 67108865 WHEN doc_id % 50 = 1 THEN 1048577 ELSE 16385 END AS target,
+        greatest(1, 65536 // greatest(size, 1)) AS copies FROM d), r AS (
+      SELECT doc_id, text, CASE WHEN size = 0 THEN 0 ELSE copies * ((target + copies * size - 1) // (copies * size)) END AS times FROM p)
+    SELECT 'http://docs.example.com/docs/' || doc_id AS url, nullif(strlen(text) * times, 0) AS response_body_bytes,
+      CASE WHEN times > 0 THEN md5(repeat(text, times)) END AS digest FROM r"""
+
+
+@query("http1_large_bodies", _LARGE_SQL)
+def _(spark, sf):
+    traces = http1_exchanges(_written(tables.segments_of_large_bodies(spark, sf)))
+    return traces.select("url", "response_body_bytes", F.md5("response_body").alias("digest"))
+
+
+@query("http2_large_bodies", _LARGE_SQL)
+def _(spark, sf):
+    traces = http2_exchanges(_written(tables.h2_frames_of_large_bodies(spark, sf)))
+    return traces.select("url", "response_body_bytes", F.md5("response_body").alias("digest"))
+
+
+_PARTS_SQL = f"SELECT count(*) AS bodies, sum(response_body_bytes)::BIGINT AS bytes, max(response_body_bytes)::BIGINT AS longest FROM ({_LARGE_SQL}) WHERE response_body_bytes > 0"
+
+
+def _part_totals(parts: DataFrame) -> DataFrame:
+    """Totals over all bodies; parts that overlap, or leave a gap, would show in the sizes."""
+    each = parts.groupBy("span_id", "side").agg(F.sum(F.octet_length("bytes")).alias("n"), F.max(F.col("at") + F.octet_length("bytes")).alias("reach"))
+    return each.where("n = reach").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("bytes"), F.max("n").alias("longest"))
+
+
+@query("http1_body_parts", _PARTS_SQL)
+def _(spark, sf):
+    return _part_totals(http1_body_parts(_written(tables.segments_of_large_bodies(spark, sf))))
+
+
+@query("http2_body_parts", _PARTS_SQL)
+def _(spark, sf):
+    return _part_totals(http2_body_parts(_written(tables.h2_frames_of_large_bodies(spark, sf))))
+
+
 @query("http1_teardown", events(f"SELECT * EXCLUDE (variant) FROM ({_HTTP1_SQL}) WHERE variant IN (4, 5)"))
 def _(spark, sf):
     # Only a close ends a chunked answer, or one with fewer bytes than announced.
@@ -610,6 +770,27 @@ def http2(spark, sf):
         _text("request_body"), _text("response_body"), "ts_ns", "duration_ns")
 
 
+@query("http2_reused_streams", events("""
+    SELECT 'r-' || (user_id % 5) AS capture_id, method, 'http://' || host || path AS url, status_code,
+      CASE WHEN event_id % 5 = 4 THEN 'text/plain' END AS content_type, response_text AS response_body,
+      ts_ns + CASE event_id % 5 WHEN 3 THEN 3000000 WHEN 4 THEN 2000000 ELSE 0 END AS ts_ns,
+      CAST(CASE WHEN event_id % 5 = 1 THEN 3000000 ELSE 2000000 END AS BIGINT) AS duration_ns
+    FROM t WHERE event_id % 5 <> 2"""))
+def _(spark, sf):
+    traces = http2_exchanges(_written(tables.h2_frames_of_reused_streams(spark, sf)))
+    return traces.select(
+        "capture_id", "method", "url", "status_code", F.col("response_headers")["content-type"].alias("content_type"),
+        _text("response_body"), "ts_ns", "duration_ns")
+
+
+@query("pair_ids", events("""
+    WITH p AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'p-hot' ELSE 'p-' || user_id END AS conn FROM t WHERE event_id % 7 <> 3)
+    SELECT conn AS capture_id, ts_ns, substr(sha256(conn || ':' || (event_id * 4)), 1, 32) AS trace_id, substr(sha256(conn || ':' || (event_id * 4)), 33, 16) AS span_id FROM p""").replace("WITH p AS", ", p AS", 1))
+def _(spark, sf):
+    traces = pair_requests(tables.requests_from_events(spark, sf), tables.responses_from_events(spark, sf))
+    return traces.select("capture_id", "ts_ns", "trace_id", "span_id")
+
+
 @query("http2_split_frames", events("""
     SELECT 's-' || event_id AS conn_id, f.dir, f.frame_type, f.flags, event_id % 1000000 * 2 + 1 AS stream_id, f.payload
     FROM t, LATERAL (VALUES
@@ -692,3 +873,69 @@ def _(spark, sf):
     table = _stored(spark, tables.traces_from_events(spark, sf))
     table.clear(confirm=True)
     return table.stats().select("total_traces")
+
+
+def _changed(spark: SparkSession, sf: str) -> TraceTable:
+    """All traces appended; then failures come again with an earlier time, and those not found once more."""
+    traces = tables.traces_from_events(spark, sf)
+    table = _stored(spark, traces)
+    table.insert(traces.where("status_code >= 400").withColumns({
+        "method": F.lit("PATCH"), "ts_ns": F.col("ts_ns") - 3 * 86_400_000_000_000, "dt": F.date_sub("dt", 3)}), "failures")
+    table.insert(traces.where("status_code = 404").withColumn("method", F.lit("HEAD")), "not-found")
+    return table
+
+
+def _changed_sql(rest: str = "") -> str:
+    return events(f"""SELECT span_id, trace_id, CASE WHEN status_code = 404 THEN 'HEAD' WHEN status_code >= 400 THEN 'PATCH' ELSE method END AS method, url, status_code,
+      ts_ns - CASE WHEN status_code >= 400 AND status_code <> 404 THEN 259200000000000 ELSE 0 END AS ts_ns, duration_ns FROM t {rest}""")
+
+
+@query("store_duplicate_ids", _changed_sql())
+def _(spark, sf):
+    return _core(_changed(spark, sf).read())
+
+
+@query("store_lookup", _changed_sql("WHERE span_id = '0000000000000005'"))
+def _(spark, sf):
+    return _core(_changed(spark, sf).get_by_span_id("0000000000000005"))
+
+
+@query("store_spans", _changed_sql(f"WHERE trace_id = '{TRACE}'"))
+def _(spark, sf):
+    return _core(_changed(spark, sf).spans_of_trace(TRACE))
+
+
+@query("store_compact", _changed_sql())
+def _(spark, sf):
+    table = _changed(spark, sf)
+    table.compact()
+    return _core(table.read())
+
+
+@query("store_changed_page", f"SELECT * FROM ({_changed_sql()}) WHERE status_code >= 400 {NEWEST} LIMIT 60 OFFSET 10")
+def _(spark, sf):
+    return _core(_changed(spark, sf).page(TraceQuery.parse(status="400-599", limit=60, offset=10)))
+
+
+@query("store_cursor", core(f"WHERE method = 'GET' {NEWEST} LIMIT 40 OFFSET 40"))
+def _(spark, sf):
+    table = _stored(spark, tables.traces_from_events(spark, sf))
+    first = TraceQuery.parse(methods=["get"], limit=40)
+    # A cursor is the last row of the page before: one row, whatever the table.
+    last = table.page(first).select("ts_ns", "span_id").orderBy("ts_ns", "span_id").first()
+    return _core(table.page(replace(first, after=(last.ts_ns, last.span_id))))
+
+
+@query("store_history", core(f"WHERE status_code < 400 {NEWEST} LIMIT 1000"))
+def _(spark, sf):
+    traces = tables.traces_from_events(spark, sf)
+    table = TraceTable(spark, f"{shared_dir(spark)}/traces-{uuid.uuid4().hex}")
+    table.append(traces.where("status_code < 400"), "first")
+    history, _ = table.history_and_tail()
+    table.append(traces.where("status_code >= 400"), "later")  # belongs to the tail
+    return _core(history)
+
+
+@query("store_count", "SELECT count(*) AS total_traces FROM events")
+def _(spark, sf):
+    return spark.range(1).select(F.lit(_changed(spark, sf).count()).cast("bigint").alias("total_traces"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -25,17 +27,22 @@ def read_message_stream(spark: SparkSession, folder: str, max_files: int = 1000)
 def number_copies(lines: DataFrame) -> DataFrame:
     """Tell equal lines of one source apart by a copy number.
 
-    Equal lines are counted first, which combines map-side, and the count is
+    Only hashes are shuffled to find the lines that come again; the others are
+    not moved. Copies are counted, which combines map-side, and the count is
     then spread out again, so many copies of one line are no hot group.
     """
-    counted = lines.groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("copies"))
-    return counted.select(*lines.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    others = [c for c in lines.columns if c != "value"]
+    keyed = lines.withColumn("_hash", F.sha2("value", 256))
+    again = keyed.groupBy(*others, "_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    once = keyed.join(again, [*others, "_hash"], "left_anti").select(*lines.columns, F.lit(1).cast("bigint").alias("copy"))
+    copied = keyed.join(again, [*others, "_hash"]).groupBy(*others, "_hash").agg(F.first("value").alias("value"), F.first("copies").alias("copies"))
+    return once.unionByName(copied.select(*lines.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")))
 
 
 def batch_traces(lines: DataFrame, capture_id: str) -> DataFrame:
-    """Traces of one micro-batch, with ids that a retry repeats."""
+    """Traces of one micro-batch, with ids that a retry repeats and another capture does not share."""
     numbered = number_copies(lines)
-    source = F.concat_ws(":", "origin", F.col("copy").cast("string"), "value")
+    source = F.concat_ws(":", F.lit(capture_id), "origin", F.col("copy").cast("string"), "value")
     return message_traces(numbered, source).withColumn("capture_id", F.lit(capture_id))
 
 
@@ -53,18 +60,23 @@ def write_traces(
         lines.write.mode("overwrite").text(f"{view_folder}/batch={batch}")
 
 
+#: One query at a time starts with the setting changed; a running query keeps the settings it started with.
+_STARTING = threading.Lock()
+
+
 def _start(spark: SparkSession, writer: DataStreamWriter, drain: bool, every: str) -> StreamingQuery:
-    if not drain:
-        return writer.trigger(processingTime=every).start()
-    # State with a time to live asks for empty batches for ever; a draining
-    # query must not run them, or it would never end.
     setting = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        return writer.trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(setting, before)
+    with _STARTING:
+        if not drain:
+            return writer.trigger(processingTime=every).start()
+        # State with a time to live asks for empty batches for ever; a draining
+        # query must not run them, or it would never end.
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, "false")
+        try:
+            return writer.trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(setting, before)
 
 
 def start_capture(
