@@ -238,15 +238,17 @@ def merged(spilled: DataFrame, shards: int, least_docs: int, limits: Limits = LI
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = itertools.count(TaskContext.get().partitionId() << 40)
-        heap, shard = Merge(least_docs), None
+        heap, shard, most = Merge(least_docs), None, limits.merged
         for batch in batches:
             for k, (number, lang, source, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if number != shard:
                     yield from _terms(heap.take(None), keys)
                     shard = number
-                if heap.held > limits.merged:
+                if heap.held > most:
                     # Slices come in the order of their first terms: what is before this one's is complete.
                     yield from _terms(heap.take((lang, first)), keys)
+                    # Slices that are mostly open are not cut again before as many have come.
+                    most = max(limits.merged, 2 * heap.held)
                 heap.add(Slice(lang, source, *(batch.column(c)[k].values for c in range(4, 7))))
         yield from _terms(heap.take(None), keys)
 
