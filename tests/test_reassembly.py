@@ -1,12 +1,14 @@
 """Reassembly against plain Python on small, hard inputs."""
 
 import collections
+import itertools
 import json
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from wirebook.operators.frames import frame_header, split_frames
+from wirebook.operators.frames import chain, frame_header, split_frames, usual_chains
 from wirebook.operators.http1 import http1_body_parts, http1_exchanges
 from wirebook.operators.http2 import (
     _streams, data_range, header_block_range, http2_body_parts, http2_exchanges, stream_bodies, stream_headers,
@@ -217,8 +219,8 @@ def test_frames_from_any_split(spark):
             cuts = [0] + sorted(rng.sample(range(at + 1, len(data)), 12)) + [len(data)]
             chunks += [(direction, data[a:b]) for a, b in zip(cuts, cuts[1:])]
         chunks.append(("close", None))
-    for partitions in (None, 4):
-        found = split_frames(segments_frame(spark, {"c": chunks, "plain": chunks[:2]}), partitions)
+    for partitions, block in ((None, 1 << 20), (4, 64), (None, 33), (2, 500)):
+        found = split_frames(segments_frame(spark, {"c": chunks, "plain": chunks[:2]}), partitions, block)
         rows = sorted(found.collect(), key=lambda r: (r.seq, r.part))
         assert [(r.dir, r.frame_type, r.flags, r.stream_id, bytes(r.payload)) for r in rows] == want
         assert {r.conn_id for r in rows} == {"c"}
@@ -315,3 +317,33 @@ def test_random_frames_batch_equals_live(spark):
         assert len(parts.setdefault((r.span_id, r.side), b"")) == r["at"]
         parts[r.span_id, r.side] += bytes(r.bytes)
     assert sorted(parts.values()) == sorted(b for f in want.values() for b in (f[7], f[8]) if b)
+
+
+def test_long_direction_is_cut_in_blocks(spark):
+    """Many blocks of one direction; frames longer than blocks, headers over borders, unusual frames that no table lists."""
+    rng = random.Random(8)
+
+    def frame(kind, payload):
+        return len(payload).to_bytes(3, "big") + bytes([kind, 0]) + (5).to_bytes(4, "big") + payload
+
+    kinds = [0] * 40 + [200]
+    frames = [(rng.choice(kinds), rng.choice([b"", b"\x00" * 50, rng.randbytes(rng.randrange(300)), rng.randbytes(3000), b"text " * 30])) for _ in range(400)]
+    wire = b"".join(frame(*f) for f in frames)
+    cuts = [0, *sorted(rng.sample(range(1, len(wire)), 90)), len(wire)]
+    chunks = [("out", H2_PREFACE)] + [("in", wire[a:b]) for a, b in zip(cuts, cuts[1:])]
+    segments = segments_frame(spark, {"hot": chunks})
+    for block in (512, 4096):
+        rows = sorted(split_frames(segments, None, block).collect(), key=lambda r: (r.seq, r.part))
+        assert [(r.frame_type, bytes(r.payload)) for r in rows] == frames
+        ends = list(itertools.accumulate(9 + len(p) for _, p in frames))
+        assert [r.seq for r in rows] == [next(i for i, c in enumerate(cuts[1:], 1) if c >= e) for e in ends]
+        assert all(r.part == (0 if i == 0 or rows[i - 1].seq != r.seq else rows[i - 1].part + 1) for i, r in enumerate(rows))
+
+
+def test_chains_of_frames():
+    rng = random.Random(9)
+    for _ in range(50):
+        data = np.frombuffer(bytes(rng.choice([0, 0, 0, 1, 9, 40, rng.randrange(256)]) for _ in range(208)), np.uint8)
+        entries, exits, lasts = usual_chains(data, 200)
+        for entry, leaves, last in zip(entries, exits, lasts):
+            assert chain(data, entry, 200) == (leaves, last)

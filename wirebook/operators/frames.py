@@ -1,29 +1,37 @@
 """HTTP/2 frames from raw connection chunks.
 
-Frame borders are only known one after the other, so one direction of one
-connection is read in sequence. Spark sorts it on disk and hands it over in
-Arrow batches; at most one unfinished frame is held in memory, never a
-connection. Header blocks stay coded (no HPACK here).
+Where a frame ends is known from its first bytes alone, so borders follow one
+from the other. To cut a long direction in parallel its bytes are laid out in
+blocks. Each block tells, for every offset at which it could be entered, where
+the chain of frames leaves it; only these narrow tables are gone through in
+order. Then every block knows its entry and is cut by itself. Header blocks
+stay coded (no HPACK here).
+
+A block does not list entries that no usual frame chain begins with. Where the
+chain does enter at one, the block is looked at again with that entry alone, so
+the result is exact for any bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from wirebook.operators.scan import FirstSince, scan
+from wirebook.operators.http2 import DATA, HEADERS, data_range, header_block_range
+from wirebook.operators.scan import FirstSince, Sum, scan
 from wirebook.schema import H2_PREFACE
-from wirebook.session import durable
+from wirebook.session import durable, ship
 
-FRAME_DDL = """
-    conn_id STRING, epoch BIGINT, dir STRING, seq BIGINT, part BIGINT, ts_ns BIGINT, tls BOOLEAN,
-    frame_type INT, flags INT, stream_id BIGINT, payload BINARY
-"""
 HEADER_BYTES = 9
+#: Bytes of a block; it also sees the rest of a frame header that begins in it.
+BLOCK, BEYOND = 1 << 20, HEADER_BYTES - 1
+#: What a usual frame has: a type of the protocol, and at most so many bytes.
+USUAL_TYPES, USUAL_BYTES = 10, 1 << 18
+WIRE = ["conn_id", "epoch", "dir"]
 
 
 def _number(data: Column, start: int, size: int) -> Column:
@@ -45,53 +53,232 @@ def frame_header(data: Column) -> Column:
 
 
 def http2_chunks(segments: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Chunks of connections after their HTTP/2 preface, until they close.
-    ``epoch`` is the sequence number of the chunk with the preface."""
-    preface = (F.col("dir") == "out") & F.startswith(F.col("data"), F.lit(H2_PREFACE))
+    """Chunks of connections after their HTTP/2 preface, until they close,
+    without their data. ``epoch`` is the sequence number of the chunk with the
+    preface, ``at`` counts the direction's bytes before, ``skip`` are the preface's."""
+    c = F.col
+    preface = (c("dir") == "out") & F.startswith(c("data"), F.lit(H2_PREFACE))
     narrow = durable(
-        segments.select("conn_id", "seq", "dir", F.when(preface, F.col("seq")).alias("preface")), "h2-chunks"
+        segments.select("conn_id", "seq", "ts_ns", "dir", "tls", F.octet_length("data").cast("bigint").alias("bytes"), F.when(preface, c("seq")).alias("preface")),
+        "h2-chunks",
     )
     # A preface inside an HTTP/2 connection is plain data, so the first one after a close counts.
-    closes = (F.col("dir") == "close").cast("int")
-    epochs = scan(narrow, ["conn_id"], "seq", {"epoch": FirstSince(F.col("preface"), closes)}, partitions)
-    return epochs.where("dir <> 'close' AND epoch IS NOT NULL").select("conn_id", "seq", "epoch").join(segments, ["conn_id", "seq"])
+    closes = (c("dir") == "close").cast("int")
+    epochs = scan(narrow, ["conn_id"], "seq", {"epoch": FirstSince(c("preface"), closes)}, partitions)
+    skip = F.when((c("seq") == c("epoch")) & (c("dir") == "out"), len(H2_PREFACE)).otherwise(0)
+    sized = epochs.where("dir <> 'close' AND epoch IS NOT NULL").withColumn("skip", skip).withColumn("size", c("bytes") - c("skip"))
+    placed = scan(sized.where("size > 0").select(*WIRE, "seq", "ts_ns", "tls", "skip", "size"), WIRE, "seq", {"reach": Sum(c("size"))}, partitions)
+    return placed.withColumn("at", c("reach") - c("size"))
+
+
+def wire_blocks(chunks: DataFrame, segments: DataFrame, block: int) -> DataFrame:
+    """The bytes of each direction in blocks; ``marks`` tells which chunk ends where."""
+    c = F.col
+    first, last = F.greatest(c("at") - BEYOND, F.lit(0)), c("reach") - 1
+    div = lambda x: F.call_function("div", x, F.lit(block))
+    pieces = chunks.withColumn("block", F.explode(F.sequence(div(first), div(last))))
+    begin, end = F.greatest(c("at"), c("block") * block), F.least(c("reach"), (c("block") + 1) * block + BEYOND)
+    cut = pieces.withColumns({"from": (c("skip") + begin - c("at")).cast("int") + 1, "n": (end - begin).cast("int")}).where("n > 0")
+    data = segments.select("conn_id", "seq", "data")
+    return cut.join(data, ["conn_id", "seq"]).groupBy(*WIRE, "block").agg(
+        F.expr("listagg(substring(data, `from`, n)) WITHIN GROUP (ORDER BY seq)").alias("bytes"),
+        F.sort_array(F.collect_list(F.struct("reach", "seq", "ts_ns", "tls"))).alias("marks"),
+    )
+
+
+def _length(data: np.ndarray, at: int) -> int:
+    return int(data[at]) << 16 | int(data[at + 1]) << 8 | int(data[at + 2])
+
+
+def chain(data: np.ndarray, entry: int, block: int) -> tuple[int, int]:
+    """(exit, last): where the frames that begin at ``entry`` leave the block, as an
+    offset in the next one, and where the last of them begins; -1 if its header has no end."""
+    last = -1
+    while entry < block:
+        if entry + HEADER_BYTES > len(data):
+            return -1, entry
+        last, entry = entry, entry + HEADER_BYTES + _length(data, entry)
+    return entry - block, last
+
 
+def usual_chains(data: np.ndarray, block: int) -> tuple[list[int], list[int], list[int]]:
+    """Entries, exits and last frames of all chains of usual frames, from behind."""
+    n = min(block, len(data) - BEYOND)
+    sizes = (data[:n].astype(np.int64) << 16) | (data[1 : n + 1].astype(np.int64) << 8) | data[2 : n + 2]
+    usual = np.flatnonzero((data[3 : n + 3] < USUAL_TYPES) & (sizes <= USUAL_BYTES))
+    leaves: dict[int, tuple[int, int]] = {}
+    for at, size in zip(usual[::-1].tolist(), sizes[usual[::-1]].tolist(), strict=True):
+        following = at + HEADER_BYTES + size
+        if following >= block:
+            leaves[at] = (following - block, at)
+        elif following in leaves:
+            leaves[at] = leaves[following]
+    return list(leaves), [x for x, _ in leaves.values()], [x for _, x in leaves.values()]
 
-def _cutter(preface: bytes):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, rest = None, b""
+
+TABLE_DDL = "conn_id STRING, epoch BIGINT, dir STRING, block BIGINT, entries ARRAY<BIGINT>, exits ARRAY<BIGINT>, lasts ARRAY<BIGINT>"
+_WIRE = [("conn_id", pa.string()), ("epoch", pa.int64()), ("dir", pa.string())]
+
+
+def _tables(block: int):
+    """The table of each whole block; one that is given an entry has that alone."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frames = []
-            for row in batch.itertuples(index=False):
-                here = (row.conn_id, row.epoch, row.dir)
-                if here != place:
-                    place, rest = here, b""
-                data = bytes(row.data or b"")
-                if row.dir == "out" and row.seq == row.epoch:
-                    data = data[len(preface):]
-                rest += data  # at most one unfinished frame, of 16 MiB, and this chunk
-                at, part = 0, 0
-                while len(rest) - at >= 9:
-                    size = int.from_bytes(rest[at : at + 3], "big")
-                    if len(rest) - at < 9 + size:
-                        break
-                    stream = int.from_bytes(rest[at + 5 : at + 9], "big") & 0x7FFFFFFF
-                    frames.append((
-                        *here, row.seq, part, row.ts_ns, row.tls, rest[at + 3], rest[at + 4], stream,
-                        rest[at + 9 : at + 9 + size],
-                    ))
-                    at, part = at + 9 + size, part + 1
-                rest = rest[at:]
-            yield pd.DataFrame(frames, columns=[
-                "conn_id", "epoch", "dir", "seq", "part", "ts_ns", "tls", "frame_type", "flags", "stream_id", "payload",
-            ])
+            for k in range(batch.num_rows):
+                r = {name: batch.column(name)[k] for name in batch.schema.names}
+                data = np.frombuffer(r["bytes"].as_buffer(), np.uint8)
+                entry = r["entry"].as_py()
+                found = usual_chains(data, block) if entry is None else tuple([x] for x in (entry, *chain(data, entry, block)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[name].as_py()], kind) for name, kind in _WIRE] + [pa.array([r["block"].as_py()], pa.int64())] + [pa.array([x], pa.list_(pa.int64())) for x in found],
+                    ["conn_id", "epoch", "dir", "block", "entries", "exits", "lasts"],
+                )
+
+    return tables
+
+
+ENTRY_DDL = "conn_id STRING, epoch BIGINT, dir STRING, block BIGINT, entry BIGINT, open_at BIGINT, known BOOLEAN"
+
+
+def _compose(block: int):
+    """Go through the tables of each direction in order. A row says where the next block is entered
+    and which frame is open there; or, not ``known``, that the table lacks this block's entry."""
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wire, at, entry, open_at, waits = None, 0, 0, None, False
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                here = tuple(batch.column(name)[k].as_py() for name, _ in _WIRE)
+                number = batch.column("block")[k].as_py()
+                if here != wire:
+                    if waits:
+                        out.append((*wire, at, entry, open_at, False))
+                    wire, at, entry, open_at, waits = here, 0, 0, None, True
+                if number != at or not waits:  # settled by another row of the block, or behind an unknown one
+                    if waits and number > at:
+                        out.append((*wire, at, entry, open_at, False))
+                        waits = False
+                    continue
+                if entry >= block:
+                    entry -= block
+                else:
+                    entries = np.asarray(batch.column("entries")[k].values)
+                    hit = np.flatnonzero(entries == entry)
+                    if not len(hit):
+                        continue
+                    leaves, last = (batch.column(name)[k].values[int(hit[0])].as_py() for name in ("exits", "lasts"))
+                    if leaves < 0:  # nothing ends behind
+                        waits = False
+                        continue
+                    entry, open_at = leaves, (number * block + last if leaves else None)
+                at += 1
+                out.append((*wire, at, entry, open_at, True))
+            yield _entries(out)
+        # The last block is not whole and has no table, so a direction that got that far waits for nothing.
+        yield _entries([(*wire, at, entry, open_at, False)] if wire is not None and waits else [])
+
+    return compose
+
+
+def _entries(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [*(kind for _, kind in _WIRE), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["conn_id", "epoch", "dir", "block", "entry", "open_at", "known"])
+
+
+def block_entries(blocks: DataFrame, block: int) -> DataFrame:
+    """(direction, block, entry, open_at) of every block after a direction's first."""
+    whole = blocks.where(F.octet_length("bytes") > block + BEYOND - 1)
+    # The first block's entry is its begin.
+    first = F.when(F.col("block") == 0, F.lit(0)).cast("bigint").alias("entry")
+    tables = durable(whole.select(*WIRE, "block", "bytes", first).mapInArrow(_tables(block), TABLE_DDL), "tables")
+    while True:
+        ordered = tables.repartition(*WIRE).sortWithinPartitions(*WIRE, "block")
+        entries = durable(ordered.mapInArrow(_compose(block), ENTRY_DDL), "entries")
+        # A block whose table has a row for it, but not with its entry.
+        lacking = entries.where("NOT known").select(*WIRE, "block", "entry")
+        asked = durable(lacking.join(whole.select(*WIRE, "block", "bytes"), [*WIRE, "block"]), "asked")
+        if asked.isEmpty():
+            return entries.where("known").drop("known")
+        tables = tables.unionAll(durable(asked.select(*WIRE, "block", "bytes", "entry").mapInArrow(_tables(block), TABLE_DDL), "tables"))
+
+
+PIECE_DDL = """
+    conn_id STRING, epoch BIGINT, dir STRING, frame_at BIGINT, piece_at BIGINT, whole BOOLEAN, frame_type INT, flags INT, stream_id BIGINT,
+    seq BIGINT, ts_ns BIGINT, tls BOOLEAN, payload BINARY
+"""
+_PIECE = pa.schema([
+    *_WIRE, ("frame_at", pa.int64()), ("piece_at", pa.int64()), ("whole", pa.bool_()), ("frame_type", pa.int32()), ("flags", pa.int32()),
+    ("stream_id", pa.int64()), ("seq", pa.int64()), ("ts_ns", pa.int64()), ("tls", pa.bool_()), ("payload", pa.binary()),
+])
+
+
+def _cut(block: int):
+    """The frames of each block, and its pieces of those that go over its border."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = {name: batch.column(name)[k] for name in batch.schema.names}
+                data = memoryview(r["bytes"].as_buffer()).cast("B")
+                wire = [r[name].as_py() for name, _ in _WIRE]
+                begin, at, open_at = (r[name].as_py() for name in ("start", "entry", "open_at"))
+                end = min(block, len(data))
+                reach, *mark = (r["marks"].values.field(c) for c in range(4))
+                reach = np.asarray(reach)
+                out: list[tuple] = []
+
+                def ended(stop: int, begin=begin, reach=reach, mark=mark) -> tuple:
+                    """The chunk that has the last byte before ``stop``."""
+                    n = int(np.searchsorted(reach, begin + stop))
+                    return tuple(c[n].as_py() for c in mark)
+
+                if open_at is not None:
+                    skip = max(0, open_at + HEADER_BYTES - begin)
+                    done = ended(at) if at <= end else (None, None, None)
+                    out.append((*wire, open_at, begin, False, None, None, None, *done, bytes(data[skip : min(at, end)])))
+                while at + HEADER_BYTES <= len(data) and at < end:
+                    size = data[at] << 16 | data[at + 1] << 8 | data[at + 2]
+                    stop = at + HEADER_BYTES + size
+                    head = (data[at + 3], data[at + 4], int.from_bytes(data[at + 5 : at + 9], "big") & 0x7FFFFFFF)
+                    done = ended(stop) if stop <= end else (None, None, None)
+                    out.append((*wire, begin + at, begin + at, stop <= end, *head, *done, bytes(data[at + HEADER_BYTES : min(stop, end)])))
+                    at = stop
+                for some in range(0, len(out), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out[some : some + 4096], strict=True), _PIECE, strict=True)], schema=_PIECE)
 
     return cut
 
 
-def split_frames(segments: DataFrame, partitions: int | None = None) -> DataFrame:
+def split_frames(segments: DataFrame, partitions: int | None = None, block: int = BLOCK) -> DataFrame:
     """All complete frames, each with the chunk that completed it and its
-    place among the frames of that chunk."""
-    place = ["conn_id", "epoch", "dir"]
-    in_order = http2_chunks(segments, partitions).repartition(*place).sortWithinPartitions(*place, "seq")
-    return in_order.mapInPandas(_cutter(H2_PREFACE), StructType.fromDDL(FRAME_DDL))
+    place among the frames of that chunk (``part``)."""
+    ship(segments.sparkSession)
+    c = F.col
+    blocks = durable(wire_blocks(http2_chunks(segments, partitions), segments, block), "wire-blocks")
+    entries = block_entries(blocks, block)
+    entered = blocks.join(entries, [*WIRE, "block"], "left").where("block = 0 OR entry IS NOT NULL").select(
+        *WIRE, (c("block") * block).alias("start"), F.coalesce("entry", F.lit(0).cast("bigint")).alias("entry"), "open_at", "bytes", "marks",
+    )
+    pieces = durable(entered.mapInArrow(_cut(block), PIECE_DDL), "pieces")
+    columns = ["frame_type", "flags", "stream_id", "seq", "ts_ns", "tls"]
+    whole = pieces.where("whole").select(*WIRE, "frame_at", *columns, "payload")
+    # A frame over a border: its head is in the first piece, the chunk that completed it in the last.
+    over = pieces.where("NOT whole").groupBy(*WIRE, "frame_at").agg(
+        *[F.max(name).alias(name) for name in columns], F.expr("listagg(payload) WITHIN GROUP (ORDER BY piece_at)").alias("payload"),
+    ).where("seq IS NOT NULL AND frame_type IS NOT NULL")
+    # The frames of one chunk: no more than the chunk has bytes.
+    part = F.row_number().over(Window.partitionBy("conn_id", "seq").orderBy("frame_at")) - 1
+    return whole.unionByName(over).withColumn("part", part.cast("bigint")).select(
+        *WIRE, "seq", "part", "ts_ns", "tls", "frame_type", "flags", "stream_id", "payload"
+    )
+
+
+def frame_fragments(frames: DataFrame) -> DataFrame:
+    """Add ``fragment``: the header block of HEADERS frames and the data of
+    DATA frames without padding and priority, the payload of others as it is."""
+    c = F.col
+    cut = lambda at: F.substring(c("payload"), at[0] + 1, at[1])
+    return frames.withColumn("fragment", F.when(c("frame_type") == HEADERS, cut(header_block_range(c("payload")))).when(c("frame_type") == DATA, cut(data_range(c("payload")))).otherwise(c("payload")))

@@ -14,7 +14,7 @@ from wirebook.functions.text import (
     base64_decode, base64_encode, cap_bytes, hex_lower, hex_to_bytes,
 )
 from wirebook.operators.faults import injected_faults, rule_coverage, rule_matches
-from wirebook.operators.frames import split_frames
+from wirebook.operators.frames import frame_fragments, split_frames
 from wirebook.operators.filters import TraceQuery, failed, url_contains
 from wirebook.operators.http1 import http1_body_parts, http1_exchanges
 from wirebook.operators.http2 import http2_body_parts, http2_exchanges
@@ -802,6 +802,32 @@ def _(spark, sf):
     return frames.select("conn_id", "dir", "frame_type", "flags", "stream_id", payload.alias("payload"))
 
 
+_HOT_FRAMES_SQL = """
+    SELECT CASE WHEN user_id % 3 = 0 THEN 'f-hot' ELSE 'f-' || (user_id % 11) END AS conn_id, f.dir, event_id * 8 + f.seq AS seq, f.frame_type, f.flags,
+      event_id % 1000000 * 2 + 1 AS stream_id, f.fragment
+    FROM t, LATERAL (VALUES
+      ('out', CASE WHEN 14 + strlen(path) <= 25 THEN 1 ELSE 2 END, 1, 36, path), ('out', 2, 0, 0, coalesce(response_text, '')), ('out', 2, 8, 0, 'window'),
+      ('in', CASE WHEN 9 + strlen(path) <= 25 THEN 4 ELSE 5 END, 1, 4, path), ('in', 5, 0, 8, coalesce(response_text, '')), ('in', 5, 0, 1, coalesce(response_text, ''))
+    ) f(dir, seq, frame_type, flags, fragment)"""
+
+
+def _hot_frames(spark: SparkSession, sf: str, **settings) -> DataFrame:
+    frames = frame_fragments(split_frames(_written(tables.h2_hot_segments_from_events(spark, sf)), **settings))
+    fragment = F.when(F.col("frame_type") == 8, F.lit("window")).otherwise(F.col("fragment").cast("string"))
+    return frames.select("conn_id", "dir", "seq", "frame_type", "flags", "stream_id", fragment.alias("fragment"))
+
+
+@query("http2_hot_frames", events(_HOT_FRAMES_SQL))
+def _(spark, sf):
+    return _hot_frames(spark, sf)
+
+
+@query("http2_hot_frames_in_blocks", events(_HOT_FRAMES_SQL))
+def _(spark, sf):
+    """The same in blocks of 4 KiB, so that small tables have many of them."""
+    return _hot_frames(spark, sf, block=4096)
+
+
 # Fault rules
 
 FAULTS = ["delay:100ms-500ms:/API/view", "delay:10", "error:503:0.5:/API/error", "error:500:/12", "delay:1s"]

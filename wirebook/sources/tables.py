@@ -489,3 +489,37 @@ def h2_frames_of_reused_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("r-"), c("user_id") % 5).alias("conn_id"), (c("event_id") * FRAME_STRIDE + c("step")).alias("seq"),
         (c("ts_ns") + c("step") * MS).alias("ts_ns"), "dir", F.lit(False).alias("tls"), "frame_type", "flags", "stream_id", "payload", "headers",
     )
+
+
+def h2_hot_segments_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw HTTP/2 bytes of twelve connections, one of them with a third of all
+    events. Each event adds three frames a direction, one of them padded, cut
+    into three chunks in the middle of frames."""
+    c = F.col
+    name = F.when(c("user_id") % 3 == 0, "f-hot").otherwise(F.concat(F.lit("f-"), c("user_id") % 11))
+    events = _event_fields(spark, sf_dir).withColumn("conn_id", name)
+
+    def frame(kind: int, flags: int, payload: Column) -> Column:
+        head = F.concat(
+            F.lpad(F.hex(F.octet_length(payload)), 6, "0"), F.lit(f"{kind:02X}{flags:02X}"),
+            F.lpad(F.hex(c("event_id") % 1_000_000 * 2 + 1), 8, "0"),
+        )
+        return F.concat(F.unhex(head), payload)
+
+    path = c("path").cast("binary")
+    prioritised = F.concat(F.lit(b"\x00\x00\x00\x00\x07"), path)
+    text = F.coalesce("response_text", F.lit("")).cast("binary")
+    padded = F.concat(F.lit(b"\x02"), text, F.lit(b"\x00\x00"))
+    directions = F.array(
+        F.struct(F.lit("out").alias("dir"), F.concat(frame(1, 0x24, prioritised), frame(0, 0, text), frame(8, 0, F.lit(b"\x00\x00\x10\x00"))).alias("bytes")),
+        F.struct(F.lit("in").alias("dir"), F.concat(frame(1, 4, path), frame(0, 8, padded), frame(0, 1, text)).alias("bytes")),
+    )
+    chunks = events.select("conn_id", "event_id", "ts_ns", F.inline(directions)).select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("step"))
+    start = F.when(c("step") == 0, 1).when(c("step") == 1, 6).otherwise(26)
+    size = F.when(c("step") == 0, 5).when(c("step") == 1, 20).otherwise(F.octet_length("bytes"))
+    data = chunks.select(
+        "conn_id", (c("event_id") * 8 + F.when(c("dir") == "in", 3).otherwise(0) + c("step")).alias("seq"), "ts_ns", "dir", F.lit(False).alias("tls"),
+        F.substring("bytes", start, size).alias("data"),
+    )
+    greeting = events.groupBy("conn_id").agg((F.min("event_id") * 8 - 1).alias("seq"), F.min("ts_ns").alias("ts_ns"))
+    return data.unionByName(greeting.select("conn_id", "seq", "ts_ns", F.lit("out").alias("dir"), F.lit(False).alias("tls"), F.lit(H2_PREFACE).alias("data")))
