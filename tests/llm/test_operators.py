@@ -262,6 +262,34 @@ def test_neighbours(spark, sf_dir):
     assert neighbours.nearest(table.limit(3), "true", 10).count() == 6
 
 
+def test_neighbours_of_many_vectors(spark, sf_dir):
+    """So many that a query looks at a small part of them: candidates grow with the table, so recall stays."""
+    given = np.array([r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding").collect()], float)
+    draw = np.random.default_rng(1)
+    vectors = given[draw.integers(0, len(given), 60_000)] + draw.normal(0, given.std() / 2, (60_000, given.shape[1]))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id bigint, embedding array<double>").repartition(8)
+    got = neighbours.nearest(table, "vec_id % 1000 = 0", 10).toPandas()
+    hits = 0
+    for query, own in got.groupby("query_id"):
+        distance = ((vectors - vectors[query]) ** 2).sum(axis=1)
+        distance[query] = np.inf
+        hits += len(set(np.argsort(distance, kind="stable")[:10].tolist()) & set(own["vec_id"]))
+    assert len(got) == 600 and hits / 600 >= 0.9
+
+
+def test_leaves_that_a_query_needs():
+    draw = np.random.default_rng(2)
+    points = draw.normal(size=(500, 6))
+    forest = [neighbours.grow(points, seed) for seed in range(3)]
+    sizes = collections.Counter((t, leaf) for t, tree in enumerate(forest) for leaf in tree.leaves(points).tolist())
+    near = points[:20]
+    for query in points[:5]:
+        for vector, wanted in zip(near, neighbours.needed(forest, sizes, query, near), strict=True):
+            place = [int(t.leaves(vector[None])[0]) for t in forest]
+            assert any(place[t] == leaf for t, leaf in neighbours.probes(forest, sizes, query, wanted))
+            assert not any(place[t] == leaf for t, leaf in neighbours.probes(forest, sizes, query, wanted)[:-1])
+
+
 def test_sql_of_the_mix(spark, sf_dir):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")

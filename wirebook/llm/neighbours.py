@@ -3,7 +3,9 @@
 Trees are fitted on a bounded sample; every vector is then sent down every tree
 to a leaf. A query searches all trees at once through one priority queue of
 branches, ordered by how far it lies beyond their hyperplanes, until the leaves
-it has taken hold enough vectors. What those leaves hold is ranked exactly.
+it has taken hold enough vectors. What those leaves hold is ranked exactly. How
+many are enough is measured on the table itself: the exact neighbours of a
+sample of the queries tell how far the queue has to be followed.
 """
 
 from __future__ import annotations
@@ -15,16 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirebook.llm.common import durable, ship, unit_hash
 
 #: Rows that trees are fitted on at most on average, trees, and sampled rows of a leaf at most.
 FIT_ROWS, TREES, LEAF = 20_000, 12, 40
-#: A query takes leaves until they hold so many vectors, counted in each tree, or this share of all for small tables.
+#: A query takes leaves until they hold so many vectors at least, counted in each tree.
 CANDIDATES = 6000
-#: Vectors of a leaf that are ranked together; larger leaves are dealt out.
+#: Queries whose exact neighbours are found, and the share of those that the leaves must hold: then more candidates are taken.
+MEASURED, RECALL = 64, 0.95
+#: Vectors of a leaf that are ranked together, and queries; larger leaves are dealt out.
 BLOCK = 20_000
 
 
@@ -78,23 +82,73 @@ def grow(sample: np.ndarray, seed: int) -> Tree:
     return Tree(np.array(normals, np.float64).reshape(shape), np.array(offsets, np.float64), np.array(children, np.int64).reshape(-1, 2))
 
 
-def probes(forest: list[Tree], sizes: dict[tuple[int, int], int], query: np.ndarray, wanted: int) -> list[tuple[int, int]]:
-    """The leaves that a query takes, best branch of any tree first."""
+def taken(forest: list[Tree], sizes: dict[tuple[int, int], int], query: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The leaves (tree, leaf) in the order in which a query takes them, best branch of any tree first, and how much all so far hold."""
     queue = [(-np.inf, tree, 0 if len(t.normals) else -1) for tree, t in enumerate(forest)]
     heapq.heapify(queue)
     margins = [t.normals @ query - t.offsets for t in forest]
-    taken, held = [], 0
-    while queue and held < wanted:
+    held = 0
+    while queue:
         worst, tree, node = heapq.heappop(queue)
         if node < 0:
-            taken.append((tree, -1 - node))
             held += sizes.get((tree, -1 - node), 0)
+            yield tree, -1 - node, held
             continue
         norm = forest[tree].normals[node]
         margin = margins[tree][node] / np.sqrt(norm @ norm)
         for side, away in ((0, margin), (1, -margin)):
             heapq.heappush(queue, (max(worst, away), tree, int(forest[tree].children[node, side])))
-    return taken
+
+
+def probes(forest: list[Tree], sizes: dict[tuple[int, int], int], query: np.ndarray, wanted: int) -> list[tuple[int, int]]:
+    """The leaves that a query takes until they hold as many vectors as wanted."""
+    out = []
+    for tree, leaf, held in taken(forest, sizes, query):
+        out.append((tree, leaf))
+        if held >= wanted:
+            break
+    return out
+
+
+def needed(forest: list[Tree], sizes: dict[tuple[int, int], int], query: np.ndarray, near: np.ndarray) -> list[int]:
+    """For each of the vectors ``near`` what the leaves hold once one of them has it."""
+    missing = list(range(len(near)))
+    places = np.stack([t.leaves(near) for t in forest]) if len(near) else np.zeros((len(forest), 0), int)
+    out = [0] * len(near)
+    for tree, leaf, held in taken(forest, sizes, query):
+        for i in [i for i in missing if places[tree, i] == leaf]:
+            out[i] = held
+            missing.remove(i)
+        if not missing:
+            break
+    return out
+
+
+def enough(classes: DataFrame, queries: DataFrame, forest: list[Tree], sizes: dict[tuple[int, int], int], k: int) -> int:
+    """What the leaves have to hold so that RECALL of the exact neighbours of MEASURED queries, those of the smallest hashes, are among it."""
+    sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED).select("v").toPandas()
+    if not len(sample):
+        return 0
+    asked = np.array(sample["v"].tolist(), np.float64)
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k + 1 vectors of each batch nearest to each query."""
+        for batch in batches:
+            raw = batch.column(0)
+            vectors = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(len(raw), -1)
+            for number, query in enumerate(asked):
+                distance = ((vectors - query) ** 2).sum(axis=1)
+                near = np.argpartition(distance, k)[: k + 1] if len(distance) > k + 1 else np.arange(len(distance))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), number, np.int32)), pa.array(distance[near]), raw.take(pa.array(near))], ["q", "distance", "raw"])
+
+    found = classes.select("raw").mapInArrow(closest, "q int, distance double, raw binary")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "raw"))
+    rows = found.withColumn("place", place).filter(F.col("place") <= k + 1).select("q", "distance", "raw").collect()
+    reached: list[int] = []
+    for number, query in enumerate(asked):
+        own = [np.frombuffer(r["raw"], np.float64) for r in rows if r["q"] == number and r["distance"] > 0][:k]
+        reached += needed(forest, sizes, query, np.array(own).reshape(len(own), len(query)))
+    return int(np.sort(reached)[min(len(reached) - 1, int(np.ceil(RECALL * len(reached))))]) if reached else 0
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -159,7 +213,8 @@ def nearest(table: DataFrame, query_filter: str, k: int, *, id_col: str = "vec_i
     counted = index.groupBy("tree", "leaf").count().collect()  # as many rows as leaves: bounded by the sample
     sizes = {(r["tree"], r["leaf"]): r["count"] for r in counted}
     parts = {key: max(1, -(-n // BLOCK)) for key, n in sizes.items()}
-    wanted = CANDIDATES
+    wanted = max(CANDIDATES, enough(classes, rows.filter(query_filter), forest, sizes, k))
+    lots = max(1, -(-rows.filter(query_filter).count() // BLOCK))  # no part of a leaf meets more queries than BLOCK, on average
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +231,8 @@ def nearest(table: DataFrame, query_filter: str, k: int, *, id_col: str = "vec_i
     if many:
         of = F.create_map(*[F.lit(x) for key, n in many.items() for x in (f"{key[0]}-{key[1]}", n)])
         split = F.pmod(F.xxhash64("raw"), F.coalesce(F.element_at(of, F.concat_ws("-", "tree", "leaf")), F.lit(1))).cast("int")
-    dealt = index.withColumn("part", split)
+    dealt = index.withColumn("part", split).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    asked = asked.withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int"))
 
     def rank(key, queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         """The k nearest of one leaf's part for each query; copies beyond what a query needs were left out before."""
@@ -193,7 +249,7 @@ def nearest(table: DataFrame, query_filter: str, k: int, *, id_col: str = "vec_i
                 out["vec_id"] += [v for _, v in found]
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    keys = ["tree", "leaf", "part"]
+    keys = ["tree", "leaf", "part", "lot"]
     found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", "b.score")
