@@ -19,6 +19,9 @@ from wirebook.llm.queries import BUDGET, KEY, MOST, WEIGHTS
 from wirebook.session import shared_dir
 
 
+# Every stage takes any further columns of documents along, whatever their names, and repeated rows as rows of
+# their own; no documents give none.
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned from their labels; null texts and texts without a letter go."""
     model = language.fit(docs)
@@ -27,23 +30,27 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that of the least id; a null text is a class of its own."""
     return near_dup.one_of_each(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms of the same format; the number of characters is that of the new text."""
-    out = pii.pseudonymise(docs, KEY).drop("n_values")
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(docs.columns)
+    """Personal data replaced by pseudonyms of the same format; the number of characters is that of the new text.
+    A null text stays null, with the number it had."""
+    replaced = docs.withColumn("text", pii.pseudonymised("text", KEY))
+    return replaced.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources repeated or thinned to their targets; a document comes as often as it is taken."""
-    return mixing.emit(mixing.mix(docs, WEIGHTS, BUDGET, MOST), docs.columns)
+    """Sources repeated or thinned to their targets; a document comes as often as it is taken. A null source is a
+    source, and a document without words is taken as often as the others of its source."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    mixed = mixing.mix(docs.select("doc_id", "source", "text", F.struct(*columns).alias("document")), WEIGHTS, BUDGET, MOST)
+    return mixing.emit(mixed, ["document"]).select("document.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of every document's ids and of the text they decode to."""
+    """The digests of every document's ids and of the text they decode to; a null text has no ids."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN))
 
