@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import kept, ship, slices, strings
+from wirebook.llm.common import kept, release, ship, slices, strings
 
 #: Characters of a leaf, and the window that is tried first.
 LEAF = 8192
@@ -130,10 +130,26 @@ def decode(ids: Column | str, path: str, pattern: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, decoded`` for every row, repeated rows repeated; other columns are not read. No rows give no rows."""
+    """``doc_id, ids, decoded`` for every row, repeated rows repeated; other columns are not read. No rows give no rows.
+
+    A null text is an empty one; a text is taken whole, however long. One
+    worker encodes and decodes, so that a task has one coder.
+    """
     ship(docs.sparkSession)
-    encoded = docs.select(F.col(id_col).alias("doc_id"), encode(text_col, path, pattern).alias("ids"))
-    return encoded.withColumn("decoded", decode("ids", path, pattern))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(path, pattern)
+        for batch in batches:
+            texts = strings(batch.column(1))
+            for begin, end in slices(texts):
+                ids = [bpe.encode(x) for x in texts.slice(begin, end - begin).to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(begin, end - begin), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary()),
+                ], ["doc_id", "ids", "decoded"])
+        release()
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(coded, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

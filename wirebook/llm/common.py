@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import os
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wirebook.session import durable
 
-__all__ = ["WORD", "durable", "free_name", "kept", "read", "ship", "slices", "strings", "unit_hash", "without"]
+__all__ = ["WORD", "durable", "free_name", "kept", "read", "release", "ship", "slices", "strings", "unit_hash", "without"]
 
 #: A word: a run of characters that are not ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,6 +100,14 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         yield begin, len(sizes)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers stay, and many idle ones add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 _KEPT: dict[str, dict] = {}
 
 
@@ -111,7 +120,7 @@ def kept(owner: str, key: tuple, make: Callable[[], Any]) -> Any:
     if owner not in _KEPT:
         _KEPT.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        release()
         _KEPT[owner] = {}
     own = _KEPT[owner]
     if key not in own:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import kept, ship, slices, strings, unit_hash
+from wirebook.llm.common import kept, release, ship, slices, strings, unit_hash
 
 DIMENSIONS = 1024
 #: Documents of each language that prototypes are built from at most, on average, and languages at most.
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 for lang, vector in zip(langs[begin:end], vectors().bundle(_lowered(texts.slice(begin, end - begin)).to_pylist()), strict=True):
                     sums[lang] = sums.get(lang, 0) + vector.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "vector"])
+        release()
 
     each = sample.mapInArrow(bundles, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("at", "v"))
     summed = each.groupBy("lang", "at").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("v"))
@@ -167,5 +168,6 @@ def predict(text: Column | str, model: Model) -> Column:
                 best[at : at + len(own)] = np.where(known, cosine.argmax(1), len(names) - 1)
                 score[at : at + len(own)] = np.where(known, np.clip(cosine.max(1), 0, 1), 0)
             yield pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["lang_pred", "score"])
+        release()
 
     return languages(text)
