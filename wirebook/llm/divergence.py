@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import durable, ship, strings
+from wirebook.llm.common import durable, release, ship, strings
 
 
 @dataclasses.dataclass(frozen=True)
@@ -34,10 +34,10 @@ class Limits:
     merge holds before it takes what is complete; input splits whose postings meet in one shard, on average; sources of
     a tile of the table of pairs, and bytes of tiles that a task holds."""
 
-    text_bytes: int = 4 << 20
-    block_bytes: int = 24 << 20
+    text_bytes: int = 2 << 20
+    block_bytes: int = 16 << 20
     slice: int = 512
-    merged: int = 200_000
+    merged: int = 100_000
     splits: int = 1
     tile: int = 256
     tile_bytes: int = 32 << 20
@@ -168,6 +168,8 @@ def runs(docs: DataFrame, shards: int, limits: Limits = LIMITS) -> DataFrame:
                         held, size = [], 0
         if held:
             yield from _spilled(_compacted(held), list(number), shards, limits.slice)
+        held = []
+        release()
 
     return docs.mapInArrow(index, RUN_DDL)
 
@@ -251,6 +253,7 @@ def merged(spilled: DataFrame, shards: int, least_docs: int, limits: Limits = LI
                     most = max(limits.merged, 2 * heap.held)
                 heap.add(Slice(lang, source, *(batch.column(c)[k].values for c in range(4, 7))))
         yield from _terms(heap.take(None), keys)
+        release()
 
     ordered = spilled.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "first")
     return ordered.mapInArrow(merge, TERM_DDL)
@@ -344,6 +347,7 @@ def corrections(postings: DataFrame, groups: DataFrame, limits: Limits = LIMITS)
                         has.append(with_term)
                     tile.add(tuple(sides), tuple(has))
         yield _partial(held, limits.tile)
+        release()
 
     found = sided.select("lang", "i", "j", "postings", "rows", "columns").mapInArrow(stream, "lang string, a int, b int, value bigint")
     return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
