@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import kept, ship, slices, strings, unit_hash
+from wirebook.llm.common import kept, release, ship, slices, strings, unit_hash
 
 #: Labelled rows of each class that are learned from at most, on average: those of the smallest hashes of their ids.
 FIT_ROWS = {1: 3000, 0: 6000}
@@ -165,6 +165,7 @@ def _hits(text: Column | str, toxic: bytes, ordinary: bytes, least: range) -> Co
         for batch in batches:
             found = by.hits(strings(batch), least)
             yield pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * len(least), pa.array(found.ravel()))
+        release()
 
     return hits(text)
 
@@ -236,5 +237,6 @@ def score(text: Column | str, model: Model) -> Column:
         by = scorer(model.toxic, model.ordinary)
         for batch in batches:
             yield pa.array(model.score(by.hits(strings(batch), range(model.margin, model.margin + 1))[:, 0]))
+        release()
 
     return scores(text)
