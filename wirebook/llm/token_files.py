@@ -126,7 +126,8 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
     """A dictionary from at most SAMPLE_DOCS documents, those with the smallest hashes of their ids.
 
     Each gives at most SAMPLE_PIECES_OF_A_DOC evenly spread pieces of
-    SAMPLE_PIECE bytes, so the driver gets 64 MB at most, whatever the corpus.
+    SAMPLE_PIECE bytes, so the driver gets 64 MB at most, whatever the corpus;
+    rows that share an id give as many as one of them.
     Of too few samples no dictionary can be trained; then a plain byte table
     that holds every id once serves as the shared content.
     """
@@ -135,16 +136,20 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids in encoder(tokenizer).encode(strings(batch.column(0))):
+            out, doc, place = [], [], []
+            for own, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(strings(batch.column(1))), strict=True):
                 raw = np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
                 n = math.ceil(len(raw) / SAMPLE_PIECE)
-                for k in range(0, n, max(1, math.ceil(n / SAMPLE_PIECES_OF_A_DOC))):
+                for at, k in enumerate(range(0, n, max(1, math.ceil(n / SAMPLE_PIECES_OF_A_DOC)))):
                     out.append(raw[k * SAMPLE_PIECE : (k + 1) * SAMPLE_PIECE])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["piece"])
-
-    chosen = docs.join(F.broadcast(ids.distinct()), id_col, "left_semi").select(text_col)
-    samples = sorted(bytes(r.piece) for r in chosen.mapInArrow(pieces, "piece binary").collect())
+                    doc.append(own)
+                    place.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(out, pa.binary())], ["doc", "place", "piece"])
+
+    chosen = docs.join(F.broadcast(ids.distinct()), id_col, "left_semi").select(F.col(id_col).cast("bigint"), text_col)
+    # However many rows share an id, one piece of each place comes, put together before the shuffle.
+    bounded = chosen.mapInArrow(pieces, "doc bigint, place int, piece binary").groupBy("doc", "place").agg(F.min("piece").alias("piece"))
+    samples = sorted(bytes(r.piece) for r in bounded.collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
