@@ -192,10 +192,40 @@ def test_toxicity(spark, awkward, empty):
     assert ((got["score"] >= 0.7).astype(int) == got["toxic"]).mean() > 0.97
     scores = awkward.select(toxicity.score("text", model).alias("s")).toPandas()["s"]
     assert len(scores) == awkward.count() and scores.between(0, 1).all()
+    labels = docs.select("doc_id", "toxic")
+    learned = toxicity.learned_from(docs.withColumns({"toxic": F.lit(9), "_id": F.lit(1)}), labels.union(labels).union(labels.selectExpr("null", "1")).union(labels.selectExpr("doc_id", "7")))
+    assert learned.columns == ["doc_id", "text", "toxic"] and sorted(learned.collect()) == sorted(docs.collect())
+    assert toxicity.learned_from(docs, labels.limit(0)).count() == 0 == toxicity.learned_from(empty, labels).count()
     none = toxicity.fit(empty.withColumn("toxic", F.lit(1)))
     assert awkward.select(toxicity.score("text", none).alias("s")).filter("s < 0.5").count() == awkward.count()
 
 
+def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
+    """A table far above FIT_ROWS gives about that many rows, hot ids and all, and moves no other text."""
+    monkeypatch.setattr(toxicity, "FIT_ROWS", {1: 300, 0: 600})
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    learned = toxicity.learned_from(docs, labels.union(labels.filter("doc_id < 50")))
+    counts = {r["toxic"]: r["count"] for r in learned.groupBy("toxic").count().collect()}
+    assert 220 < counts[1] < 380 and 500 < counts[0] < 700
+    assert learned.count() == learned.distinct().count()
+
+
+def test_dictionary_sample_with_a_hot_id(spark):
+    """Rows of one id give no more pieces than one document."""
+    rows = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), F.col("id") % 50).alias("text"))
+    seen = []
+
+    def train(size, samples):
+        seen.append(len(samples))
+        raise token_files.zstandard.ZstdError
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_files.zstandard, "train_dictionary", train)
+        content = token_files.train_dictionary(rows, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), 2, 2)
+    assert seen[0] <= token_files.SAMPLE_DOCS and len(content) == 1 << 15
+
+
 def test_language(spark, awkward, empty, documents):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = language.fit(documents.filter(~held))

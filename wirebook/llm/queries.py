@@ -61,7 +61,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    model = toxicity.fit(labels.filter(~held).join(docs, "doc_id"))
+    model = toxicity.fit(toxicity.learned_from(docs, labels.filter(~held)))
     scored = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), toxicity.score("text", model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

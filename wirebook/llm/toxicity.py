@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import kept, release, ship, slices, strings, unit_hash
+from wirebook.llm.common import durable, free_name, kept, release, ship, slices, strings, unit_hash
 
 #: Labelled rows of each class that are learned from at most, on average: those of the smallest hashes of their ids.
 FIT_ROWS = {1: 3000, 0: 6000}
@@ -186,11 +186,33 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(base), float(slope), fit if slope > 0 else -np.inf
 
 
+def _rate(y: Column, counts: dict[int, int]) -> Column:
+    """The share of a class's rows that is learned from."""
+    return F.when(y == 1, F.lit(FIT_ROWS[1] / counts.get(1, 1))).otherwise(F.lit(FIT_ROWS[0] / counts.get(0, 1)))
+
+
+def learned_from(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``id_col, text_col, label_col``: the documents that ``fit`` learns from, without moving the others.
+
+    Ids are chosen from ``labels`` alone, by their hash: FIT_ROWS of each class
+    on average, however many rows there are, so they are broadcast. An id with
+    several labels comes with each; repeated labels count once. Null ids and
+    labels other than 0 and 1 choose nothing, no labels no rows.
+    """
+    rows = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("int").alias("y")).filter(F.col("i").isNotNull() & F.col("y").isin(0, 1)).distinct()
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    i, y = free_name(docs, "_id"), free_name(docs, "_label")
+    chosen = rows.filter(unit_hash(F.lit("fit"), "i") < _rate(F.col("y"), counts)).select(F.col("i").alias(i), F.col("y").alias(y))
+    found = docs.join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col(i))
+    return found.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(y).alias(label_col))
+
+
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from labelled rows: at most FIT_ROWS of each class on average, chosen by a hash of the id.
 
-    Rows without a text or with another label than 0 and 1 are passed over, and
-    equal texts count once. Two thirds train the dictionaries; the rest
+    What is learned from is written once. Rows without a text or with another
+    label than 0 and 1 are passed over, equal texts count once in training, and
+    long texts are taken whole. Two thirds train the dictionaries; the rest
     calibrates the margin and the curve. With one class only, or none, every
     score is that class's share, or 0.
     """
@@ -201,8 +223,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if len(counts) < 2:
         share = min(max(float(next(iter(counts), 0)), 1e-6), 1 - 1e-6)
         return Model(b" " * 8, b" " * 8, 1, (float(np.log(share / (1 - share))), 0.0))
-    rate = F.when(F.col("y") == 1, FIT_ROWS[1] / counts[1]).otherwise(FIT_ROWS[0] / counts[0])
-    sample = rows.filter(unit_hash(F.lit("fit"), "id") < rate)
+    sample = durable(rows.filter(unit_hash(F.lit("fit"), "id") < _rate(F.col("y"), counts)), "toxicity-sample")
     trains = unit_hash(F.lit("half"), "id") < 2 / 3
 
     each = F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("word")
@@ -211,6 +232,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     windows = F.explode(F.array_compact(F.array(F.concat(F.lit(" "), "word", F.lit(" ")), *begun))).alias("window")
     pairs = words.filter("word != ''").select("d", "y", windows).distinct()
     per_window = pairs.groupBy("window").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
+    per_window = durable(per_window.filter("t >= 3 or o >= 2"), "toxicity-windows")
     n = sample.filter(trains).groupBy("y").agg(F.countDistinct("text").alias("n")).collect()
     n = {0: 1, 1: 1} | {r["y"]: r["n"] for r in n}
     odds = ((F.col("t") + 0.5) / (n[1] + 1)) / ((F.col("o") + 0.5) / (n[0] + 1))
