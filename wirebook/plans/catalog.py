@@ -18,6 +18,7 @@ from wirebook.operators.frames import frame_fragments, split_frames
 from wirebook.operators.filters import TraceQuery, failed, url_contains
 from wirebook.operators.http1 import http1_body_parts, http1_exchanges
 from wirebook.operators.http2 import http2_body_parts, http2_exchanges
+from wirebook.operators.links import causal_parents
 from wirebook.operators.page import (
     get_by_span_id, list_recent, query_page, search_by_url, spans_of_trace,
 )
@@ -862,6 +863,24 @@ def _(spark, sf):
     return _core(injected_faults(tables.traces_from_events(spark, sf)))
 
 
+# Causes
+
+@query("trace_parents", """
+    WITH s AS (
+      SELECT printf('%032x', CASE WHEN user_id % 3 = 0 THEN 9 ELSE user_id % 8 END) AS trace_id, printf('%016x', event_id) AS span_id,
+        epoch_us(ts) * 1000 AS a, epoch_us(ts) * 1000 + CASE WHEN event_id % 17 = 4 THEN 0 ELSE CAST(floor(value * 60) AS BIGINT) * 1000000000 END AS b,
+        CASE WHEN event_id % 50 = 0 THEN 2 ELSE 1 END AS copies
+      FROM events),
+    p AS (
+      SELECT s.trace_id, s.span_id, arg_max(o.span_id, {'a': o.a, 'b': -o.b, 'id': o.span_id}) AS parent_span_id, any_value(s.copies) AS copies
+      FROM s LEFT JOIN s o ON o.trace_id = s.trace_id AND o.a <= s.a AND o.b >= s.b AND (o.a < s.a OR o.b > s.b OR o.span_id < s.span_id)
+      GROUP BY s.trace_id, s.span_id)
+    SELECT trace_id, span_id, parent_span_id FROM p, range(2) r(k) WHERE k < copies""")
+def trace_parents(spark, sf):
+    """One trace with a third of all spans, in many ranges; nothing of it goes through one task."""
+    return causal_parents(tables.nested_spans_from_events(spark, sf))
+
+
 # The stored table
 
 def _stored(spark: SparkSession, traces: DataFrame) -> TraceTable:

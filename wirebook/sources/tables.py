@@ -523,3 +523,15 @@ def h2_hot_segments_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     greeting = events.groupBy("conn_id").agg((F.min("event_id") * 8 - 1).alias("seq"), F.min("ts_ns").alias("ts_ns"))
     return data.unionByName(greeting.select("conn_id", "seq", "ts_ns", F.lit("out").alias("dir"), F.lit(False).alias("tls"), F.lit(H2_PREFACE).alias("data")))
+
+
+def nested_spans_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that last ``value`` minutes, so that many enclose others. A third of all share one trace; every fiftieth comes twice."""
+    c = F.col
+    trace = F.when(c("user_id") % 3 == 0, F.lit(9)).otherwise(c("user_id") % 8)
+    spans = read_table(spark, sf_dir, "events", EVENT_DDL).select(
+        _hex_id(trace, 32).alias("trace_id"), _hex_id(c("event_id"), 16).alias("span_id"), (micros(c("ts")) * 1000).alias("ts_ns"),
+        F.when(c("event_id") % 17 != 4, F.floor(c("value") * 60) * 1_000_000_000).alias("duration_ns"),
+        F.when(c("event_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("copies"),
+    )
+    return spans.select("trace_id", "span_id", "ts_ns", "duration_ns", F.explode("copies").alias("copy")).drop("copy")
