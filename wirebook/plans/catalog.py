@@ -13,6 +13,7 @@ from wirebook.functions.http import absolute_url, header_map, known_method, stat
 from wirebook.functions.text import (
     base64_decode, base64_encode, cap_bytes, hex_lower, hex_to_bytes,
 )
+from wirebook.operators.endpoints import endpoint_fields, endpoint_schemas, path_templates
 from wirebook.operators.faults import injected_faults, rule_coverage, rule_matches
 from wirebook.operators.frames import frame_fragments, split_frames
 from wirebook.operators.filters import TraceQuery, failed, url_contains
@@ -881,6 +882,38 @@ def trace_parents(spark, sf):
     return causal_parents(tables.nested_spans_from_events(spark, sf))
 
 
+# Endpoints
+
+_ENDPOINTS = """
+    v AS (SELECT lower(host) AS host, count(DISTINCT user_id) > 20 AS many FROM t GROUP BY 1),
+    e AS (
+      SELECT t.method, v.host, t.path, '/API/' || event_type || '/' || CASE WHEN many THEN '{}' ELSE CAST(user_id AS VARCHAR) END AS template,
+        unnest([{'body': 'request', 'content': request_text}, {'body': 'response', 'content': response_text}], recursive := true)
+      FROM t JOIN v ON v.host = lower(t.host))"""
+
+
+@query("path_templates", f"WITH {EVENTS}, {_ENDPOINTS} SELECT DISTINCT host, path, template FROM e")
+def _(spark, sf):
+    return path_templates(tables.traces_from_events(spark, sf))
+
+
+@query("endpoint_schemas", f"""WITH {EVENTS}, {_ENDPOINTS}
+    SELECT method, host, template, body,
+      'OBJECT<' || array_to_string(list_transform(json_keys(content), lambda k: k || ': ' || CASE json_type(content, k) WHEN 'VARCHAR' THEN 'STRING' ELSE 'BIGINT' END), ', ') || '>' AS body_schema,
+      count(*) AS n FROM e GROUP BY ALL""")
+def _(spark, sf):
+    return endpoint_schemas(tables.traces_from_events(spark, sf))
+
+
+@query("endpoint_fields", f"""WITH {EVENTS}, {_ENDPOINTS},
+    k AS (SELECT method, host, template, body, unnest(json_keys(content)) AS field FROM e WHERE content IS NOT NULL),
+    f AS (SELECT *, count(*) AS n FROM k GROUP BY ALL),
+    o AS (SELECT method, host, template, body, count(*) AS objects FROM e WHERE content IS NOT NULL GROUP BY ALL)
+    SELECT f.*, n = objects AS required FROM f JOIN o USING (method, host, template, body)""")
+def _(spark, sf):
+    return endpoint_fields(tables.traces_from_events(spark, sf))
+
+
 # The stored table
 
 def _stored(spark: SparkSession, traces: DataFrame) -> TraceTable:
