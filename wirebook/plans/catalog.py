@@ -27,6 +27,7 @@ from wirebook.operators.pairing import pair_requests
 from wirebook.operators.render import json_array, json_lines, table_lines
 from wirebook.operators.totals import capture_status, count_listed, count_traces, stats
 from wirebook.operators.view import ViewOptions, header_preview, render_view, summary_rows, trace_detail
+from wirebook.operators.values import value_links
 from wirebook.params import parse_fault_rules
 from wirebook.plans.oracle import CORE, EVENTS, core, events, lossy_cut, rfc3339
 from wirebook.plans.presets import (
@@ -914,6 +915,21 @@ def _(spark, sf):
     return endpoint_fields(tables.traces_from_events(spark, sf))
 
 
+@query("value_links", f"""WITH {EVENTS},
+    made AS (
+      SELECT trace_id, span_id, ts_ns + duration_ns AS at, unnest(json_keys(response_text)) AS name, response_text FROM t WHERE response_text IS NOT NULL),
+    given AS (SELECT *, 'body/' || name AS place, json_extract_string(response_text, '$.' || name) AS value FROM made),
+    used AS (
+      SELECT trace_id, span_id, ts_ns AS at, 'path/' || k AS place, split_part(path, '/', CAST(k + 2 AS INTEGER)) AS value FROM t, range(3) r(k)
+      UNION ALL
+      SELECT trace_id, span_id, ts_ns, 'body/k', json_extract_string(request_text, '$.k') FROM t WHERE request_text IS NOT NULL)
+    SELECT u.trace_id, u.span_id, u.place, u.value,
+      arg_max(g.span_id, {{'at': g.at, 'id': g.span_id}}) AS source_span_id, arg_max(g.place, {{'at': g.at, 'id': g.span_id}}) AS source_place
+    FROM used u JOIN given g ON g.trace_id = u.trace_id AND g.value = u.value AND g.at < u.at GROUP BY ALL""")
+def _(spark, sf):
+    return value_links(tables.traces_from_events(spark, sf))
+
+
 # The stored table
 
 def _stored(spark: SparkSession, traces: DataFrame) -> TraceTable:
