@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import functools
 import gc
 import os
@@ -17,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirebook.session import durable
+from wirebook.session import durable, release
 
 __all__ = ["WORD", "durable", "free_name", "kept", "read", "release", "ship", "slices", "strings", "unit_hash", "without"]
 
@@ -100,14 +99,6 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         yield begin, len(sizes)
 
 
-def release() -> None:
-    """Give memory that a task has freed back to the system: workers stay, and many idle ones add up."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-    if trim is not None:
-        trim(0)
-
-
 _KEPT: dict[str, dict] = {}
 
 
