@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wirebook.functions.http import trace_ids
 from wirebook.functions.text import present
+from wirebook.operators.gather import put_together
 from wirebook.operators.scan import Last, Machine, Max, Sum, scan
 from wirebook.schema import BUFFER_LIMIT
 from wirebook.session import durable
@@ -26,6 +27,7 @@ END_STREAM, END_HEADERS, PADDED, PRIORITY = 0x1, 0x4, 0x8, 0x20
 #: A stream id of a connection between two closes, and one stream that it stood for.
 STREAM = ["conn_id", "epoch", "stream_id"]
 ROUND = [*STREAM, "round"]
+SIDES = ["request_body", "response_body"]
 
 
 def _flag(bit: int) -> Column:
@@ -245,19 +247,24 @@ def data_bytes(frames: DataFrame, data: DataFrame) -> DataFrame:
     offset, size = data_range(F.col("payload"))
     piece = F.substring(F.col("payload"), offset + 1, size).alias("bytes")
     payloads = frames.where(F.col("frame_type") == DATA).select("conn_id", "seq", piece)
-    return data.join(payloads, ["conn_id", "seq"])
+    # The narrow side is the one kept in memory, so that payloads are not sorted for the join.
+    return payloads.join(data.hint("shuffle_hash"), ["conn_id", "seq"])
 
 
-def stream_bodies(frames: DataFrame, events: DataFrame, spans: DataFrame, longest: int) -> DataFrame:
-    """(stream, request_body, response_body): DATA between birth and completion, up to ``longest`` bytes a body."""
+def body_pieces(frames: DataFrame, events: DataFrame, spans: DataFrame, longest: int) -> DataFrame:
+    """(stream, side, place, bytes): DATA between birth and completion, of bodies up to ``longest`` bytes."""
     c = F.col
     fits = lambda way, name: (c("dir") == way) & (c(name) <= longest)
     sizes = spans.select(*ROUND, "request_bytes", "response_bytes")
     kept = events.where("size > 0").select(*ROUND, "seq", "dir").join(sizes, ROUND).where(fits("out", "request_bytes") | fits("in", "response_bytes"))
-    return data_bytes(frames, kept.select(*ROUND, "seq", "dir")).groupBy(*ROUND).agg(
-        F.expr("listagg(bytes) WITHIN GROUP (ORDER BY seq) FILTER (WHERE dir = 'out')").alias("request_body"),
-        F.expr("listagg(bytes) WITHIN GROUP (ORDER BY seq) FILTER (WHERE dir = 'in')").alias("response_body"),
-    )
+    side = F.when(c("dir") == "out", 0).otherwise(1)
+    return data_bytes(frames, kept.select(*ROUND, "seq", side.alias("side"))).select(*ROUND, "side", c("seq").alias("place"), "bytes")
+
+
+def stream_bodies(frames: DataFrame, events: DataFrame, spans: DataFrame, longest: int) -> DataFrame:
+    """(stream, request_body, response_body) of the streams that have one, up to ``longest`` bytes a body."""
+    found = put_together(spans.select(*ROUND), body_pieces(frames, events, spans, longest), ROUND, SIDES)
+    return found.where("request_body IS NOT NULL OR response_body IS NOT NULL")
 
 
 def _plain(headers: Column) -> Column:
@@ -318,8 +325,8 @@ def http2_exchanges(frames: DataFrame, partitions: int | None = None, longest: i
     """
     spans, events, members = _streams(frames, partitions)
     headers = stream_headers(frames, events, members)
-    bodies = stream_bodies(frames, events, spans, longest)
-    return stream_traces(spans.join(headers, ROUND).join(bodies, ROUND, "left"))
+    pieces = body_pieces(frames, events, spans, longest)
+    return stream_traces(put_together(spans.join(headers, ROUND), pieces, ROUND, SIDES))
 
 
 def http2_body_parts(frames: DataFrame, partitions: int | None = None) -> DataFrame:
