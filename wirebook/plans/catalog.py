@@ -638,7 +638,7 @@ def _(spark, sf):
 
 def _written(traffic: DataFrame) -> DataFrame:
     """Raw traffic as a table of its own, as a capture would leave it."""
-    return durable(traffic, "traffic")
+    return durable(traffic, "traffic", "zstd")
 
 
 @query("pair_requests", events("""
