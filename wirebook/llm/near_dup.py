@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirebook.llm.common import durable, free_name, kept, release, ship, slices, strings, unit_hash
+from wirebook.llm.common import durable, free_name, kept, release, ship, slices, strings
 
 SHINGLE, LEAST = 5, 0.8
 #: A pair of similarity 0.8 agrees in at least one of so many bands but for a chance of 0.00003, in two but for 0.0004.
@@ -29,8 +29,8 @@ BANDS, DRAWS = 20, 4
 ALSO = (1, 2, 4, 7)
 #: Document frequencies up to this share of the documents weigh 1; at all documents a shingle weighs COMMON_WEIGHT.
 RARE, COMMON_WEIGHT = 0.005, 0.35
-#: Documents among which shingles above RARE are looked for; they are then counted over all.
-LOOKED_AT, SEEN = 8000, 0.4
+#: Bytes that a word takes about; only the size of a counting table follows from it.
+WORD_BYTES = 6
 TABLE = 1 << 14
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -164,42 +164,65 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(float(least / total), float(both.sum() / united)) if united else 0.0
 
 
-def common_weights(texts: DataFrame, id_col: str, text_col: str) -> Weights:
+def _of_each_text(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The shingles of runs of texts, each once for each text that has it."""
+    for hashes, ends in _shingles_of(batches, 0):
+        doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        order = np.lexsort((hashes, doc))
+        hashes, doc = hashes[order], doc[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+        yield hashes[new]
+
+
+def common_weights(texts: DataFrame, text_col: str) -> Weights:
     """Weights of shingles by the share of the documents that have them, counted over all documents.
 
-    Shingles that may be above RARE are those that SEEN * RARE of about
-    LOOKED_AT documents, chosen by a hash of their ids, have: that many of a
-    text's shingles can be at most, however many documents there are. A
-    shingle near RARE that the choice misses weighs as if it were at RARE.
+    First all shingles are counted in a table of fewer places than there are
+    shingles; one above RARE has a place that is above RARE too. Only shingles
+    of such places are then counted by themselves. They are at most as many as
+    RARE allows of a text's mean number of shingles, and those that share their places.
     """
-    total = texts.filter(F.col(text_col).isNotNull()).count()
-    chosen = texts.filter(unit_hash(F.lit("df"), id_col) < min(1.0, LOOKED_AT / max(1, total))).select(text_col)
-    some = chosen.filter(F.col(text_col).isNotNull()).count()
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, ends in _shingles_of(batches, 0):
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes[a:b]).view(np.int64))], ["s"])
+    total, size = texts.filter(F.col(text_col).isNotNull()).agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
+    if not total:
+        return Weights(np.zeros(0, np.uint64), np.zeros(0))
+    above = F.col("n") > max(RARE * total, 1)  # what one document has is not common
+    # On average a place then holds an eighth of what makes a shingle common.
+    places = 1 << int(np.clip(np.ceil(np.log2(max(1, 8 * size / (WORD_BYTES * total) / RARE))), 16, 24))
+    place_of = lambda hashes: (hashes & np.uint64(places - 1)).astype(np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each place and task."""
+        counts = np.zeros(places, np.int64)
+        for hashes in _of_each_text(batches):
+            np.add.at(counts, place_of(hashes), 1)
+        some = np.flatnonzero(counts)
+        for at in range(0, len(some), 1 << 16):
+            own = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(counts[own])], ["place", "n"])
 
-    least = max(2, int(SEEN * RARE * some))
-    seen = chosen.mapInArrow(each, "s bigint").groupBy("s").count().filter(F.col("count") >= least).select("s").collect()
-    candidates = np.sort(np.array([r["s"] for r in seen], np.int64).view(np.uint64))
-    if not len(candidates):
-        return Weights(candidates, np.zeros(0))
+    rows = texts.select(text_col).mapInArrow(placed, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).filter(above).select("place").collect()
+    full = np.zeros(places, bool)
+    full[[r["place"] for r in rows]] = True
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each candidate and task."""
-        counts = np.zeros(len(candidates), np.int64)
-        for hashes, ends in _shingles_of(batches, 0):
-            at = np.minimum(np.searchsorted(candidates, hashes), len(candidates) - 1)
-            doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            hit = candidates[at] == hashes
-            pairs = np.unique(doc[hit] * len(candidates) + at[hit])
-            counts += np.bincount(pairs % len(candidates), minlength=len(candidates))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(candidates[some].view(np.int64)), pa.array(counts[some])], ["s", "n"])
-
-    rows = texts.select(text_col).mapInArrow(counted, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") > RARE * total).orderBy("s").collect()
+        """A few rows for each shingle of a full place and task."""
+        held, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["s", "n"])
+
+        for hashes in _of_each_text(batches):
+            held.append(hashes[full[place_of(hashes)]])
+            size += len(held[-1])
+            if size >= 1 << 21:
+                yield told()
+                held, size = [], 0
+        if held:
+            yield told()
+
+    rows = texts.select(text_col).mapInArrow(counted, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(above).collect()
     found, df = np.array([r["s"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.float64)
     order = np.argsort(found)
     idf = np.log(total / df) / np.log(1 / RARE)
@@ -243,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("node", F.unhex(F.md5("text")))
     texts = rows.filter(F.col("text").isNotNull())
-    weights = common_weights(texts, "doc_id", "text")
+    weights = common_weights(texts, "text")
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
