@@ -255,8 +255,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts are first compared with its least one only. Where a bucket then still
     holds several classes, its texts are dealt out once more by their key in
     another band, and compared with the least, the greatest and the next of
-    those that agree there too. So comparisons grow with the texts, not with the square of
-    a group that shares a long passage or of a group of copies. ``class_key`` is the text key that the class's least row has.
+    those that agree there too. Of the texts of buckets that are mixed even then, all pairs of
+    two classes that can be similar enough are compared (``possible_pairs``), so that no link is left out.
+    Copies, which are of one class by then, are not paired. ``class_key`` is the text key that the class's least row has.
 
     Equal texts without a word are one class, and no other text links to them.
     A null text is a class of its own with its doc_id (null keys). The least
@@ -300,9 +301,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     beside = Window.partitionBy(*agree).orderBy("node")
     chain = near.withColumns({"before": F.lag("node").over(beside), "c_before": F.lag("c").over(beside)}).filter("c != c_before")
     met.append(chain.select(F.col("before").alias("a"), F.col("node").alias("b")))
-    second = functools.reduce(DataFrame.union, met).distinct().join(first, ["a", "b"], "left_anti")
-    more = durable(_verified(durable(second, "pairs"), bodies, weights), "links")
-    classes = connected(links.union(more)) if not more.isEmpty() else classes
+    second = durable(functools.reduce(DataFrame.union, met).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    more = durable(_verified(second, bodies, weights), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        classes = connected(links)
+    # What is still mixed: every pair that can be similar enough, and that wasn't compared.
+    placed_in = durable(open_ones.select("band", "key", "node").distinct().join(classes, "node", "left").select("band", "key", "node", class_of), "apart")
+    still = placed_in.groupBy("band", "key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x != y").select("band", "key")
+    rest = durable(placed_in.join(still, ["band", "key"]).select("node", "c").distinct(), "rest")
+    if not rest.isEmpty():
+        left = possible_pairs(rest, bodies, weights).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+        last = durable(_verified(durable(left, "pairs"), bodies, weights), "links")
+        classes = connected(links.union(last)) if not last.isEmpty() else classes
 
     named = nodes.join(classes, "node", "left").select("node", "doc_id", F.coalesce("least", "node").alias("c"))
     least = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("m")).select("c", F.col("m.doc_id").alias("class_id"), F.col("m.node").alias("class_key"))
@@ -311,6 +322,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return joined.select("doc_id", F.col("node").alias("text_key"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key")
 
 
+def leading(found: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """So many of a bag's shingles, rarest first, that the others weigh and count less than LEAST of it.
+
+    ``weights`` are with counts, ``own`` those of the shingles, which give the
+    order. Two bags that are LEAST similar in either way share one of theirs.
+    """
+    order = np.lexsort((found, -own))
+    behind = np.cumsum(weights[order][::-1])[::-1]
+    many = max(int((behind >= LEAST * (1 - 1e-9) * weights.sum()).sum()), int(np.floor(len(found) * (1 - LEAST) + 1e-9)) + 1)
+    return found[order][:many]
+
+
+def possible_pairs(nodes: DataFrame, bodies: DataFrame, weights: Weights) -> DataFrame:
+    """``a, b`` of all pairs of ``nodes`` (node, c) of two classes that can be
+    LEAST similar: they share a leading shingle, and their sizes allow it."""
+
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for hashes, ends in _shingles_of([batch], 2):
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    found, weight = weights.bag(hashes[a:b])
+                    out.append((leading(found, weight, weights.of(found)).view(np.int64), float(weight.sum()), len(found)))
+            of = pa.array(np.repeat(np.arange(len(out)), [len(s) for s, _, _ in out]))
+            rows = [batch.column("node"), batch.column("c"), pa.array([w for _, w, _ in out], pa.float64()), pa.array([n for _, _, n in out], pa.int64())]
+            shingle = pa.array(np.concatenate([s for s, _, _ in out]) if out else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([shingle, *[r.take(of) for r in rows]], ["s", "node", "c", "w", "n"])
+
+    led = durable(nodes.join(bodies, "node").select("node", "c", "text").mapInArrow(leads, "s bigint, node binary, c binary, w double, n bigint"), "leading")
+    mixed = led.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x != y").select("s")
+    led = led.join(mixed, "s")
+    other = led.select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "c", "w", "n")])
+    near = lambda x, y: F.least(x, y) >= LEAST * (1 - 1e-9) * F.greatest(x, y)
+    pairs = led.join(other, "s").filter("node < node2 AND c != c2").filter(near(F.col("w"), F.col("w2")) | near(F.col("n"), F.col("n2")))
+    return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame, weights: Weights) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
