@@ -32,6 +32,10 @@ RARE, COMMON_WEIGHT = 0.005, 0.35
 #: Bytes that a word takes about; only the size of a counting table follows from it.
 WORD_BYTES = 6
 TABLE = 1 << 14
+#: Bits of each of a text's two bitmaps, of the shingles that weigh 1 and of the others.
+BITS = 256
+#: Places in which the shingles of the texts that stay mixed are counted.
+PLACES = 1 << 20
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -164,15 +168,35 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(float(least / total), float(both.sum() / united)) if united else 0.0
 
 
-def _of_each_text(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The shingles of runs of texts, each once for each text that has it."""
-    for hashes, ends in _shingles_of(batches, 0):
-        doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        order = np.lexsort((hashes, doc))
-        hashes, doc = hashes[order], doc[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-        yield hashes[new]
+def _of_each_text(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The shingles of a run of texts, each once for each text that has it."""
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new]
+
+
+def _place_of(hashes: np.ndarray, places: int) -> np.ndarray:
+    return (hashes & np.uint64(places - 1)).astype(np.int64)
+
+
+def crowded(texts: DataFrame, text_col: str, places: int, above: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a table to which more than so many shingles fall, repeats counted, and how many do."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each place and task."""
+        counts = np.zeros(places, np.int64)
+        for hashes, _ in _shingles_of(batches, 0):
+            counts += np.bincount(_place_of(hashes, places), minlength=places)
+        some = np.flatnonzero(counts)
+        for at in range(0, len(some), 1 << 16):
+            own = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(counts[own])], ["place", "n"])
+
+    counted = texts.select(text_col).mapInArrow(placed, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    rows = counted.filter(F.col("n") > above).collect()
+    return np.array([r["place"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
 
 
 def common_weights(texts: DataFrame, text_col: str) -> Weights:
@@ -186,24 +210,11 @@ def common_weights(texts: DataFrame, text_col: str) -> Weights:
     total, size = texts.filter(F.col(text_col).isNotNull()).agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
     if not total:
         return Weights(np.zeros(0, np.uint64), np.zeros(0))
-    above = F.col("n") > max(RARE * total, 1)  # what one document has is not common
+    least = max(RARE * total, 1)  # what one document has is not common
     # On average a place then holds an eighth of what makes a shingle common.
     places = 1 << int(np.clip(np.ceil(np.log2(max(1, 8 * size / (WORD_BYTES * total) / RARE))), 16, 24))
-    place_of = lambda hashes: (hashes & np.uint64(places - 1)).astype(np.int64)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each place and task."""
-        counts = np.zeros(places, np.int64)
-        for hashes in _of_each_text(batches):
-            np.add.at(counts, place_of(hashes), 1)
-        some = np.flatnonzero(counts)
-        for at in range(0, len(some), 1 << 16):
-            own = some[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(counts[own])], ["place", "n"])
-
-    rows = texts.select(text_col).mapInArrow(placed, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).filter(above).select("place").collect()
     full = np.zeros(places, bool)
-    full[[r["place"] for r in rows]] = True
+    full[crowded(texts, text_col, places, least)[0]] = True
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A few rows for each shingle of a full place and task."""
@@ -213,8 +224,9 @@ def common_weights(texts: DataFrame, text_col: str) -> Weights:
             found, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["s", "n"])
 
-        for hashes in _of_each_text(batches):
-            held.append(hashes[full[place_of(hashes)]])
+        for hashes, ends in _shingles_of(batches, 0):
+            there = full[_place_of(hashes, places)]
+            held.append(_of_each_text(hashes[there], np.repeat(np.arange(len(ends) - 1), np.diff(ends))[there]))
             size += len(held[-1])
             if size >= 1 << 21:
                 yield told()
@@ -222,7 +234,7 @@ def common_weights(texts: DataFrame, text_col: str) -> Weights:
         if held:
             yield told()
 
-    rows = texts.select(text_col).mapInArrow(counted, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(above).collect()
+    rows = texts.select(text_col).mapInArrow(counted, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") > least).collect()
     found, df = np.array([r["s"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.float64)
     order = np.argsort(found)
     idf = np.log(total / df) / np.log(1 / RARE)
@@ -322,21 +334,54 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return joined.select("doc_id", F.col("node").alias("text_key"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key")
 
 
-def leading(found: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """So many of a bag's shingles, rarest first, that the others weigh and count less than LEAST of it.
+@dataclasses.dataclass(frozen=True)
+class Crowd:
+    """How crowded the places are to which shingles fall: the binary logarithm of their counts, 0 where they are few."""
+
+    level: np.ndarray
+
+    def of(self, found: np.ndarray) -> np.ndarray:
+        return self.level[_place_of(found, len(self.level))]
+
 
-    ``weights`` are with counts, ``own`` those of the shingles, which give the
-    order. Two bags that are LEAST similar in either way share one of theirs.
+def leading(found: np.ndarray, weights: np.ndarray, own: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """So many places of a bag's shingles, rarest first, that the others weigh
+    and count less than LEAST of it, and what the shingles weigh from each on.
+
+    ``weights`` are with counts; ``own``, those of the shingles, and ``crowd``
+    give the order, which is the same for all bags.
     """
-    order = np.lexsort((found, -own))
+    order = np.lexsort((found, crowd, -own))
     behind = np.cumsum(weights[order][::-1])[::-1]
     many = max(int((behind >= LEAST * (1 - 1e-9) * weights.sum()).sum()), int(np.floor(len(found) * (1 - LEAST) + 1e-9)) + 1)
-    return found[order][:many]
+    return order[:many], behind[:many]
+
+
+def bitmaps(found: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Two bitmaps of a set, of shingles that weigh 1 and of the others, as BITS / 64 numbers each.
+
+    A bit tells whether the shingles that fall to it are odd in number, so two
+    sets differ in at least as many shingles as their bitmaps do in bits.
+    """
+    at = ((found >> np.uint64(40)) & np.uint64(BITS - 1)).astype(np.int64) + BITS * (own < 1)
+    return np.packbits(np.bincount(at, minlength=2 * BITS).astype(np.uint8) & 1).view(np.int64)
 
 
 def possible_pairs(nodes: DataFrame, bodies: DataFrame, weights: Weights) -> DataFrame:
-    """``a, b`` of all pairs of ``nodes`` (node, c) of two classes that can be
-    LEAST similar: they share a leading shingle, and their sizes allow it."""
+    """``a, b`` of all pairs of ``nodes`` (node, c) of two classes that can be LEAST similar.
+
+    Of two bags that together count or weigh so much, LEAST / (1 + LEAST) of it
+    must be in both, and no more than (1 - LEAST) / (1 + LEAST) may be in one
+    only. What both have is at most what either has from their first shared
+    shingle on, and what one has alone is at least what their bitmaps tell.
+    Shingles are in order of their rarity, so frequent ones are behind.
+    """
+    size = nodes.join(bodies, "node").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    level = np.zeros(PLACES, np.int8)
+    place, n = crowded(nodes.join(bodies, "node").select("text"), "text", PLACES, max(4, 4 * size / WORD_BYTES / PLACES))
+    level[place] = np.log2(n).astype(np.int8)
+    crowd, lightest = Crowd(level), float(weights.weights.min(initial=1.0))
+    words = 2 * BITS // 64
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,18 +389,25 @@ def possible_pairs(nodes: DataFrame, bodies: DataFrame, weights: Weights) -> Dat
             for hashes, ends in _shingles_of([batch], 2):
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
                     found, weight = weights.bag(hashes[a:b])
-                    out.append((leading(found, weight, weights.of(found)).view(np.int64), float(weight.sum()), len(found)))
-            of = pa.array(np.repeat(np.arange(len(out)), [len(s) for s, _, _ in out]))
-            rows = [batch.column("node"), batch.column("c"), pa.array([w for _, w, _ in out], pa.float64()), pa.array([n for _, _, n in out], pa.int64())]
-            shingle = pa.array(np.concatenate([s for s, _, _ in out]) if out else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([shingle, *[r.take(of) for r in rows]], ["s", "node", "c", "w", "n"])
-
-    led = durable(nodes.join(bodies, "node").select("node", "c", "text").mapInArrow(leads, "s bigint, node binary, c binary, w double, n bigint"), "leading")
+                    own = weights.of(found)
+                    at, behind = leading(found, weight, own, crowd.of(found))
+                    out.append((found[at].view(np.int64), behind, len(found) - np.arange(len(at)), float(weight.sum()), len(found), bitmaps(found, own)))
+            of = pa.array(np.repeat(np.arange(len(out)), [len(o[0]) for o in out]))
+            each = [pa.array(np.concatenate([o[k] for o in out]) if out else np.zeros(0), t) for k, t in ((0, pa.int64()), (1, pa.float64()), (2, pa.int64()))]
+            rows = [batch.column("node"), batch.column("c"), pa.array([o[3] for o in out], pa.float64()), pa.array([o[4] for o in out], pa.int64())]
+            rows += [pa.array([o[5][k] for o in out], pa.int64()) for k in range(words)]
+            yield pa.RecordBatch.from_arrays([*each, *[r.take(of) for r in rows]], ["s", "rw", "rn", "node", "c", "w", "n", *[f"b{k}" for k in range(words)]])
+
+    ddl = "s bigint, rw double, rn bigint, node binary, c binary, w double, n bigint" + "".join(f", b{k} bigint" for k in range(words))
+    led = durable(nodes.join(bodies, "node").select("node", "c", "text").mapInArrow(leads, ddl), "leading")
     mixed = led.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x != y").select("s")
     led = led.join(mixed, "s")
-    other = led.select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "c", "w", "n")])
-    near = lambda x, y: F.least(x, y) >= LEAST * (1 - 1e-9) * F.greatest(x, y)
-    pairs = led.join(other, "s").filter("node < node2 AND c != c2").filter(near(F.col("w"), F.col("w2")) | near(F.col("n"), F.col("n2")))
+    other = led.select("s", *[F.col(c).alias(f"{c}2") for c in led.columns if c != "s"])
+    differ = [functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}2"))) for k in half]) for half in (range(words // 2), range(words // 2, words))]
+    can = lambda total, shared, alone: (shared >= LEAST / (1 + LEAST) * (1 - 1e-9) * total) & (alone <= (1 - LEAST) / (1 + LEAST) * (1 + 1e-9) * total)
+    counted = can(F.col("n") + F.col("n2"), F.least("rn", "rn2"), differ[0] + differ[1])
+    weighed = can(F.col("w") + F.col("w2"), F.least("rw", "rw2"), differ[0] + F.lit(lightest) * differ[1])
+    pairs = led.join(other, "s").filter("node < node2 AND c != c2").filter(counted | weighed)
     return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
