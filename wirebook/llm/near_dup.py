@@ -34,6 +34,10 @@ WORD_BYTES = 6
 TABLE = 1 << 14
 #: Bits of each of a text's two bitmaps, of the shingles that weigh 1 and of the others.
 BITS = 256
+#: Places that are counted together in one row.
+BLOCK = 256
+#: Leading shingles before a leading one that are kept with it.
+BEFORE = 4
 #: Places in which the shingles of the texts that stay mixed are counted.
 PLACES = 1 << 20
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -133,10 +137,10 @@ def bands(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """
     r_of, c_of, beta_of = _tables()
     best, drawn, level = None, None, None
-    for at in range(0, len(found), 8192):
-        some, mask = found[at : at + 8192], np.uint64(TABLE - 1)
+    for at in range(0, len(found), 2048):
+        some, mask = found[at : at + 2048], np.uint64(TABLE - 1)
         r, c, beta = r_of[(some & mask).astype(np.int64)], c_of[((some >> np.uint64(14)) & mask).astype(np.int64)], beta_of[((some >> np.uint64(28)) & mask).astype(np.int64)]
-        t = np.floor(np.log(weights[at : at + 8192]).astype(np.float32)[:, None] / r + beta)
+        t = np.floor(np.log(weights[at : at + 2048]).astype(np.float32)[:, None] / r + beta)
         a = c - r * (t - beta) - r
         least = a.argmin(axis=0)
         column = np.arange(a.shape[1])
@@ -185,17 +189,29 @@ def crowded(texts: DataFrame, text_col: str, places: int, above: float) -> tuple
     """The places of a table to which more than so many shingles fall, repeats counted, and how many do."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each place and task."""
+        """One row for each block of places and task."""
         counts = np.zeros(places, np.int64)
         for hashes, _ in _shingles_of(batches, 0):
             counts += np.bincount(_place_of(hashes, places), minlength=places)
-        some = np.flatnonzero(counts)
-        for at in range(0, len(some), 1 << 16):
-            own = some[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(counts[own])], ["place", "n"])
-
-    counted = texts.select(text_col).mapInArrow(placed, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-    rows = counted.filter(F.col("n") > above).collect()
+        blocks = counts.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        for at in range(0, len(some), 1 << 10):
+            own = some[at : at + (1 << 10)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([blocks[k].tobytes() for k in own], pa.binary())], ["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The crowded places of the blocks that a task has."""
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own = np.frombuffer(counts, np.int64)
+                held[block] = held[block] + own if block in held else own
+        for block, counts in held.items():
+            at = np.flatnonzero(counts > above)
+            yield pa.RecordBatch.from_arrays([pa.array((block * BLOCK + at).astype(np.int32)), pa.array(counts[at])], ["place", "n"])
+
+    blocks = texts.select(text_col).mapInArrow(placed, "block int, counts binary").repartition("block")
+    rows = blocks.mapInArrow(added, "place int, n bigint").collect()
     return np.array([r["place"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
 
 
@@ -373,7 +389,8 @@ def possible_pairs(nodes: DataFrame, bodies: DataFrame, weights: Weights) -> Dat
     Of two bags that together count or weigh so much, LEAST / (1 + LEAST) of it
     must be in both, and no more than (1 - LEAST) / (1 + LEAST) may be in one
     only. What both have is at most what either has from their first shared
-    shingle on, and what one has alone is at least what their bitmaps tell.
+    shingle on, and what one has alone is at least what their bitmaps tell. A
+    shingle is not their first if both have one of the few before it too.
     Shingles are in order of their rarity, so frequent ones are behind.
     """
     size = nodes.join(bodies, "node").agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -391,14 +408,17 @@ def possible_pairs(nodes: DataFrame, bodies: DataFrame, weights: Weights) -> Dat
                     found, weight = weights.bag(hashes[a:b])
                     own = weights.of(found)
                     at, behind = leading(found, weight, own, crowd.of(found))
-                    out.append((found[at].view(np.int64), behind, len(found) - np.arange(len(at)), float(weight.sum()), len(found), bitmaps(found, own)))
+                    lead = found[at].view(np.int64)
+                    before = [lead[max(0, k - BEFORE) : k] for k in range(len(lead))]
+                    out.append((lead, behind, len(found) - np.arange(len(at)), float(weight.sum()), len(found), bitmaps(found, own), before))
             of = pa.array(np.repeat(np.arange(len(out)), [len(o[0]) for o in out]))
             each = [pa.array(np.concatenate([o[k] for o in out]) if out else np.zeros(0), t) for k, t in ((0, pa.int64()), (1, pa.float64()), (2, pa.int64()))]
             rows = [batch.column("node"), batch.column("c"), pa.array([o[3] for o in out], pa.float64()), pa.array([o[4] for o in out], pa.int64())]
             rows += [pa.array([o[5][k] for o in out], pa.int64()) for k in range(words)]
-            yield pa.RecordBatch.from_arrays([*each, *[r.take(of) for r in rows]], ["s", "rw", "rn", "node", "c", "w", "n", *[f"b{k}" for k in range(words)]])
+            each.append(pa.array([x for o in out for x in o[6]], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*each, *[r.take(of) for r in rows]], ["s", "rw", "rn", "before", "node", "c", "w", "n", *[f"b{k}" for k in range(words)]])
 
-    ddl = "s bigint, rw double, rn bigint, node binary, c binary, w double, n bigint" + "".join(f", b{k} bigint" for k in range(words))
+    ddl = "s bigint, rw double, rn bigint, before array<bigint>, node binary, c binary, w double, n bigint" + "".join(f", b{k} bigint" for k in range(words))
     led = durable(nodes.join(bodies, "node").select("node", "c", "text").mapInArrow(leads, ddl), "leading")
     mixed = led.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x != y").select("s")
     led = led.join(mixed, "s")
@@ -407,7 +427,7 @@ def possible_pairs(nodes: DataFrame, bodies: DataFrame, weights: Weights) -> Dat
     can = lambda total, shared, alone: (shared >= LEAST / (1 + LEAST) * (1 - 1e-9) * total) & (alone <= (1 - LEAST) / (1 + LEAST) * (1 + 1e-9) * total)
     counted = can(F.col("n") + F.col("n2"), F.least("rn", "rn2"), differ[0] + differ[1])
     weighed = can(F.col("w") + F.col("w2"), F.least("rw", "rw2"), differ[0] + F.lit(lightest) * differ[1])
-    pairs = led.join(other, "s").filter("node < node2 AND c != c2").filter(counted | weighed)
+    pairs = led.join(other, "s").filter("node < node2 AND c != c2").filter(counted | weighed).filter(~F.arrays_overlap("before", "before2"))
     return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
