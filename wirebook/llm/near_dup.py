@@ -32,6 +32,8 @@ RARE, COMMON_WEIGHT = 0.005, 0.35
 #: Bytes that a word takes about; only the size of a counting table follows from it.
 WORD_BYTES = 6
 TABLE = 1 << 14
+#: Shingles that are drawn from at once.
+RUN = 512
 #: Bits of each of a text's two bitmaps, of the shingles that weigh 1 and of the others.
 BITS = 256
 #: Places that are counted together in one row.
@@ -61,7 +63,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.asarray(words.offsets).astype(np.int64)
     coded = words.flatten().dictionary_encode()
     bare = pc.replace_substring_regex(coded.dictionary, EDGE, "")
-    own = pd.util.hash_array(np.array(bare.to_pylist(), object), categorize=False) if len(bare) else np.zeros(0, np.uint64)
+    own = pd.util.hash_array(bare.to_numpy(zero_copy_only=False), categorize=False) if len(bare) else np.zeros(0, np.uint64)
     there = np.asarray(pc.greater(pc.utf8_length(bare), 0))
     at = np.asarray(coded.indices)
     ends = np.concatenate([[0], np.cumsum(there[at])])[ends] if len(at) else np.zeros(len(texts) + 1, np.int64)
@@ -129,32 +131,54 @@ def _made_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return draw.gamma(2, 1, shape).astype(np.float32), np.log(draw.gamma(2, 1, shape)).astype(np.float32), draw.random(shape, np.float32)
 
 
-def bands(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """One key for each band of a bag that isn't empty.
+def draws(found: np.ndarray, weights: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle and the t of each draw of a bag that isn't empty.
 
     With w a weight, t = floor(ln w / r + beta) and ln y = r (t - beta), the
     draw is the shingle of the least ln a = ln c - ln y - r, together with t.
+    Most shingles weigh 1, and their t is 0. ``room`` is worked in, so many
+    shingles at once as it has.
     """
     r_of, c_of, beta_of = _tables()
-    best, drawn, level = None, None, None
-    for at in range(0, len(found), 2048):
-        some, mask = found[at : at + 2048], np.uint64(TABLE - 1)
-        r, c, beta = r_of[(some & mask).astype(np.int64)], c_of[((some >> np.uint64(14)) & mask).astype(np.int64)], beta_of[((some >> np.uint64(28)) & mask).astype(np.int64)]
-        t = np.floor(np.log(weights[at : at + 2048]).astype(np.float32)[:, None] / r + beta)
-        a = c - r * (t - beta) - r
-        least = a.argmin(axis=0)
-        column = np.arange(a.shape[1])
-        value = a[least, column]
-        if best is None:
-            best, drawn, level = value, some[least], t[least, column]
-        else:
-            better = value < best
-            best, drawn, level = np.where(better, value, best), np.where(better, some[least], drawn), np.where(better, t[least, column], level)
+    logs = np.log(weights).astype(np.float32)
+    rows = [((found >> np.uint64(bits)) & np.uint64(TABLE - 1)).astype(np.int64) for bits in (0, 14, 28)]
+    best, first = np.full(BANDS * DRAWS, np.inf, np.float32), np.zeros(BANDS * DRAWS, np.int64)
+    for at in range(0, len(found), room.shape[1]):
+        some = slice(at, at + room.shape[1])
+        r, c, a = room[:, : len(found[some])]
+        for table, of, to in zip((r_of, c_of, beta_of), rows, (r, c, a), strict=True):
+            np.take(table, of[some], axis=0, out=to, mode="clip")  # into room as it is; no number is beyond the table
+        other = np.flatnonzero(logs[some])
+        if len(other):
+            own, beta = r[other], a[other]
+            t = np.floor(logs[some][other][:, None] / own + beta)
+            others = c[other] - own * (t - beta) - own
+        a *= r
+        a += c
+        a -= r
+        if len(other):
+            a[other] = others
+        least = a.min(axis=0)
+        better = least < best
+        best = np.minimum(least, best)
+        row, column = np.divmod(np.flatnonzero(a == best), a.shape[1])
+        new = np.flatnonzero(better[column])[::-1]  # of equal ones the first stays
+        first[column[new]] = at + row[new]
+    r_of, beta_of = [table[of[first], np.arange(len(first))] for table, of in ((r_of, rows[0]), (beta_of, rows[2]))]
+    return found[first], np.floor(logs[first] / r_of + beta_of)
+
+
+def bands(bags: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """One key for each band of every bag, none of which is empty, as rows."""
+    room = np.empty((3, RUN, BANDS * DRAWS), np.float32)
+    told = [draws(found, weights, room) for found, weights in bags]
+    drawn = np.array([d for d, _ in told], np.uint64).reshape(-1, BANDS, DRAWS)
+    level = np.array([t for _, t in told], np.float32).reshape(-1, BANDS, DRAWS)
     with np.errstate(over="ignore"):
-        draws = _mixed(drawn * _A + level.astype(np.int64).astype(np.uint64)).reshape(BANDS, DRAWS)
+        drawn = _mixed(drawn * _A + level.astype(np.int64).astype(np.uint64))
         keys = np.arange(BANDS, dtype=np.uint64)
         for k in range(DRAWS):
-            keys = _mixed(keys * _A + draws[:, k])
+            keys = _mixed(keys * _A + drawn[:, :, k])
     return keys.view(np.int64)
 
 
@@ -299,8 +323,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [bands(*weights.bag(hashes[a:b])).tolist() if b > a else [] for hashes, ends in _shingles_of([batch], 2) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], ["node", "doc_id", "keys"])
+            keys, counts = [], []
+            for hashes, ends in _shingles_of([batch], 2):
+                keys.append(bands(weights.bag(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True) if b > a))
+                counts.append(BANDS * (np.diff(ends) > 0))
+            offsets = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
+            of_each = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([k.ravel() for k in keys]) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), of_each], ["node", "doc_id", "keys"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     sketched = texts.select("node", "doc_id", "text").mapInArrow(drawn, f"node binary, doc_id {id_type}, keys array<bigint>")
