@@ -9,15 +9,17 @@ one after the other. Payloads are joined back on their unique key.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirebook.functions.http import trace_ids
 from wirebook.functions.text import present
-from wirebook.operators.gather import put_together
+from wirebook.operators.gather import PACKED_BYTES, packed, put_together, unpacked
 from wirebook.operators.scan import Last, Machine, Max, Sum, scan
 from wirebook.schema import BUFFER_LIMIT
-from wirebook.session import durable
+from wirebook.session import durable, tasks_for
 from wirebook.sources.tables import with_storage_columns
 
 # Fixed values of the protocol.
@@ -242,23 +244,34 @@ def stream_headers(frames: DataFrame, events: DataFrame, members: DataFrame) ->
     )
 
 
-def data_bytes(frames: DataFrame, data: DataFrame) -> DataFrame:
-    """DATA events with their ``bytes``, joined on their unique key."""
+@dataclass(frozen=True)
+class Dealing:
+    """The tasks that payloads are dealt to, None for the session's number, and whether they are packed for it."""
+
+    partitions: int | None = None
+    long: bool = False
+
+
+def data_bytes(frames: DataFrame, data: DataFrame, way: Dealing) -> DataFrame:
+    """DATA events with their ``bytes``, joined on their unique key; of long ones, packed with their size in ``full``."""
     offset, size = data_range(F.col("payload"))
     piece = F.substring(F.col("payload"), offset + 1, size).alias("bytes")
-    payloads = frames.where(F.col("frame_type") == DATA).select("conn_id", "seq", piece)
+    payloads = frames.where((F.col("frame_type") == DATA) & (size > 0)).select("conn_id", "seq", piece)
+    payloads = packed(payloads, "bytes") if way.long else payloads
+    payloads = payloads.repartition(way.partitions, "conn_id", "seq") if way.partitions else payloads
     # The narrow side is the one kept in memory, so that payloads are not sorted for the join.
     return payloads.join(data.hint("shuffle_hash"), ["conn_id", "seq"])
 
 
-def body_pieces(frames: DataFrame, events: DataFrame, spans: DataFrame, longest: int) -> DataFrame:
+def body_pieces(frames: DataFrame, events: DataFrame, spans: DataFrame, longest: int, way: Dealing = Dealing()) -> DataFrame:  # noqa: B008
     """(stream, side, place, bytes): DATA between birth and completion, of bodies up to ``longest`` bytes."""
     c = F.col
     fits = lambda way, name: (c("dir") == way) & (c(name) <= longest)
     sizes = spans.select(*ROUND, "request_bytes", "response_bytes")
     kept = events.where("size > 0").select(*ROUND, "seq", "dir").join(sizes, ROUND).where(fits("out", "request_bytes") | fits("in", "response_bytes"))
     side = F.when(c("dir") == "out", 0).otherwise(1)
-    return data_bytes(frames, kept.select(*ROUND, "seq", side.alias("side"))).select(*ROUND, "side", c("seq").alias("place"), "bytes")
+    found = data_bytes(frames, kept.select(*ROUND, "seq", side.alias("side")), way)
+    return found.select(*ROUND, "side", c("seq").alias("place"), "bytes", *[n for n in ("full",) if n in found.columns])
 
 
 def stream_bodies(frames: DataFrame, events: DataFrame, spans: DataFrame, longest: int) -> DataFrame:
@@ -309,11 +322,20 @@ def stream_traces(streams: DataFrame) -> DataFrame:
 
 def _streams(frames: DataFrame, partitions: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans, events and the frames of split header blocks."""
+    return _dealt_streams(frames, partitions)[:3]
+
+
+def _dealt_streams(frames: DataFrame, partitions: int | None) -> tuple[DataFrame, DataFrame, DataFrame, Dealing]:
+    """:func:`_streams`, and how their payloads are dealt."""
     narrow = durable(narrow_frames(frames), "narrow-frames")
+    rows, data, size = narrow.agg(F.count("*"), F.count("size"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if partitions is None:
+        partitions = tasks_for(narrow.sparkSession, rows, size)
     tagged = tag_frames(narrow, partitions)
     blocks, members = header_blocks(tagged)
     events = stream_events(tagged, blocks, partitions)
-    return stream_spans(events, narrow.where("dir = 'close'"), partitions), events, members
+    spans = stream_spans(events, narrow.where("dir = 'close'"), partitions)
+    return spans, events, members, Dealing(partitions, 0 < data * PACKED_BYTES <= size)
 
 
 def http2_exchanges(frames: DataFrame, partitions: int | None = None, longest: int = BUFFER_LIMIT) -> DataFrame:
@@ -323,21 +345,23 @@ def http2_exchanges(frames: DataFrame, partitions: int | None = None, longest: i
     A body is put together up to ``longest`` bytes. A longer one is null, with
     its size in the row and its bytes in ``http2_body_parts``.
     """
-    spans, events, members = _streams(frames, partitions)
+    spans, events, members, way = _dealt_streams(frames, partitions)
     headers = stream_headers(frames, events, members)
-    pieces = body_pieces(frames, events, spans, longest)
-    return stream_traces(put_together(spans.join(headers, ROUND), pieces, ROUND, SIDES))
+    pieces = body_pieces(frames, events, spans, longest, way)
+    return stream_traces(put_together(spans.join(headers, ROUND), pieces, ROUND, SIDES, way.partitions))
 
 
 def http2_body_parts(frames: DataFrame, partitions: int | None = None) -> DataFrame:
     """``span_id, side, part, at, bytes``: the bodies of all streams of any
     size, in the order of ``part``; ``at`` counts the bytes of a body before."""
     c = F.col
-    spans, events, _ = _streams(frames, partitions)
+    spans, events, _, way = _dealt_streams(frames, partitions)
     _, span_id = _ids()
     before = spans.select(*ROUND, span_id.alias("span_id"), "sent_before", "received_before")
     data = events.where("size > 0").join(before, ROUND)
     at = F.when(c("dir") == "out", c("sent") - c("size") - c("sent_before")).otherwise(c("received") - c("size") - c("received_before"))
     side = F.when(c("dir") == "out", F.lit("request")).otherwise(F.lit("response"))
     placed = data.select("span_id", side.alias("side"), "conn_id", "seq", at.alias("at"))
-    return data_bytes(frames, placed).select("span_id", "side", c("seq").alias("part"), "at", "bytes")
+    found = data_bytes(frames, placed, way)
+    found = unpacked(found, "bytes") if way.long else found
+    return found.select("span_id", "side", c("seq").alias("part"), "at", "bytes")
